@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom import rules
@@ -109,28 +108,33 @@ def updated_cache(valid: DataFrame, cache: DataFrame, now: Column, ttl_hours: fl
     return newest.filter(F.col("validated_at") >= now - F.make_dt_interval(secs=F.lit(ttl_hours * 3600)))
 
 
-def replace_table(df: DataFrame, path: str) -> str:
-    """Write the next version of a state table beside the old one and return its folder.
+def write_state(df: DataFrame, path: str, version: int) -> None:
+    """Write the next version of a state table beside the older ones.
 
-    A table cannot be overwritten while it is being read, and a half-written version must never
-    be picked up: readers take the newest folder that has a success marker.
+    A table cannot be overwritten while it is being read; a version becomes visible only when
+    its job commits, so a lost run leaves the previous state in place.
     """
-    version = f"{path}/v_{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    return version
+    df.write.mode("overwrite").parquet(f"{path}/version={version:020d}")
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """Newest version of a state table."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version").alias("version")).scalar()
+    return versions.filter(F.col("version") == newest).drop("version")
 
 
 def append_run_stats(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
-def read_last_runs(spark, path: str, n: int = 10, order: str = "run_ts") -> DataFrame:
+def read_last_runs(spark: SparkSession, path: str, n: int = 10, order: str = "run_ts") -> DataFrame:
     """History as kept: the newest ``n`` runs."""
     return keep_last_runs(spark.read.parquet(path), [F.desc(order)], n)
 
 
-def write_feed_state(state: DataFrame, path: str) -> str:
-    return replace_table(state, path)
+def write_feed_state(state: DataFrame, path: str, version: int) -> None:
+    write_state(state, path, version)
 
 
 def write_feed_changes(changes: DataFrame, path: str) -> None:

@@ -75,14 +75,9 @@ def output_order(df: DataFrame, keys: Sequence[str] = GROUP) -> list[Column]:
     ]
 
 
-def with_channel_stats(top: DataFrame, keys: Sequence[str] = GROUP, seq: str = "seq") -> DataFrame:
-    """Add ``best`` and ``first_seq`` of each channel to its top rows.
-
-    Runs after ``topk_per_name``, so a channel has at most k rows here; the best link is among
-    them, and the smallest sequence among them stands for the channel.
-    """
-    w = Window.partitionBy(*keys)
-    return top.withColumns({"best": F.max("quality").over(w), "first_seq": F.min(seq).over(w)})
+def with_channel_stats(top: DataFrame, stats: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
+    """Add ``best`` and ``first_seq`` (from ``group_best``) to the top rows of each channel."""
+    return top.join(stats.select(*keys, "best", "first_seq"), list(keys))
 
 
 def global_cap(df: DataFrame, order: Sequence[Column], limit: int, name: str = "line_no") -> DataFrame:

@@ -69,8 +69,8 @@ def lag_in_order(
         .withColumn("_val", F.lag("_val").over(across))
         .filter(F.col("_val").isNotNull())
     )
-    out = _scan(rows, seeds, order, keys, {"_prev": F.lag("_val")}, exclusive=True)
-    return out.withColumn(name, F.col("_prev.v")).drop("_val", "_prev")
+    out = _scan(rows, seeds, order, keys, {"_lagged": F.lag("_val")}, exclusive=True)
+    return out.withColumn(name, F.col("_lagged.v")).drop("_val", "_lagged")
 
 
 def fill_in_order(
