@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkloom import rules
-from linkloom.functions.text import any_of, contains_any, let, strip
+from linkloom.functions.text import any_of, contains_any, let, literal_pairs, strip
 
 
 def simplify(name: Column, table: tuple[str, str] = (rules.TRADITIONAL, rules.SIMPLIFIED)) -> Column:
@@ -43,18 +43,16 @@ def clean(name: Column) -> Column:
 
 def apply_aliases(name: Column, aliases: Sequence[tuple[str, str]] = tuple(rules.ALIASES)) -> Column:
     """Exact alias if there is one, else replace the first alias (in table order) contained."""
-    exact = F.create_map(*[F.lit(x) for pair in dict(aliases).items() for x in pair])
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in aliases])
+    table = literal_pairs(aliases)
 
-    def partial(n):
-        first = F.try_element_at(F.filter(table, lambda z: F.contains(n, z["a"])), F.lit(1))
-        return F.coalesce(let(first, lambda f: F.replace(n, f["a"], f["c"])), n)
+    def replaced(n):
+        inside = F.filter(table, lambda z: F.contains(n, z["a"]))
+        exact = F.get(F.filter(inside, lambda z: n == z["a"]), F.lit(0))["b"]
+        partial = let(F.get(inside, F.lit(0)), lambda f: F.replace(n, f["a"], f["b"]))
+        return F.coalesce(exact, partial)
 
-    return let(
-        name,
-        lambda n: F.when(n.rlike(any_of(a for a, _ in aliases)), F.coalesce(F.try_element_at(exact, n), partial(n)))
-        .otherwise(n),
-    )
+    some = any_of(a for a, _ in aliases)
+    return let(name, lambda n: F.when(n.rlike(some), replaced(n)).otherwise(n))
 
 
 def canonical_channel(name: Column) -> Column:
@@ -98,15 +96,18 @@ def classify(
     order: Sequence[str] = tuple(rules.CATEGORY_ORDER),
 ) -> Column:
     """Category of a name: numbered channels, satellite channels, then rules in order."""
-    s = simplify(name)
-    out = F.when(s.rlike(r"(?iU)CCTV-?\d"), rules.CCTV_CATEGORY)
-    out = out.when(F.contains(s, F.lit("卫视")), rules.SATELLITE_CATEGORY)
-    for category in order:
-        words = category_rules.get(category)
-        if category != rules.OTHER_CATEGORY and words:
-            table = str.maketrans(rules.TRADITIONAL, rules.SIMPLIFIED)
-            out = out.when(contains_any(s, [w.translate(table) for w in words], True), category)
-    return out.when(s.rlike("中央|央视"), rules.CCTV_CATEGORY).otherwise(rules.OTHER_CATEGORY)
+    table = str.maketrans(rules.TRADITIONAL, rules.SIMPLIFIED)
+
+    def category_of(s):
+        out = F.when(s.rlike(r"(?iU)CCTV-?\d"), rules.CCTV_CATEGORY)
+        out = out.when(F.contains(s, F.lit("卫视")), rules.SATELLITE_CATEGORY)
+        for category in order:
+            words = category_rules.get(category)
+            if category != rules.OTHER_CATEGORY and words:
+                out = out.when(contains_any(s, [w.translate(table) for w in words], True), category)
+        return out.when(s.rlike("中央|央视"), rules.CCTV_CATEGORY).otherwise(rules.OTHER_CATEGORY)
+
+    return let(simplify(name), category_of)
 
 
 def classify_legacy(
@@ -115,12 +116,14 @@ def classify_legacy(
     order: Sequence[str] = tuple(rules.CATEGORY_ORDER),
 ) -> Column:
     """Earlier form: blacklisted names have no category of their own, no channel special cases."""
-    s = simplify(name)
-    out = F.when(is_blacklisted(s, ignore_case=False), "其他")
-    for category in order[:-1]:
-        if category_rules.get(category):
-            out = out.when(contains_any(s, category_rules[category], True), category)
-    return out.otherwise(order[-1])
+    def category_of(s):
+        out = F.when(is_blacklisted(s, ignore_case=False), "其他")
+        for category in order[:-1]:
+            if category_rules.get(category):
+                out = out.when(contains_any(s, category_rules[category], True), category)
+        return out.otherwise(order[-1])
+
+    return let(simplify(name), category_of)
 
 
 def _numbered_legacy(name: Column) -> Column:

@@ -56,5 +56,22 @@ def empty_to_null(c: Column) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, which may use it many times."""
+    """Evaluate ``value`` once and hand it to ``body``, which may use it many times.
+
+    The optimizer copies a derived column into every place that uses it when it moves filters
+    down; binding it keeps the plan small and the value computed once.
+    """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_pairs(pairs: Iterable[tuple], names: tuple[str, str] = ("a", "b")) -> Column:
+    """An array of two-field structs as one literal."""
+    items = []
+    for pair in pairs:
+        values = [_quoted(v) if isinstance(v, str) else f"{v}L" for v in pair]
+        items.append(", ".join(f"{v} AS {n}" for v, n in zip(values, names)))
+    return F.expr("array(" + ", ".join(f"struct({i})" for i in items) + ")")

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkloom import rules
-from linkloom.functions.text import any_of, contains_any, let
+from linkloom.functions.text import any_of, contains_any, let, literal_pairs
 
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -43,12 +43,13 @@ def fragment(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 5)
 
 
+_SERVER = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?"
+
+
 def host(url: Column) -> Column:
     """Lower-case host without user info, port and IPv6 brackets."""
-    server = F.regexp_replace(netloc(url), r"^.*@", "")
-    bracketed = F.regexp_extract(server, r"\[([^\]]*)", 1)
-    plain = F.substring_index(server, ":", 1)
-    return F.lower(F.when(F.contains(server, F.lit("[")), bracketed).otherwise(plain))
+    pattern = _SERVER + r"(?:\[([^\]/?#]*)|([^:/?#\[]*))"
+    return F.lower(F.concat(F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2)))
 
 
 def port(url: Column) -> Column:
@@ -122,30 +123,36 @@ def canonical(url: Column, keep: Sequence[str] | None = None) -> Column:
         keys = F.array_sort(F.array_distinct(F.transform(params, lambda p: p["k"])))
         return _grouped(params, keys)
 
-    q = let(_params(query(url)), assemble)
-    unusual = port(url).isNotNull() & (port(url) != 0) & ~port(url).isin(80, 443)
-    server = F.when(unusual, F.concat(host(url), F.lit(":"), port(url).cast("string"))).otherwise(host(url))
-    head = F.concat(scheme(url), F.lit("://"), server, path(url))
-    return F.when(q == "", head).otherwise(F.concat(head, F.lit("?"), q))
+    def build(p):
+        tail = F.when(p["q"] == "", "").otherwise(F.concat(F.lit("?"), p["q"]))
+        unusual = p["port"].isNotNull() & ~p["port"].isin(0, 80, 443)
+        shown = F.when(unusual, F.concat(F.lit(":"), p["port"].cast("string"))).otherwise("")
+        return F.concat(p["head"], F.lit("://"), p["host"], shown, p["path"], tail)
+
+    def parts(u):
+        return F.struct(
+            scheme(u).alias("head"), host(u).alias("host"), port(u).alias("port"), path(u).alias("path"),
+            let(_params(query(u)), assemble).alias("q"),
+        )
+
+    return let(url, lambda u: let(parts(u), build))
 
 
 def sanitize(url: Column, sensitive: Sequence[str] = tuple(rules.SENSITIVE_PARAMS)) -> Column:
     """The URL without sensitive parameters; blank values are dropped, repeated keys grouped."""
+    secret = f"^{any_of(sensitive)}$"
 
     def assemble(params):
-        kept = F.filter(params, lambda p: ~F.lower(p["k"]).isin(list(sensitive)))
+        kept = F.filter(params, lambda p: ~F.lower(p["k"]).rlike(secret))
         return let(kept, lambda ps: _grouped(ps, F.array_distinct(F.transform(ps, lambda p: p["k"]))))
 
-    q = let(_params(query(url)), assemble)
-    has_server = url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//")
-    head = F.concat(
-        F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""),
-        F.when(has_server, F.concat(F.lit("//"), netloc(url))).otherwise(""),
-        raw_path(url),
-    )
-    tail = F.when(fragment(url) != "", F.concat(F.lit("#"), fragment(url))).otherwise("")
-    cleaned = F.concat(head, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)), tail)
-    return F.when(url.rlike(r"[?#]"), cleaned).otherwise(url)
+    def clean(u):
+        head = F.regexp_extract(u, r"^[^?#]*", 0)
+        tail = F.regexp_extract(u, r"(?s)#.+$", 0)
+        q = let(_params(query(u)), assemble)
+        return let(q, lambda x: F.concat(head, F.when(x == "", "").otherwise(F.concat(F.lit("?"), x)), tail))
+
+    return let(url, lambda u: F.when(u.rlike("[?#]"), clean(u)).otherwise(u))
 
 
 # --- hosts ------------------------------------------------------------------------------
@@ -153,60 +160,56 @@ def sanitize(url: Column, sensitive: Sequence[str] = tuple(rules.SENSITIVE_PARAM
 
 def ipv4_number(h: Column) -> Column:
     """Dotted IPv4 literal as BIGINT, NULL for anything else."""
-    octet = r"(0|[1-9]\d{0,2})"
-    parts = F.split(h, r"\.")
-    number = (
-        parts[0].cast("bigint") * 16777216 + parts[1].cast("bigint") * 65536
-        + parts[2].cast("bigint") * 256 + parts[3].cast("bigint")
-    )
-    fits = F.forall(parts, lambda p: p.try_cast("int") <= 255)
-    return F.when(h.rlike(rf"^{octet}(\.{octet}){{3}}$"), F.when(fits, number))
+
+    def number(x):
+        octets = F.transform(F.split(x, r"\."), lambda p: p.cast("bigint"))
+        value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
+        return F.when(F.forall(octets, lambda o: o <= 255), value)
+
+    dotted = r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"
+    return let(h, lambda x: F.when(x.rlike(dotted), number(x)))
 
 
 def ipv6_hex(h: Column) -> Column:
     """IPv6 literal as 32 hex digits, NULL for anything else."""
-    bare = F.regexp_replace(h, r"%.*$", "")
-    tail = ipv4_number(F.regexp_extract(bare, r":(\d+\.\d+\.\d+\.\d+)$", 1))
-    packed = F.lower(F.lpad(F.hex(tail), 8, "0"))
-    dotted = F.concat(
-        F.regexp_replace(bare, r"\d+\.\d+\.\d+\.\d+$", ""),
-        F.substring(packed, 1, 4), F.lit(":"), F.substring(packed, 5, 4),
-    )
-    text = F.when(bare.rlike(r":\d+\.\d+\.\d+\.\d+$"), dotted).otherwise(F.lower(bare))
+
+    def undotted(x):
+        packed = F.lower(F.lpad(F.hex(ipv4_number(F.regexp_extract(x, r":([\d.]+)$", 1))), 8, "0"))
+        pair = let(packed, lambda d: F.concat(F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))
+        return F.when(x.rlike(r"\.\d+$"), F.concat(F.regexp_replace(x, r"[\d.]+$", ""), pair)).otherwise(x)
 
     def groups(side):
         return F.filter(F.split(side, ":"), lambda g: g != "")
 
+    def fill(s):
+        gap = F.lit(8) - F.size(s["left"]) - F.size(s["right"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))
+        filled = F.when(s["open"] & (gap > 0), F.concat(s["left"], zeros, s["right"])).when(~s["open"], s["left"])
+        return F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
+
     def expand(t):
-        left = groups(F.substring_index(t, "::", 1))
-        right = F.when(F.contains(t, F.lit("::")), groups(F.substring_index(t, "::", -1)))
-        gap = F.lit(8) - F.size(left) - F.size(F.coalesce(right, F.array().cast("array<string>")))
-        filled = F.when(
-            right.isNotNull() & (gap > 0), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-        ).when(right.isNull(), left)
-        return F.when(
-            F.size(filled) == 8,
-            F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""),
+        is_open = F.contains(t, F.lit("::"))
+        right = F.when(is_open, F.substring_index(t, "::", -1)).otherwise("")
+        sides = F.struct(
+            groups(F.substring_index(t, "::", 1)).alias("left"), groups(right).alias("right"), is_open.alias("open")
         )
+        full = let(sides, fill)
+        sound = t.rlike("^[0-9a-f:]*$") & ~t.rlike(":::|::.*::|[0-9a-f]{5}|^:[^:]|[^:]:$")
+        return F.when(sound, let(full, lambda x: F.when(F.length(x) == 32, x)))
 
-    well_formed = (
-        text.rlike(r"^[0-9a-f:]*$") & ~text.rlike(r":::|::.*::|[0-9a-f]{5}|^:[^:]|[^:]:$")
-    )
-    return F.when(F.contains(h, F.lit(":")) & well_formed, let(text, expand))
+    bare = F.lower(F.regexp_replace(h, r"%.*$", ""))
+    return F.when(F.contains(h, F.lit(":")), let(let(bare, undotted), expand))
 
 
-def _ranges(blocks: Sequence[str], version: int):
+def _in_ranges(c: Column, blocks: Sequence[str], version: int) -> Column:
     nets = [n for n in map(ipaddress.ip_network, blocks) if n.version == version]
+    ranges = []
     for n in ipaddress.collapse_addresses(nets):
         lo, hi = int(n.network_address), int(n.broadcast_address)
-        yield (lo, hi) if version == 4 else (f"{lo:032x}", f"{hi:032x}")
-
-
-def _in_ranges(c: Column, blocks: Sequence[str], version: int) -> Column:
-    hit = F.lit(False)
-    for lo, hi in _ranges(blocks, version):
-        hit = hit | c.between(F.lit(lo), F.lit(hi))
-    return hit
+        ranges.append((lo, hi) if version == 4 else (f"{lo:032x}", f"{hi:032x}"))
+    if not ranges:
+        return F.lit(False)
+    return F.exists(literal_pairs(ranges, ("lo", "hi")), lambda r: c.between(r["lo"], r["hi"]))
 
 
 def is_non_public(
@@ -223,20 +226,24 @@ def is_non_public(
         mapped = x.startswith("0" * 20 + "ffff")
         as_v4 = F.conv(F.substring(x, 25, 8), 16, 10).cast("bigint")
         plain = _in_ranges(x, blocks, 6) & ~_in_ranges(x, exceptions, 6)
-        return F.when(mapped, v4(as_v4)).otherwise(plain)
+        return F.when(mapped, let(as_v4, v4)).otherwise(plain)
+
+    def test(x):
+        literal = F.when(F.contains(x, F.lit(":")), let(ipv6_hex(x), v6)).otherwise(let(ipv4_number(x), v4))
+        return x.rlike(r"^[0-9.]+$|:") & F.coalesce(literal, F.lit(False))
 
-    return F.when(
-        h.rlike(r"^[0-9.]+$|:"), F.coalesce(let(ipv4_number(h), v4), let(ipv6_hex(h), v6), F.lit(False))
-    ).otherwise(F.lit(False))
+    return let(h, test)
 
 
 def is_vod(url: Column, hosts: Sequence[str] = tuple(rules.VOD_HOSTS)) -> Column:
     """Host part contains an entry; entries with a slash are looked for in host part and path."""
-    hit = contains_any(F.lower(netloc(url)), [v for v in hosts if "/" not in v])
-    with_path = [v for v in hosts if "/" in v]
-    if with_path:
-        hit = hit | contains_any(F.lower(F.concat(netloc(url), path(url))), with_path)
-    return hit
+    plain, with_path = [v for v in hosts if "/" not in v], [v for v in hosts if "/" in v]
+
+    def test(u):
+        hit = contains_any(F.lower(netloc(u)), plain)
+        return hit | contains_any(F.lower(F.concat(netloc(u), path(u))), with_path) if with_path else hit
+
+    return let(url, test)
 
 
 def is_known_direct(
@@ -244,14 +251,10 @@ def is_known_direct(
     keys: Sequence[str] = tuple(rules.DIRECT_KEYS),
     ipv6_prefixes: Sequence[str] = tuple(rules.DIRECT_IPV6_PREFIXES),
 ) -> Column:
+    """Host part equal to a key, or with a dot before one, or an IPv6 literal of a known carrier."""
     server = F.lower(F.regexp_extract(url, r"^(?:.*?://)?([^?/]*)", 1))
-    words = any_of(keys)
-    by_key = server.rlike(rf"^{words}$") | server.rlike(rf"\.{words}")
-    return by_key | starts_with_bracket(server, ipv6_prefixes)
-
-
-def starts_with_bracket(server: Column, prefixes: Sequence[str]) -> Column:
-    return server.rlike(r"^\[" + any_of(prefixes))
+    key = any_of(keys)
+    return server.rlike(rf"^{key}$|\.{key}|^\[{any_of(ipv6_prefixes)}")
 
 
 def is_ipv6(url: Column) -> Column:
@@ -274,7 +277,7 @@ def domain_score(
             .cast("bigint")
         )
 
-    return score(F.lower(netloc(url)))
+    return let(F.lower(netloc(url)), score)
 
 
 # --- playlist likeness --------------------------------------------------------------------
@@ -294,29 +297,30 @@ def has_playlist_port(url: Column) -> Column:
 
 def is_playlist(url: Column) -> Column:
     """Whether the URL may be a playlist file or route."""
-    p = path(url)
-    short_stem = stem(p).rlike(r"(?U)^\d+$") | (F.length(stem(p)) <= 1)
-    low = F.lower(p)
-    return (
-        F.when(has_credential(url), False)
-        .when(F.lower(suffix(p)).isin([f".{e}" for e in rules.REJECTED_EXTENSIONS]), False)
-        .when(low.rlike(r"\.m3u8?$"), ~short_stem)
-        .when(low.endswith(".txt"), True)
-        .when(contains_any(low, rules.PLAYLIST_ROUTES), True)
-        .when(contains_any(F.lower(url), rules.PLAYLIST_TYPE_PARAMS), True)
-        .otherwise(has_playlist_port(url))
-    )
+    rejected = r"(?i)\.(?:" + "|".join(rules.REJECTED_EXTENSIONS) + ")$"
+
+    def by_path(u, p):
+        low = F.lower(p)
+        return (
+            F.when(suffix(p).rlike(rejected), False)
+            .when(low.rlike(r"\.m3u8?$"), ~stem(p).rlike(r"(?Us)^(?:\d+|.?)$"))
+            .when(low.endswith(".txt"), True)
+            .when(contains_any(low, rules.PLAYLIST_ROUTES), True)
+            .when(contains_any(F.lower(u), rules.PLAYLIST_TYPE_PARAMS), True)
+            .otherwise(has_playlist_port(u))
+        )
+
+    return let(url, lambda u: ~has_credential(u) & let(path(u), lambda p: by_path(u, p)))
 
 
 def is_playlist_legacy(url: Column) -> Column:
-    p = path(url)
-    segment = p.endswith(".m3u8") & (stem(p).rlike(r"(?U)^\d+$") | (F.length(stem(p)) <= 10))
-    low = F.lower(url)
-    return (
-        ~contains_any(low, rules.LEGACY_CREDENTIAL_PARAMS)
-        & ~segment
-        & contains_any(low, rules.LEGACY_PLAYLIST_MARKS)
-    )
+    def test(u):
+        low = F.lower(u)
+        segment = path(u).endswith(".m3u8") & stem(path(u)).rlike(r"(?Us)^(?:\d+|.{0,10})$")
+        secret = contains_any(low, rules.LEGACY_CREDENTIAL_PARAMS)
+        return ~secret & ~segment & contains_any(low, rules.LEGACY_PLAYLIST_MARKS)
+
+    return let(url, test)
 
 
 def mirrors(url: Column) -> Column:
@@ -342,9 +346,11 @@ def mirrors(url: Column) -> Column:
 
 def discovered_name(url: Column, domain: Column) -> Column:
     """Name of a discovered link: its file stem with the domain, or only the domain."""
-    s = stem(path(url))
-    weak = s.rlike(r"(?U)^\d+$") | (F.length(s) <= 3)
-    return F.when(weak, domain).otherwise(F.concat(s, F.lit(" ("), domain, F.lit(")")))
+    def name(s):
+        weak = s.rlike(r"(?U)^\d+$") | (F.length(s) <= 3)
+        return F.when(weak, domain).otherwise(F.concat(s, F.lit(" ("), domain, F.lit(")")))
+
+    return let(stem(path(url)), name)
 
 
 def clean_link(c: Column) -> Column:

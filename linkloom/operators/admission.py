@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from linkloom import rules
 from linkloom.functions import names, urls
+from linkloom.functions.text import let
 from linkloom.operators import filters
 from linkloom.scale import first_rows, top_per_key
 from linkloom.sources.catalogs import split_entries
@@ -37,15 +38,18 @@ def entry_reason(
     blacklist: Sequence[str] = tuple(rules.BLACKLIST), vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS)
 ) -> Column:
     """First failed test that needs only the entry itself; NULL when all pass."""
-    name, url = F.col("name"), F.col("url")
-    return (
-        F.when(name.isNull(), "no_comma")
-        .when((name == "") | (name == rules.UNKNOWN_NAME), "empty_name")
-        .when(names.is_blacklisted(name, blacklist), "blacklisted")
-        .when(urls.is_non_public(urls.host(url)), "private_ip")
-        .when(urls.is_vod(url, vod_hosts), "vod_domain")
-        .when(~filters.has_scheme(url, filters.ADMITTED_SCHEMES), "bad_url")
-    )
+    def reason(e):
+        name, url = e["name"], e["url"]
+        return (
+            F.when(name.isNull(), "no_comma")
+            .when((name == "") | (name == rules.UNKNOWN_NAME), "empty_name")
+            .when(names.is_blacklisted(name, blacklist), "blacklisted")
+            .when(urls.is_non_public(urls.host(url)), "private_ip")
+            .when(urls.is_vod(url, vod_hosts), "vod_domain")
+            .when(~filters.has_scheme(url, filters.ADMITTED_SCHEMES), "bad_url")
+        )
+
+    return let(F.struct("name", "url"), reason)
 
 
 def _tested(raw: DataFrame, blacklist, vod_hosts) -> DataFrame:

@@ -9,34 +9,38 @@ from pyspark.sql import functions as F
 
 from linkloom import rules
 from linkloom.functions import urls
-from linkloom.functions.text import after_comma, has_comma, lines, strip
+from linkloom.functions.text import after_comma, has_comma, let, lines, strip
 from linkloom.operators.filters import filter_antibot
 from linkloom.scale import first_rows, top_per_key
 
 
 def _found_links(content: Column, patterns: Sequence[str]) -> Column:
     found = [F.regexp_extract_all(content, F.lit("(?i)" + p), F.lit(0)) for p in patterns]
-    return F.array_distinct(F.transform(F.flatten(F.array(*found)), urls.clean_link))
+    cleaned = F.array_distinct(F.transform(F.flatten(F.array(*found)), urls.clean_link))
+    return F.filter(cleaned, urls.is_playlist)
 
 
 def extract_links(
     docs: DataFrame, keys: Sequence[str] = ("source_id",), patterns: Sequence[str] = tuple(rules.URL_PATTERNS)
 ) -> DataFrame:
     """Playlist-like links found anywhere in the whole text, once per document."""
-    rows = docs.select(*keys, F.explode(_found_links(F.col("content"), patterns)).alias("link"))
-    # Distinct inside a document already; one document's text is a single cell.
-    return rows.filter(urls.is_playlist(F.col("link")))
+    return docs.select(*keys, F.explode(_found_links(F.col("content"), patterns)).alias("link"))
 
 
 def extract_line_urls(docs: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:
     """Links that stand on their own line (playlist-like only) or after a name and a comma (any)."""
-    line = F.col("line")
-    rows = docs.select(*keys, F.explode(F.transform(lines(F.col("content")), strip)).alias("line"))
-    rows = rows.filter((line != "") & ~line.startswith("#"))
-    pair = has_comma(line) & strip(after_comma(line)).startswith("http")
-    alone = line.rlike("^https?://") & urls.is_playlist(line)
-    both = F.array_compact(F.array(F.when(pair, strip(after_comma(line))), F.when(alone, line)))
-    return rows.select(*keys, F.explode(both).alias("link")).distinct()
+    def links(line):
+        pair = F.when(has_comma(line), strip(after_comma(line)))
+        alone = F.when(line.rlike("^https?://"), line)
+        return F.array(
+            let(pair, lambda u: F.when(u.startswith("http"), u)),
+            let(alone, lambda u: F.when(urls.is_playlist(u), u)),
+        )
+
+    stripped = F.filter(F.transform(lines(F.col("content")), strip), lambda x: x.rlike("^[^#]"))
+    # Distinct inside a document; one document's text is a single cell.
+    found = F.array_distinct(F.array_compact(F.flatten(F.transform(stripped, links))))
+    return docs.select(*keys, F.explode(found).alias("link"))
 
 
 def rank_by_domain_score(df: DataFrame, limit: int = 100, url: str = "url") -> DataFrame:

@@ -92,9 +92,8 @@ def parse_lines(
     """Entries (``keys``, ``order``, ``name``, ``url``) of a table of playlist lines."""
     if mode == "adjacent":
         return _parse_lines_adjacent(raw, keys, order, **scale)
-    rows = raw.withColumn("line", strip(F.col("line"))).select(
-        *keys, order, _event(F.col("line"), mode).alias("event")
-    ).filter("event IS NOT NULL")
+    event = let(strip(F.col("line")), lambda line: _event(line, mode))
+    rows = raw.select(*keys, order, event.alias("event")).filter("event IS NOT NULL")
     out = [*keys, order]
     emit = lambda df, prev: df.select(
         *out, _emit_name(F.col("event"), prev, mode).alias("name"), F.col("event.url").alias("url")

@@ -25,10 +25,8 @@ class HashChanges(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         scans = pd.concat([b[["scan_no", "hash"]] for b in rows]).sort_values("scan_no")
         before = self.state.get()[0] if self.state.exists() else None
-        scans["old"] = scans["hash"].shift(1)
-        if before is not None:
-            scans.iloc[0, scans.columns.get_loc("old")] = before
-        self.state.update((scans["hash"].iloc[-1],))
+        scans["old"] = [before, *scans["hash"].iloc[:-1]]
+        self.state.update((str(scans["hash"].iloc[-1]),))
         changed = scans[scans["old"].notna() & (scans["old"] != scans["hash"])]
         yield pd.DataFrame(
             {
