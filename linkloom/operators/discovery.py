@@ -14,21 +14,16 @@ from linkloom.operators.filters import filter_antibot
 from linkloom.scale import first_rows, top_per_key
 
 
-def _found_links(content: Column, patterns: Sequence[str]) -> Column:
+def found_links(content: Column, patterns: Sequence[str] = tuple(rules.URL_PATTERNS)) -> Column:
+    """Array of the distinct playlist-like links anywhere in a text."""
     found = [F.regexp_extract_all(content, F.lit("(?i)" + p), F.lit(0)) for p in patterns]
     cleaned = F.array_distinct(F.transform(F.flatten(F.array(*found)), urls.clean_link))
     return F.filter(cleaned, urls.is_playlist)
 
 
-def extract_links(
-    docs: DataFrame, keys: Sequence[str] = ("source_id",), patterns: Sequence[str] = tuple(rules.URL_PATTERNS)
-) -> DataFrame:
-    """Playlist-like links found anywhere in the whole text, once per document."""
-    return docs.select(*keys, F.explode(_found_links(F.col("content"), patterns)).alias("link"))
+def found_line_urls(content: Column) -> Column:
+    """Array of the distinct links on lines of their own or after a name and a comma."""
 
-
-def extract_line_urls(docs: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:
-    """Links that stand on their own line (playlist-like only) or after a name and a comma (any)."""
     def links(line):
         pair = F.when(has_comma(line), strip(after_comma(line)))
         alone = F.when(line.rlike("^https?://"), line)
@@ -37,10 +32,20 @@ def extract_line_urls(docs: DataFrame, keys: Sequence[str] = ("source_id",)) ->
             let(alone, lambda u: F.when(urls.is_playlist(u), u)),
         )
 
-    stripped = F.filter(F.transform(lines(F.col("content")), strip), lambda x: x.rlike("^[^#]"))
-    # Distinct inside a document; one document's text is a single cell.
-    found = F.array_distinct(F.array_compact(F.flatten(F.transform(stripped, links))))
-    return docs.select(*keys, F.explode(found).alias("link"))
+    stripped = F.filter(F.transform(lines(content), strip), lambda x: x.rlike("^[^#]"))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(stripped, links))))
+
+
+def extract_links(
+    docs: DataFrame, keys: Sequence[str] = ("source_id",), patterns: Sequence[str] = tuple(rules.URL_PATTERNS)
+) -> DataFrame:
+    """Playlist-like links found anywhere in the whole text, once per document; a map-only step."""
+    return docs.select(*keys, F.explode(found_links(F.col("content"), patterns)).alias("link"))
+
+
+def extract_line_urls(docs: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:
+    """Links that stand on their own line (playlist-like only) or after a name and a comma (any)."""
+    return docs.select(*keys, F.explode(found_line_urls(F.col("content"))).alias("link"))
 
 
 def rank_by_domain_score(df: DataFrame, limit: int = 100, url: str = "url") -> DataFrame:
@@ -72,20 +77,23 @@ def expand_frontier(
     """Links reachable from seed feeds directly or through one sub-playlist: ``link``, ``domain``.
 
     ``seeds`` has ``url``, ``seed_rank`` and ``domain``; ``docs`` has ``url`` and ``content``.
-    A link found by several seeds keeps the domain of the last one. Each sub-playlist is read
-    once however many seeds link to it: the winning seed is chosen before its text is opened.
+    A link found by several seeds keeps the domain of the last one. A sub-playlist counts once
+    however many seeds link to it: the winning seed is chosen before its links are followed.
     """
-    texts = docs.select("url", "content")
-    opened = seeds.join(texts, "url").select("seed_rank", "domain", "content")
-    direct = extract_line_urls(opened, ["seed_rank", "domain"])
-    extracted = direct.select("link").distinct()
-    subs = extract_links(opened, ["seed_rank", "domain"]).join(extracted, "link", "left_anti")
+    # Texts are read where they lie: only the links found in them travel to the joins.
+    content = F.col("content")
+    read = docs.select("url", found_line_urls(content).alias("_lines"), found_links(content).alias("_links"))
+    opened = seeds.join(read, "url").select("seed_rank", "domain", "_lines", "_links")
+
+    def rows(df, column):
+        return df.select("seed_rank", "domain", F.explode(column).alias("link"))
+
+    direct = rows(opened, "_lines")
+    subs = rows(opened, "_links").join(direct.select("link").distinct(), "link", "left_anti")
     subs = top_per_key(subs, ["seed_rank"], [F.asc("link")], cap)
     last = F.max_by("domain", "seed_rank").alias("domain"), F.max("seed_rank").alias("seed_rank")
     frontier = subs.groupBy(F.col("link").alias("url")).agg(*last)
-    below = extract_line_urls(
-        frontier.join(texts, "url").select("seed_rank", "domain", "content"), ["seed_rank", "domain"]
-    ).filter(urls.domain_score(F.col("link")) >= min_score)
+    below = rows(frontier.join(read, "url"), "_lines").filter(urls.domain_score(F.col("link")) >= min_score)
     return merge_discovered(direct.unionByName(below))
 
 

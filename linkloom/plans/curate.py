@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkloom import rules
 from linkloom.functions import names, scores
 from linkloom.operators import admission, evidence, filters, publish, ranking, runs
+from linkloom.scale import materialize
 
 
 class Options(NamedTuple):
@@ -23,6 +24,7 @@ class Options(NamedTuple):
     ttl_hours: float = 6
     reuse_recent: bool = True
     enforce_quota: bool = False
+    share: bool = True  # write judged links and channels once, since several outputs read them
     blacklist: Sequence[str] = tuple(rules.BLACKLIST)
     vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS)
     overseas: Sequence[str] = tuple(rules.OVERSEAS_KEYWORDS)
@@ -92,6 +94,7 @@ def curate(
         judged = judged.join(recent, "fp", "left").withColumn(
             "alive", F.col("alive") | F.coalesce("_recent", F.lit(False))
         ).drop("_recent")
+    judged = materialize(judged) if opts.share else judged
     valid, failed = evidence.split_valid_failed(judged)
     valid = valid.withColumns(
         {"quality": scores.default_quality(F.col("quality"), opts.min_quality), "seq": admission.seq()}
@@ -103,7 +106,8 @@ def curate(
         valid = evidence.evaluate_second_probe(valid.drop("status").join(second, "fp", "left"))
         valid = valid.filter("direct_ok").drop("direct_ok")
     channels = name_channels(valid, opts)
+    channels = materialize(channels) if opts.share else channels
     catalog = publishable(channels, opts)
     stats = runs.run_summary(judged)
     old = cache if cache is not None else accepted.select("fp", now.alias("validated_at")).limit(0)
-    return Result(catalog, failed, channels, stats, publish.updated_cache(valid, old, now, opts.ttl_hours))
+    return Result(catalog, failed, channels, stats, publish.updated_cache(channels, old, now, opts.ttl_hours))

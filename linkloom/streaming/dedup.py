@@ -38,7 +38,8 @@ class FirstPerTtl(StatefulProcessor):
         parts = [b[["ts_us", "seq"]] for b in rows]
         todo = pd.concat(parts).sort_values(["ts_us", "seq"]).drop_duplicates("ts_us")
         times, seqs = todo["ts_us"].to_numpy(np.int64), todo["seq"].to_numpy(np.int64)
-        last = self.last.get()[0] if self.last.exists() else None
+        kept = self.last.get()
+        last = kept[0] if kept is not None else None
         start, taken = 0, []
         while start < len(times):
             if last is not None:
@@ -50,7 +51,8 @@ class FirstPerTtl(StatefulProcessor):
             start += 1
         if taken:
             self.last.update((last,))
-        yield pd.DataFrame({"fp": [key[0]] * len(taken), "seq": seqs[taken], "ts_us": times[taken]})
+        fp = pd.Series([key[0]] * len(taken), dtype=object)
+        yield pd.DataFrame({"fp": fp, "seq": seqs[taken], "ts_us": times[taken]})
 
     def close(self) -> None:
         pass

@@ -23,17 +23,22 @@ class HashChanges(StatefulProcessor):
         self.state = handle.getValueState("hash", "hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        scans = pd.concat([b[["scan_no", "hash"]] for b in rows]).sort_values("scan_no")
-        before = self.state.get()[0] if self.state.exists() else None
-        scans["old"] = [before, *scans["hash"].iloc[:-1]]
-        self.state.update((str(scans["hash"].iloc[-1]),))
-        changed = scans[scans["old"].notna() & (scans["old"] != scans["hash"])]
+        scans = sorted(r for b in rows for r in zip(b["scan_no"].tolist(), b["hash"].tolist()))
+        kept = self.state.get()
+        before = kept[0] if kept is not None else None
+        changes = []
+        for scan_no, new in scans:
+            if before is not None and before != new:
+                changes.append((scan_no, before, new))
+            before = new
+        self.state.update((before,))
+        # Plain object columns: Arrow-backed strings come out chunked, which the sink cannot take.
         yield pd.DataFrame(
             {
-                "url": [key[0]] * len(changed),
-                "scan_no": changed["scan_no"].to_numpy("int64"),
-                "old_hash": changed["old"].to_numpy(object),
-                "new_hash": changed["hash"].to_numpy(object),
+                "url": pd.Series([key[0]] * len(changes), dtype=object),
+                "scan_no": pd.Series([c[0] for c in changes], dtype="int64"),
+                "old_hash": pd.Series([c[1] for c in changes], dtype=object),
+                "new_hash": pd.Series([c[2] for c in changes], dtype=object),
             }
         )
 
