@@ -223,10 +223,7 @@ def is_non_public(
         return _in_ranges(n, blocks, 4) & ~_in_ranges(n, exceptions, 4)
 
     def v6(x):
-        mapped = x.startswith("0" * 20 + "ffff")
-        as_v4 = F.conv(F.substring(x, 25, 8), 16, 10).cast("bigint")
-        plain = _in_ranges(x, blocks, 6) & ~_in_ranges(x, exceptions, 6)
-        return F.when(mapped, let(as_v4, v4)).otherwise(plain)
+        return _in_ranges(x, blocks, 6) & ~_in_ranges(x, exceptions, 6)
 
     def test(x):
         literal = F.when(F.contains(x, F.lit(":")), let(ipv6_hex(x), v6)).otherwise(let(ipv4_number(x), v4))

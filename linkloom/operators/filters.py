@@ -82,15 +82,16 @@ def min_speed(df: DataFrame, mbps: float = 0.001) -> DataFrame:
 
 def resolution(text: Column, legacy: bool = False) -> tuple[Column, Column]:
     """Width and height recorded in probe output; NULL when absent."""
+    def sides(pattern):
+        return [F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2)]
+
     if legacy:
-        pair = F.when(text.rlike(r"width=\d+\s+height=\d+"), F.lit(r"width=(\d+)\s+height=(\d+)")).otherwise(
-            r"(\d{3,4})x(\d{3,4})"
-        )
-        return tuple(F.regexp_extract(text, pair, i).try_cast("int") for i in (1, 2))
-    by_name = [F.regexp_extract(text, rf"{side}=(\d+)", 1).try_cast("int") for side in ("width", "height")]
-    by_pair = [F.regexp_extract(text, r"^\s*(\d+)x(\d+)\s*$", i).try_cast("int") for i in (1, 2)]
-    both = by_name[0].isNotNull() & by_name[1].isNotNull()
-    return tuple(F.when(both, n).otherwise(p) for n, p in zip(by_name, by_pair))
+        named, pair = sides(r"width=(\d+)\s+height=(\d+)"), sides(r"(\d{3,4})x(\d{3,4})")
+    else:
+        named = [F.regexp_extract(text, rf"{side}=(\d+)", 1).try_cast("int") for side in ("width", "height")]
+        pair = sides(r"^\s*(\d+)x(\d+)\s*$")
+    both = named[0].isNotNull() & named[1].isNotNull()
+    return tuple(F.when(both, n).otherwise(p) for n, p in zip(named, pair))
 
 
 def min_resolution(df: DataFrame, text: str = "stdout", width: int = 640, height: int = 480, legacy: bool = False) -> DataFrame:

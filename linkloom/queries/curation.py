@@ -41,7 +41,8 @@ def _cache(spark, sf):
     return rows.select(urls.fingerprint(F.col("url")).alias("fp"), F.lit("2024-01-01 05:00:00").cast("timestamp").alias("validated_at"))
 
 
-NOW = F.lit("2024-01-01 08:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-01-01 08:00:00").cast("timestamp")
 
 
 def accepted(spark, sf):
@@ -50,18 +51,18 @@ def accepted(spark, sf):
 
 @query("admit_reasons", f"{REASONS} SELECT source_rank, line_no, reject_reason FROM reasons")
 def admit_reasons(spark, sf):
-    out = admission.admission_reasons(table(spark, sf, "raw"), _cache(spark, sf), NOW, 6, BLACKLIST, VOD)
+    out = admission.admission_reasons(table(spark, sf, "raw"), _cache(spark, sf), now(), 6, BLACKLIST, VOD)
     return out.select(*KEY, "reject_reason")
 
 
 @query("reject_summary", f"{REASONS} SELECT reject_reason, count(*) AS n FROM reasons GROUP BY 1")
 def reject_summary(spark, sf):
-    return admission.reject_summary(table(spark, sf, "raw"), _cache(spark, sf), NOW, 6, BLACKLIST, VOD)
+    return admission.reject_summary(table(spark, sf, "raw"), _cache(spark, sf), now(), 6, BLACKLIST, VOD)
 
 
 @query("admitted_entries", f"{REASONS} SELECT source_rank, line_no, name, url, fp, {q.host('url')} AS host FROM reasons WHERE reject_reason = 'accepted'")
 def admitted_entries(spark, sf):
-    out = admission.admit(table(spark, sf, "raw"), _cache(spark, sf), NOW, 6, BLACKLIST, VOD)
+    out = admission.admit(table(spark, sf, "raw"), _cache(spark, sf), now(), 6, BLACKLIST, VOD)
     return out.select(*KEY, "name", "url", "fp", "host")
 
 

@@ -8,7 +8,7 @@ from linkloom.operators import evidence
 from linkloom.plans.curate import Options, curate
 from linkloom.queries import sql as q
 from linkloom.queries.carriers import table
-from linkloom.queries.curation import BLACKLIST, NO_CACHE, NOW, VOD
+from linkloom.queries.curation import BLACKLIST, NO_CACHE, VOD, now
 from linkloom.queries.registry import query
 
 RULES = {"4K专区": ["gear", "gizmo"], "影视剧集": ["ring"], "体育赛事": ["bolt", "plate"]}
@@ -46,4 +46,4 @@ top AS (SELECT n.*, b.best, b.first_seq, row_number() OVER (PARTITION BY categor
 o AS (SELECT row_number() OVER (ORDER BY {_RANKED}, -best, first_seq, norm_name, rn) AS line_no, category, replace(shown, ' ', '') AS name, url, quality, fp FROM top WHERE rn <= 2)
 SELECT * FROM o WHERE line_no <= 300""")
 def curate_catalog(spark, sf):
-    return curate([table(spark, sf, "raw")], _probes(spark, sf), NOW, opts=OPTS).catalog
+    return curate([table(spark, sf, "raw")], _probes(spark, sf), now(), opts=OPTS).catalog
