@@ -11,13 +11,23 @@ from linkloom import rules
 from linkloom.functions import urls
 from linkloom.functions.text import after_comma, has_comma, let, lines, strip
 from linkloom.operators.filters import filter_antibot
-from linkloom.scale import first_rows, top_per_key
+from linkloom.scale import first_rows, materialize, top_per_key
+
+
+# Every link pattern matches inside one run of these characters.
+_TOKEN = r"(?iU)https?://[^\s<>\"']+"
 
 
 def found_links(content: Column, patterns: Sequence[str] = tuple(rules.URL_PATTERNS)) -> Column:
-    """Array of the distinct playlist-like links anywhere in a text."""
-    found = [F.regexp_extract_all(content, F.lit("(?i)" + p), F.lit(0)) for p in patterns]
-    cleaned = F.array_distinct(F.transform(F.flatten(F.array(*found)), urls.clean_link))
+    """Array of the distinct playlist-like links anywhere in a text.
+
+    The text is scanned once for link-like runs; the patterns are then tried on those only.
+    """
+    def matches(token):
+        return F.flatten(F.array(*[F.regexp_extract_all(token, F.lit("(?iU)" + p), F.lit(0)) for p in patterns]))
+
+    tokens = F.array_distinct(F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0)))
+    cleaned = F.array_distinct(F.transform(F.flatten(F.transform(tokens, matches)), urls.clean_link))
     return F.filter(cleaned, urls.is_playlist)
 
 
@@ -32,8 +42,9 @@ def found_line_urls(content: Column) -> Column:
             let(alone, lambda u: F.when(urls.is_playlist(u), u)),
         )
 
-    stripped = F.filter(F.transform(lines(content), strip), lambda x: x.rlike("^[^#]"))
-    return F.array_distinct(F.array_compact(F.flatten(F.transform(stripped, links))))
+    candidates = F.transform(F.filter(lines(content), lambda x: F.contains(x, F.lit("http"))), strip)
+    kept = F.filter(candidates, lambda x: ~x.startswith("#"))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(kept, links))))
 
 
 def extract_links(
@@ -80,9 +91,10 @@ def expand_frontier(
     A link found by several seeds keeps the domain of the last one. A sub-playlist counts once
     however many seeds link to it: the winning seed is chosen before its links are followed.
     """
-    # Texts are read where they lie: only the links found in them travel to the joins.
+    # Texts are read once, where they lie: only the links found in them travel to the joins.
     content = F.col("content")
     read = docs.select("url", found_line_urls(content).alias("_lines"), found_links(content).alias("_links"))
+    read = materialize(read)
     opened = seeds.join(read, "url").select("seed_rank", "domain", "_lines", "_links")
 
     def rows(df, column):

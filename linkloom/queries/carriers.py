@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.scale import spread
+
 # Catalog entries with every kind of rejection, repeated fingerprints, and a quality.
 CATALOG = """
 SELECT CAST(p_partkey % 5 AS BIGINT) AS source_rank, CAST(p_partkey AS BIGINT) AS line_no,
@@ -117,6 +119,9 @@ SELECT concat(CASE p_partkey % 4 WHEN 0 THEN 'https://gh-proxy.com/' WHEN 1 THEN
 FROM {part}
 """
 
+# Tables of long texts, where the work per row is worth a better spread of few files.
+TEXTS = ("documents", "pages", "conversations")
+
 _SQL = {
     "catalog": (CATALOG, ["part"]),
     "raw": (RAW, ["catalog"]),
@@ -134,7 +139,8 @@ _SQL = {
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table, or the carrier of that name."""
     if name not in _SQL:
-        return spark.read.parquet(f"{sf}/{name}.parquet")
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
     sql, inputs = _SQL[name]
     return spark.sql(sql, **{i: table(spark, sf, i) for i in inputs})
 

@@ -39,6 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows of an input that has fewer files than there are cores.
+
+    A large input is many files and stays where it is; only a small one is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
     return df.withColumn("_blk", F.expr(f"`{order}` div {block}L"))
 

@@ -137,12 +137,15 @@ def ingest_playlists(docs: DataFrame, mode: str = "pending", keys: Sequence[str]
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "adjacent":
         return _ingest_adjacent(docs, keys)
+    # Lines that cannot matter are dropped before anything is computed for them.
+    marks = "#EXTINF:|http" if mode == "pending" else "#EXTINF:|http|,"
+    numbered = F.transform(lines(F.col("content")), lambda x, i: F.struct(i.cast("bigint").alias("line_no"), x.alias("line")))
+    numbered = F.filter(numbered, lambda e: e["line"].rlike(marks))
     numbered = F.transform(
-        lines(F.col("content")),
-        lambda x, i: F.struct(i.cast("bigint").alias("line_no"), let(strip(x), lambda y: _event(y, mode)).alias("event")),
+        numbered,
+        lambda e: F.struct(e["line_no"].alias("line_no"), let(strip(e["line"]), lambda y: _event(y, mode)).alias("event")),
     )
     events = F.filter(numbered, lambda e: e["event"].isNotNull())
-    changes = events if mode == "legacy" else F.filter(events, lambda e: e["event"]["kind"] != "pair")
 
     def link(arr):
         return F.transform(
@@ -153,15 +156,14 @@ def ingest_playlists(docs: DataFrame, mode: str = "pending", keys: Sequence[str]
             ),
         )
 
-    linked = F.filter(let(changes, link), lambda e: e["event"]["url"].isNotNull())
-    if mode != "legacy":
-        pairs = F.filter(events, lambda e: e["event"]["kind"] == "pair")
-        none = F.when(F.lit(False), F.get(events, F.lit(0))["event"])
-        pairs = F.transform(
-            pairs,
-            lambda e: F.struct(e["line_no"].alias("line_no"), e["event"].alias("event"), none.alias("prev")),
-        )
-        linked = F.concat(linked, pairs)
+    def emitted(arr):
+        # Pairs leave the pending name alone in the pending mode, so they are linked apart.
+        if mode == "legacy":
+            return link(arr)
+        is_pair = lambda e: e["event"]["kind"] == "pair"
+        return F.concat(let(F.filter(arr, lambda e: ~is_pair(e)), link), link(F.filter(arr, is_pair)))
+
+    linked = F.filter(let(events, emitted), lambda e: e["event"]["url"].isNotNull())
     rows = docs.select(*keys, F.explode(linked).alias("e")).select(*keys, "e.*")
     return rows.select(
         *keys, "line_no",

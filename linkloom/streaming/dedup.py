@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,54 +24,45 @@ def _earliest_per_instant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         yield batch.sort_values("seq").drop_duplicates(["fp", "ts_us"])
 
 
-class FirstPerTtl(StatefulProcessor):
-    """Emits a row when more than the time to live has passed since the last emitted row."""
-
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts_us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+def _first_per_ttl(ttl_us: int):
+    def accept(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # Only (time, seq) of the key's rows in this micro-batch are held, and one per instant.
-        parts = [b[["ts_us", "seq"]] for b in rows]
-        todo = pd.concat(parts).sort_values(["ts_us", "seq"]).drop_duplicates("ts_us")
+        todo = pd.concat([b[["ts_us", "seq"]] for b in batches])
+        todo = todo.sort_values(["ts_us", "seq"]).drop_duplicates("ts_us")
         times, seqs = todo["ts_us"].to_numpy(np.int64), todo["seq"].to_numpy(np.int64)
-        kept = self.last.get()
-        last = kept[0] if kept is not None else None
+        last = state.get[0] if state.exists else None
         start, taken = 0, []
         while start < len(times):
             if last is not None:
-                start = int(np.searchsorted(times, last + self.ttl_us, side="right"))
+                start = int(np.searchsorted(times, last + ttl_us, side="right"))
                 if start >= len(times):
                     break
             last = int(times[start])
             taken.append(start)
             start += 1
         if taken:
-            self.last.update((last,))
+            state.update((last,))
         fp = pd.Series([key[0]] * len(taken), dtype=object)
         yield pd.DataFrame({"fp": fp, "seq": seqs[taken], "ts_us": times[taken]})
 
-    def close(self) -> None:
-        pass
+    return accept
 
 
 def stream_dedup_ttl(stream: DataFrame, ttl_hours: float = 6) -> DataFrame:
     """Rows (``fp``, ``seq``, ``ts_us``) of a stream that are first within their time to live.
 
-    Each partition drops repeats of the same instant before the shuffle. Rows of a fingerprint
-    must not arrive in a later micro-batch than rows that are newer by more than the time to live.
+    Each partition drops repeats of the same instant before the shuffle. The state of a key is
+    one number and travels with its rows in Arrow batches. Rows of a fingerprint must not arrive
+    in a later micro-batch than rows that are newer by more than the time to live.
     """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = stream.select("fp", "seq", "ts_us").mapInPandas(_earliest_per_instant, "fp string, seq long, ts_us long")
-    return slim.groupBy("fp").transformWithStateInPandas(
-        FirstPerTtl(int(ttl_hours * 3_600_000_000)),
+    return slim.groupBy("fp").applyInPandasWithState(
+        _first_per_ttl(int(ttl_hours * 3_600_000_000)),
         outputStructType="fp string, seq long, ts_us long",
+        stateStructType="last_us long",
         outputMode="append",
-        timeMode="none",
+        timeoutConf=GroupStateTimeout.NoTimeout,
     )
 
 

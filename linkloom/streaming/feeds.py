@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkloom.streaming.dedup import STATE_STORE
 
@@ -16,34 +16,25 @@ from linkloom.streaming.dedup import STATE_STORE
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class HashChanges(StatefulProcessor):
-    """Keeps the last hash of a feed and emits a row when a scan brings another one."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("hash", "hash string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        scans = sorted(r for b in rows for r in zip(b["scan_no"].tolist(), b["hash"].tolist()))
-        kept = self.state.get()
-        before = kept[0] if kept is not None else None
-        changes = []
-        for scan_no, new in scans:
-            if before is not None and before != new:
-                changes.append((scan_no, before, new))
-            before = new
-        self.state.update((before,))
-        # Plain object columns: Arrow-backed strings come out chunked, which the sink cannot take.
-        yield pd.DataFrame(
-            {
-                "url": pd.Series([key[0]] * len(changes), dtype=object),
-                "scan_no": pd.Series([c[0] for c in changes], dtype="int64"),
-                "old_hash": pd.Series([c[1] for c in changes], dtype=object),
-                "new_hash": pd.Series([c[2] for c in changes], dtype=object),
-            }
-        )
-
-    def close(self) -> None:
-        pass
+def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A row for every scan that brings another hash than the scan before it."""
+    scans = sorted(r for b in batches for r in zip(b["scan_no"].tolist(), b["hash"].tolist()))
+    before = state.get[0] if state.exists else None
+    found = []
+    for scan_no, new in scans:
+        if before is not None and before != new:
+            found.append((scan_no, before, new))
+        before = new
+    state.update((before,))
+    # Plain object columns: Arrow-backed strings come out chunked, which the sink cannot take.
+    yield pd.DataFrame(
+        {
+            "url": pd.Series([key[0]] * len(found), dtype=object),
+            "scan_no": pd.Series([c[0] for c in found], dtype="int64"),
+            "old_hash": pd.Series([c[1] for c in found], dtype=object),
+            "new_hash": pd.Series([c[2] for c in found], dtype=object),
+        }
+    )
 
 
 def stream_feed_changes(scans: DataFrame) -> DataFrame:
@@ -52,10 +43,11 @@ def stream_feed_changes(scans: DataFrame) -> DataFrame:
     return (
         scans.select("url", "scan_no", "hash")
         .groupBy("url")
-        .transformWithStateInPandas(
-            HashChanges(),
+        .applyInPandasWithState(
+            _changes,
             outputStructType="url string, scan_no long, old_hash string, new_hash string",
+            stateStructType="hash string",
             outputMode="append",
-            timeMode="none",
+            timeoutConf=GroupStateTimeout.NoTimeout,
         )
     )
