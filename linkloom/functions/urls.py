@@ -15,32 +15,28 @@ from pyspark.sql import functions as F
 from linkloom import rules
 from linkloom.functions.text import any_of, contains_any, let, literal_pairs
 
-_URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_SCHEME = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _URL, 1))
+    return F.lower(F.regexp_extract(url, _SCHEME, 1))
 
 
 def netloc(url: Column) -> Column:
-    return F.regexp_extract(url, _URL, 2)
-
-
-def raw_path(url: Column) -> Column:
-    return F.regexp_extract(url, _URL, 3)
+    return F.regexp_extract(url, _SCHEME + "//([^/?#]*)", 2)
 
 
 def path(url: Column) -> Column:
     """Path without the ``;parameters`` of its last segment."""
-    return F.regexp_replace(raw_path(url), r";[^/]*$", "")
+    return F.regexp_extract(url, _SCHEME + r"(?://[^/?#]*)?((?:[^?#;]+|;(?=[^?#]*/))*)", 2)
 
 
-def query(url: Column) -> Column:
-    return F.regexp_extract(url, _URL, 4)
+def raw_path(url: Column) -> Column:
+    return F.regexp_extract(url, _SCHEME + "(?://[^/?#]*)?([^?#]*)", 2)
 
 
-def fragment(url: Column) -> Column:
-    return F.regexp_extract(url, _URL, 5)
+def query(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
 _SERVER = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?"

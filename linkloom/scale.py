@@ -52,14 +52,14 @@ def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
     return df.withColumn("_blk", F.expr(f"`{order}` div {block}L"))
 
 
-def _scan(rows: DataFrame, seeds: DataFrame, order: str, keys: Sequence[str], out: dict[str, Column], exclusive: bool):
+def _scan(rows: DataFrame, seeds: DataFrame, order: str, keys: Sequence[str], out: dict[str, Column], end: int | None):
     """Window each block, started by its seed row, and drop the seeds again.
 
     Seeds travel with the rows through the one shuffle the window needs, so nothing is joined.
     """
     w = Window.partitionBy(*keys, "_blk").orderBy(F.col("_seed").desc(), F.col(order))
-    if not exclusive:
-        w = w.rowsBetween(Window.unboundedPreceding, 0)
+    if end is not None:
+        w = w.rowsBetween(Window.unboundedPreceding, end)
     both = rows.withColumn("_seed", F.lit(False)).unionByName(
         seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
     )
@@ -78,14 +78,18 @@ def lag_in_order(
         .withColumn("_val", F.lag("_val").over(across))
         .filter(F.col("_val").isNotNull())
     )
-    out = _scan(rows, seeds, order, keys, {"_lagged": F.lag("_val")}, exclusive=True)
+    out = _scan(rows, seeds, order, keys, {"_lagged": F.lag("_val")}, None)
     return out.withColumn(name, F.col("_lagged.v")).drop("_val", "_lagged")
 
 
 def fill_in_order(
-    df: DataFrame, order: str, value: Column, name: str, keys: Sequence[str] = (), block: int = BLOCK
+    df: DataFrame, order: str, value: Column, name: str, keys: Sequence[str] = (), block: int = BLOCK,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Add ``name``: the last non-NULL ``value`` up to and including each row of the same keys."""
+    """Add ``name``: the last non-NULL ``value`` of the same keys up to each row.
+
+    The row itself counts unless ``exclusive``.
+    """
     rows = _blocked(df, order, block).withColumn("_val", value)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     at = F.when(F.col("_val").isNotNull(), F.col(order))
@@ -95,7 +99,7 @@ def fill_in_order(
         .withColumn("_val", F.last("_val", ignorenulls=True).over(before))
         .filter(F.col("_val").isNotNull())
     )
-    out = _scan(rows, seeds, order, keys, {name: F.last("_val", ignorenulls=True)}, exclusive=False)
+    out = _scan(rows, seeds, order, keys, {name: F.last("_val", ignorenulls=True)}, -1 if exclusive else 0)
     return out.drop("_val")
 
 
@@ -108,7 +112,7 @@ def running_sums(
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     seeds = rows.groupBy(*keys, "_blk").agg(*[F.sum(i).alias(i) for i in inputs.values()])
     seeds = seeds.select(*keys, "_blk", *[F.sum(i).over(before).alias(i) for i in inputs.values()])
-    out = _scan(rows, seeds, order, keys, {n: F.sum(i) for n, i in inputs.items()}, False)
+    out = _scan(rows, seeds, order, keys, {n: F.sum(i) for n, i in inputs.items()}, 0)
     return out.drop(*inputs.values())
 
 
@@ -154,6 +158,14 @@ def first_rows(df: DataFrame, order: Sequence[Column], limit: int, name: str) ->
 def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], k: int, name: str | None = None) -> DataFrame:
     """At most ``k`` rows per key. Each task drops losers before the shuffle, so hot keys shrink first."""
     rank = name or "_rank"
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+    def cut(rows, by):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+    if k > 1000:
+        # Spark drops losers early only for small k; a large one is cut in salted parts of a key first.
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
+        df = cut(salted, [*keys, "_salt"]).drop("_salt", rank)
+    out = cut(df, keys)
     return out.withColumn(rank, F.col(rank).cast("bigint")) if name else out.drop(rank)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from linkloom import rules
 from linkloom.functions.text import after_comma, before_comma, has_comma, let, lines, strip
 from linkloom.functions.urls import netloc
-from linkloom.scale import lag_in_order
+from linkloom.scale import fill_in_order, lag_in_order
 
 MODES = ("pending", "adjacent", "legacy")
 
@@ -94,18 +94,13 @@ def parse_lines(
         return _parse_lines_adjacent(raw, keys, order, **scale)
     event = let(strip(F.col("line")), lambda line: _event(line, mode))
     rows = raw.select(*keys, order, event.alias("event")).filter("event IS NOT NULL")
-    out = [*keys, order]
-    emit = lambda df, prev: df.select(
-        *out, _emit_name(F.col("event"), prev, mode).alias("name"), F.col("event.url").alias("url")
+    # Pairs leave the pending name alone in the pending mode, so they are looked through.
+    event = F.col("event")
+    change = event if mode == "legacy" else F.when(event["kind"] != "pair", event)
+    linked = fill_in_order(rows, order, change, "prev", keys, exclusive=True, **scale)
+    return linked.filter("event.url IS NOT NULL").select(
+        *keys, order, _emit_name(event, F.col("prev"), mode).alias("name"), event["url"].alias("url")
     )
-    if mode == "legacy":
-        linked = lag_in_order(rows, order, F.col("event"), "prev", keys, **scale)
-        return emit(linked.filter("event.url IS NOT NULL"), F.col("prev"))
-    # Pairs leave the pending name alone, so they stay outside the window.
-    linked = lag_in_order(rows.filter("event.kind <> 'pair'"), order, F.col("event"), "prev", keys, **scale)
-    pairs = rows.filter("event.kind = 'pair'").withColumn("prev", F.lit(None).cast(rows.schema["event"].dataType))
-    both = linked.filter("event.kind = 'url'").unionByName(pairs)
-    return emit(both, F.col("prev"))
 
 
 def _parse_lines_adjacent(raw: DataFrame, keys, order, **scale) -> DataFrame:

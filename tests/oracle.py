@@ -14,6 +14,11 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -47,17 +52,14 @@ def compare(spark, con, name, fn, sql, sf_dir):
     problems = []
     if sql is None:
         return problems, len(got), seconds
+    want_types = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
     cur = con.execute(sql)
-    want_cols, want_types = [d[0] for d in cur.description], {d[0]: str(d[1]) for d in cur.description}
-    want = cur.fetchall()
+    want_cols, want = [d[0] for d in cur.description], cur.fetchall()
     if sorted(got_cols) != sorted(want_cols):
         return [f"columns {sorted(got_cols)} != {sorted(want_cols)}"], len(got), seconds
-    spark_types = dict(df.dtypes)
-    same = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "date": "DATE"}
-    for c in got_cols:
-        want_t = same.get(spark_types[c])
-        if want_t and want_types[c] not in (want_t, "NUMBER", "STRING", "bool"):
-            problems.append(f"type of {c}: {spark_types[c]} vs {want_types[c]}")
+    for c, t in df.dtypes:
+        if TYPES[t] != want_types[c]:
+            problems.append(f"type of {c}: {t} vs {want_types[c]}")
     a, b = rows(got_cols, got), rows(want_cols, want)
     if a != b:
         extra = [x for x in a if x not in set(b)][:3]

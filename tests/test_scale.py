@@ -70,3 +70,9 @@ def test_hot_key_is_split(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "_blk" in plan
     assert out.agg(F.max("n")).first()[0] == 1000
+
+
+def test_large_limits_are_cut_in_salted_parts(spark):
+    hot = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
+    out = scale.top_per_key(hot, ["k"], [F.desc("o")], 1500, "rn")
+    assert {(r.k, r.n, r.low) for r in out.groupBy("k").agg(F.count("*").alias("n"), F.min("o").alias("low")).collect()} == {(0, 1500, 2000), (1, 1500, 2001)}
