@@ -18,8 +18,10 @@ from linkloom.scale import first_rows, materialize, top_per_key
 _TOKEN = r"(?iU)https?://[^\s<>\"']+"
 
 
-def found_links(content: Column, patterns: Sequence[str] = tuple(rules.URL_PATTERNS)) -> Column:
-    """Array of the distinct playlist-like links anywhere in a text.
+def found_links(
+    content: Column, patterns: Sequence[str] = tuple(rules.URL_PATTERNS), playlists_only: bool = True
+) -> Column:
+    """Array of the distinct (playlist-like) links anywhere in a text.
 
     The text is scanned once for link-like runs; the patterns are then tried on those only.
     """
@@ -27,8 +29,10 @@ def found_links(content: Column, patterns: Sequence[str] = tuple(rules.URL_PATTE
         return F.flatten(F.array(*[F.regexp_extract_all(token, F.lit("(?iU)" + p), F.lit(0)) for p in patterns]))
 
     tokens = F.array_distinct(F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0)))
-    cleaned = F.array_distinct(F.transform(F.flatten(F.transform(tokens, matches)), urls.clean_link))
-    return F.filter(cleaned, urls.is_playlist)
+    found = F.flatten(F.transform(tokens, matches))
+    if not playlists_only:
+        return F.array_distinct(found)
+    return F.filter(F.array_distinct(F.transform(found, urls.clean_link)), urls.is_playlist)
 
 
 def found_line_urls(content: Column) -> Column:
@@ -48,10 +52,15 @@ def found_line_urls(content: Column) -> Column:
 
 
 def extract_links(
-    docs: DataFrame, keys: Sequence[str] = ("source_id",), patterns: Sequence[str] = tuple(rules.URL_PATTERNS)
+    docs: DataFrame, keys: Sequence[str] = ("source_id",), patterns: Sequence[str] = tuple(rules.URL_PATTERNS),
+    playlists_only: bool = True,
 ) -> DataFrame:
-    """Playlist-like links found anywhere in the whole text, once per document; a map-only step."""
-    return docs.select(*keys, F.explode(found_links(F.col("content"), patterns)).alias("link"))
+    """Links found anywhere in the whole text, once per document; a map-only step.
+
+    The earlier crawl used ``rules.LEGACY_URL_PATTERNS`` without the playlist test and cleaning.
+    """
+    found = found_links(F.col("content"), patterns, playlists_only)
+    return docs.select(*keys, F.explode(found).alias("link"))
 
 
 def extract_line_urls(docs: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:

@@ -47,6 +47,35 @@ def run_summary(
     )
 
 
+def run_record(
+    judged: DataFrame, channels: DataFrame, catalog: DataFrame, run_id: str, run_ts: Column,
+    filtered: Column | None = None, duration_s: float = 0.0,
+) -> DataFrame:
+    """The history row of one run.
+
+    ``judged`` are the candidates with ``alive``, ``channels`` the links valid in the end with
+    ``overseas``, ``catalog`` the written rows with ``category``. All parts are aggregates,
+    brought together as scalar subqueries.
+    """
+    written = catalog.groupBy("category").agg(F.count("*").alias("n"))
+    # One entry per category, as many as the category table has.
+    by_category = written.agg(F.map_from_entries(F.collect_list(F.struct("category", "n")))).scalar()
+    regions = region_counts(channels).select(F.struct("cn", "overseas")).scalar()
+    row = run_summary(judged, filtered=filtered).drop("valid", "written", "duration_s").withColumns(
+        {
+            "valid": channels.agg(F.count("*")).scalar(),
+            "written": catalog.agg(F.count("*")).scalar(),
+            "by_category": by_category,
+            "by_overseas": regions,
+        }
+    )
+    rate = F.coalesce(F.try_divide(F.col("valid") * 100.0, F.col("total")), F.lit(0.0))
+    return row.select(
+        F.lit(run_id).alias("run_id"), run_ts.alias("run_ts"), "total", "valid", "failed", "filtered", "written",
+        rate.alias("success_rate"), F.lit(float(duration_s)).alias("duration_s"), "by_category", "by_overseas",
+    )
+
+
 def catalog_summary(catalog: DataFrame, group: str = "category") -> DataFrame:
     """Channel lines and groups of a catalog."""
     per_group = catalog.groupBy(group).agg(F.count("*").alias("n"))

@@ -75,6 +75,7 @@ def curate(
     cache: DataFrame | None = None,
     second_probes: DataFrame | None = None,
     opts: Options = Options(),
+    run_id: str = "run",
 ) -> Result:
     """Run the whole job. ``sources`` are entry or raw-line tables in order of priority.
 
@@ -108,6 +109,7 @@ def curate(
     channels = name_channels(valid, opts)
     channels = materialize(channels) if opts.share else channels
     catalog = publishable(channels, opts)
-    stats = runs.run_summary(judged)
+    slow = F.col("alive") & (F.col("speed") < opts.min_speed) if opts.min_speed is not None else None
+    stats = runs.run_record(judged, channels, catalog, run_id, now, slow)
     old = cache if cache is not None else accepted.select("fp", now.alias("validated_at")).limit(0)
     return Result(catalog, failed, channels, stats, publish.updated_cache(channels, old, now, opts.ttl_hours))

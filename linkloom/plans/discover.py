@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators import discovery
+from linkloom.scale import materialize
 
 
 def discover(seeds: DataFrame, docs: DataFrame, cap: int = 15) -> DataFrame:
@@ -17,7 +18,8 @@ def discover(seeds: DataFrame, docs: DataFrame, cap: int = 15) -> DataFrame:
     tried = discovery.expand_mirrors(seeds.select("url"))
     reached = discovery.first_success(tried, docs)
     named = seeds.withColumn("domain", discovery.base_domain(F.col("url"))).join(reached, "url")
-    opened = named.select(F.col("candidate").alias("url"), "seed_rank", "domain")
+    # A row per seed, read several times below.
+    opened = materialize(named.select(F.col("candidate").alias("url"), "seed_rank", "domain"))
     good = discovery.filter_antibot(docs.filter("status = 200"))
     found = discovery.name_discovered(discovery.expand_frontier(opened, good, cap))
     return found.select("name", F.col("link").alias("url"), "domain")

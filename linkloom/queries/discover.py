@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkloom import rules
 from linkloom.operators import discovery
 from linkloom.plans.discover import discover
 from linkloom.queries import sql as q
@@ -33,6 +34,18 @@ def page_links(spark, sf):
     return discovery.extract_links(table(spark, sf, "docs"), ["doc_id"])
 
 
+_LEGACY = " UNION ".join(
+    f"SELECT doc_id, unnest(regexp_extract_all(content, '(?i)https?://[^\\s<>\"'']+{p}[^\\s<>\"'']*')) AS link FROM docs"
+    for p in (r"\.(?:m3u|m3u8|txt|php\?|\?type=m3u)", "/live", "/stream", "/tv", r":\d{4,5}")
+)
+
+
+@query("page_links_legacy", f"{ctes('docs')} SELECT DISTINCT doc_id, link FROM ({_LEGACY})")
+def page_links_legacy(spark, sf):
+    docs = table(spark, sf, "docs")
+    return discovery.extract_links(docs, ["doc_id"], rules.LEGACY_URL_PATTERNS, playlists_only=False)
+
+
 _HREF = r'href="[^"]+"'
 
 

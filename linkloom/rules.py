@@ -98,6 +98,14 @@ URL_PATTERNS = [
     r"https?://[^\s<>\"']+(?:\.cos\.[^\s<>\"']+|\.oss\.[^\s<>\"']+|\.s3[^\s<>\"']+)(?:/[^\s<>\"']*)?",
 ]
 
+LEGACY_URL_PATTERNS = [
+    r"https?://[^\s<>\"']+\.(?:m3u|m3u8|txt|php\?|\?type=m3u)[^\s<>\"']*",
+    r"https?://[^\s<>\"']+/live[^\s<>\"']*",
+    r"https?://[^\s<>\"']+/stream[^\s<>\"']*",
+    r"https?://[^\s<>\"']+/tv[^\s<>\"']*",
+    r"https?://[^\s<>\"']+:\d{4,5}[^\s<>\"']*",
+]
+
 ANTIBOT_MARKS = [
     "<!doctype", "<html", '{"code"', "<script", "cloudfront", "accessdenied", "rate limit",
 ]
