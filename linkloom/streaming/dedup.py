@@ -27,9 +27,10 @@ def _earliest_per_instant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
 def _first_per_ttl(ttl_us: int):
     def accept(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # Only (time, seq) of the key's rows in this micro-batch are held, and one per instant.
-        todo = pd.concat([b[["ts_us", "seq"]] for b in batches])
-        todo = todo.sort_values(["ts_us", "seq"]).drop_duplicates("ts_us")
-        times, seqs = todo["ts_us"].to_numpy(np.int64), todo["seq"].to_numpy(np.int64)
+        pairs = np.concatenate([b[["ts_us", "seq"]].to_numpy(np.int64) for b in batches])
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]]
+        times, seqs = pairs[:, 0], pairs[:, 1]
         last = state.get[0] if state.exists else None
         start, taken = 0, []
         while start < len(times):
