@@ -139,17 +139,8 @@ def proportional_quota(
     return c.withColumn("quota", quota.cast("bigint")).select("category", "rank", "n", "quota")
 
 
-def enforce_quota(df: DataFrame, quota: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Keep each category's first ``quota`` rows in output order.
-
-    The categories are cut one by one with a distributed sort and limit, as many as the
-    category table has; a single category may be as large as it likes.
-    """
-    parts = [
-        df.filter(F.col("category") == r["category"]).orderBy(*order).limit(max(r["quota"], 0))
-        for r in quota.toLocalIterator()
-    ]
-    out = parts[0] if parts else df.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def enforce_quota(df: DataFrame, quota: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """Keep each category's first ``quota`` rows in output order; ``limit`` is the largest quota."""
+    # Every task keeps at most ``limit`` rows per category before anything is shuffled.
+    ranked = top_per_key(df, ["category"], order, limit, "_n")
+    return ranked.join(quota.select("category", "quota"), "category").filter("_n <= quota").drop("_n", "quota")

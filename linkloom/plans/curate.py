@@ -24,6 +24,7 @@ class Options(NamedTuple):
     ttl_hours: float = 6
     reuse_recent: bool = True
     enforce_quota: bool = False
+    names_to_broadcast: int = 200_000
     share: bool = True  # write judged links and channels once, since several outputs read them
     blacklist: Sequence[str] = tuple(rules.BLACKLIST)
     vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS)
@@ -42,14 +43,26 @@ class Result(NamedTuple):
 
 
 def name_channels(df: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Add region, category and grouping key; all are column expressions, so nothing is shuffled."""
+    """Add region, category and grouping key.
+
+    A catalog repeats few names many times. Where the distinct names are counted and few, the
+    expressions run once per name and come back by a broadcast join; otherwise they run in
+    place on every row. Neither way shuffles the links.
+    """
     name = F.col("name")
-    return filters.flag_region(df, opts.overseas).withColumns(
-        {
-            "category": names.classify(name, opts.category_rules, opts.category_order),
-            "norm_name": names.normalize(name, opts.aliases),
-        }
-    )
+
+    def named(rows):
+        return filters.flag_region(rows, opts.overseas).withColumns(
+            {
+                "category": names.classify(name, opts.category_rules, opts.category_order),
+                "norm_name": names.normalize(name, opts.aliases),
+            }
+        )
+
+    distinct = df.select("name").distinct()
+    if distinct.limit(opts.names_to_broadcast + 1).count() > opts.names_to_broadcast:
+        return named(df)
+    return df.join(F.broadcast(named(distinct)), "name")
 
 
 def publishable(channels: DataFrame, opts: Options = Options(), seq: str = "seq") -> DataFrame:
@@ -63,7 +76,7 @@ def publishable(channels: DataFrame, opts: Options = Options(), seq: str = "seq"
     order = ranking.output_order(top)
     if opts.enforce_quota:
         quota = ranking.proportional_quota(good, opts.output_limit, opts.category_order)
-        top = ranking.enforce_quota(top, quota, order)
+        top = ranking.enforce_quota(top, quota, order, opts.output_limit)
     ordered = ranking.global_cap(top, order, opts.output_limit)
     return ordered.select("line_no", "category", names.display(F.col("shown")).alias("name"), "url", "quality", "fp")
 

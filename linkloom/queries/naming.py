@@ -134,8 +134,8 @@ def classify_legacy(spark, sf):
     return table(spark, sf, "names").select("seq", names.classify_legacy(F.col("name")).alias("category"))
 
 
-# A rule per part brand and size: keywords are words of part names.
-_RULES = """SELECT min(p_partkey) AS cat_rank, p_type AS category, split_part(p_name, ' ', 2) AS keyword FROM {part} WHERE p_size < 4
+# A rule per part type and noun; keywords are words of part names.
+_RULES = """SELECT min(p_partkey) AS cat_rank, p_type AS category, split_part(p_name, ' ', 2) AS keyword FROM {part}
 GROUP BY p_type, split_part(p_name, ' ', 2)"""
 
 

@@ -150,7 +150,10 @@ def first_rows(df: DataFrame, order: Sequence[Column], limit: int, name: str) ->
     """The first ``limit`` rows of a total order, with their 1-based position.
 
     Every partition keeps only its own first rows; the final window sees at most ``limit`` rows.
+    A limit too large for one task is taken from a distributed numbering instead.
     """
+    if limit > 1_000_000:
+        return rank_by(df, order, name).filter(F.col(name) <= limit)
     top = df.orderBy(*order).limit(limit)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import after_comma, before_comma, has_comma, lines, strip
@@ -29,6 +29,31 @@ def explode_lines(docs: DataFrame, keys: Sequence[str] = ("source_id",)) -> Data
     )
 
 
+def read_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """Non-blank trimmed lines of text files of any size, with their position in the file.
+
+    Files too large for one cell are read in splits. Rows of a split come in file order, so a
+    line number is the position within the split plus the lines of the splits before it: one
+    summary row per split, no sort of the lines.
+    """
+    rows = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("source_id"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.col("value"),
+    )
+    before = Window.partitionBy("source_id").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        rows.groupBy("source_id", "_split")
+        .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        .withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    )
+    numbered = rows.join(splits.select("source_id", "_split", "_skip"), ["source_id", "_split"])
+    return numbered.select(
+        "source_id", (F.col("_id") + F.col("_skip")).alias("line_no"), strip(F.col("value")).alias("line")
+    ).filter(F.col("line") != "")
+
+
 def split_entries(raw: DataFrame) -> DataFrame:
     """Cut ``name,url`` lines at the first comma; lines without one have a NULL name and url."""
     line = F.col("line")
@@ -45,6 +70,11 @@ def read_catalog(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return split_entries(explode_lines(read_docs(spark, paths)))
 
 
+def read_large_catalog(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """The same for files of any size."""
+    return split_entries(read_lines(spark, paths))
+
+
 def read_plain_text(raw: DataFrame) -> DataFrame:
     """Entries of ``name,url`` lines whose url part starts with http."""
     return split_entries(raw).filter(F.startswith("url", F.lit("http")))

@@ -42,7 +42,7 @@ def test_curate_end_to_end(spark):
     assert stats.by_category == {"港澳台频": 1, "央视频道": 5, "卫视频道": 2}
     assert tuple(stats.by_overseas) == (8, 1) and abs(stats.success_rate - 75.0) < 1e-9
     assert result.cache.count() == 9
-    capped = curate([lines], probes_of(spark, rows), now(), opts=Options(output_limit=3, share=False))
+    capped = curate([lines], probes_of(spark, rows), now(), opts=Options(output_limit=3, share=False, names_to_broadcast=2))
     assert [r.line_no for r in capped.catalog.orderBy("line_no").collect()] == [1, 2, 3]
 
 

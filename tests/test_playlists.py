@@ -126,6 +126,18 @@ def test_read_catalog_files(spark, tmp_path):
     assert [(r.name, r.url) for r in got] == [("A", "http://h/a,b"), ("B", "http://h/b"), (None, None), ("D", "x")]
 
 
+def test_large_files_keep_their_line_numbers(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 3000), ("c", 10)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i},http://h/{i}\n" if i % 7 else "\n" for i in range(n)), encoding="utf8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = catalogs.read_large_catalog(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = sorted((r.source_id[-5], r.line_no, r.name) for r in rows)
+    assert got == sorted((x, i, f"{x}{i}") for x, n in (("a", 5000), ("b", 3000), ("c", 10)) for i in range(n) if i % 7)
+
+
 def test_grouped_catalog(spark):
     lines = ["x,http://before", "g1,#genre#", "a,u1", "g2,#genre#", "g1,#genre#", "b,u2", "plain", "c,u3"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no bigint, line string")
