@@ -4,6 +4,7 @@ A window ordered over a whole table, or over one hot key, runs in one task. The
 cut the order into blocks of consecutive positions, so that no task ever sees more than
 ``block`` rows of one key, and carry one summary row per block across the block borders.
 They need an integer order column that is unique within its keys (a line number, a sequence).
+The summaries stay small: a trillion rows of one key make four million of them.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows of an input that has fewer files than there are cores.
+    """Redistribute rows of an input that has fewer splits than there are cores.
 
-    A large input is many files and stays where it is; only a small one is moved.
+    A large input has many splits and stays where it is; only a small one is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
