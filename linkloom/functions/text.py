@@ -37,13 +37,25 @@ def has_comma(c: Column) -> Column:
     return F.contains(c, F.lit(","))
 
 
+def _tree(words: set[str]) -> str:
+    """Alternatives grouped by common beginnings, so that few are tried at each position."""
+    heads: dict[str, set[str]] = {}
+    for w in sorted(words):
+        if w:
+            heads.setdefault(w[0], set()).add(w[1:])
+    parts = [re.sub(r"([\\.\[\]{}()*+?^$|&~#\-])", r"\\\1", h) + _tree(t) for h, t in heads.items()]
+    if len(parts) == 1 and "" not in words:
+        return parts[0]
+    return f"(?:{'|'.join(parts)})" + ("?" if "" in words else "") if parts else ""
+
+
 def any_of(words: Iterable[str], ignore_case: bool = False) -> str:
     """A pattern that matches any of the literal words."""
-    words = [w for w in words if w]
+    words = {w.lower() if ignore_case else w for w in words if w}
     if not words:
         return r"(?!)"
-    body = "|".join(re.sub(r"([\\.\[\]{}()*+?^$|&~#\-])", r"\\\1", w) for w in words)
-    return f"(?iu)(?:{body})" if ignore_case else f"(?:{body})"
+    cased = ignore_case and any(w != w.upper() for w in words)
+    return f"(?iu)(?:{_tree(words)})" if cased else f"(?:{_tree(words)})"
 
 
 def contains_any(c: Column, words: Iterable[str], ignore_case: bool = False) -> Column:

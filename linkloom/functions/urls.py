@@ -228,6 +228,12 @@ def is_non_public(
     return let(h, test)
 
 
+def has_non_public_host(url: Column) -> Column:
+    """``is_non_public`` of the host of a URL; links to host names are settled by one pattern."""
+    literal = _SERVER + r"(?:\[|[0-9.]+(?:[:/?#]|$))"
+    return let(url, lambda u: F.when(u.rlike(literal), is_non_public(host(u))).otherwise(F.lit(False)))
+
+
 def is_vod(url: Column, hosts: Sequence[str] = tuple(rules.VOD_HOSTS)) -> Column:
     """Host part contains an entry; entries with a slash are looked for in host part and path."""
     plain, with_path = [v for v in hosts if "/" not in v], [v for v in hosts if "/" in v]

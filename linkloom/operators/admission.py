@@ -44,7 +44,7 @@ def entry_reason(
             F.when(name.isNull(), "no_comma")
             .when((name == "") | (name == rules.UNKNOWN_NAME), "empty_name")
             .when(names.is_blacklisted(name, blacklist), "blacklisted")
-            .when(urls.is_non_public(urls.host(url)), "private_ip")
+            .when(urls.has_non_public_host(url), "private_ip")
             .when(urls.is_vod(url, vod_hosts), "vod_domain")
             .when(~filters.has_scheme(url, filters.ADMITTED_SCHEMES), "bad_url")
         )

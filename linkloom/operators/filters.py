@@ -21,7 +21,7 @@ def drop_blacklisted(df: DataFrame, words: Sequence[str] = tuple(rules.BLACKLIST
 
 
 def drop_private_hosts(df: DataFrame) -> DataFrame:
-    return df.filter(~urls.is_non_public(urls.host(F.col("url"))))
+    return df.filter(~urls.has_non_public_host(F.col("url")))
 
 
 def drop_vod(df: DataFrame, hosts: Sequence[str] = tuple(rules.VOD_HOSTS), match: str = "contains") -> DataFrame:
