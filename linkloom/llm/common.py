@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from linkloom.scale import shared_dir
 
 
+#: Rows turned into Python objects at once.
+SLICE = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +37,8 @@ def map_rows(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterab
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in work(b.to_pydict() for b in batches):
+        small = (b.slice(i, SLICE).to_pydict() for b in batches for i in range(0, b.num_rows, SLICE))
+        for out in work(small):
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from linkloom.llm import quality, toxicity
+from pyspark.sql import functions as F
+
+from linkloom.llm import pieces, quality, toxicity
 from linkloom.llm.common import table
 from linkloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -15,3 +17,18 @@ def op1(spark, sf):
 @query("op7_quality_classifier")
 def op7(spark, sf):
     return quality.scored_with_split(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def public_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op3_sentencepiece_coding")
+def op3(spark, sf):
+    out = pieces.encode_decode(table(spark, sf, "documents"), pieces.load(public_model()))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
