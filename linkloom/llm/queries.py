@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import pieces, quality, toxicity
+from linkloom.llm import mixing, pieces, quality, toxicity
 from linkloom.llm.common import table
 from linkloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -32,3 +32,9 @@ def op3(spark, sf):
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_source_mixing")
+def op10(spark, sf):
+    out = mixing.mix(table(spark, sf, "documents"), mixing.five_two_one)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
