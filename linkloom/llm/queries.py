@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import mixing, pieces, quality, toxicity
+from linkloom.llm import mixing, pieces, quality, sharding, toxicity, warc
 from linkloom.llm.common import table
 from linkloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -38,3 +38,22 @@ def op3(spark, sf):
 def op10(spark, sf):
     out = mixing.mix(table(spark, sf, "documents"), mixing.five_two_one)
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query("op5_warc_round_trip", """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN page_id < top THEN top END AS refers_to FROM p LEFT JOIN m USING (payload_digest)""")
+def op5(spark, sf):
+    def page(c):
+        return F.nullif(F.regexp_replace(c, "^urn:page:", ""), F.lit("")).cast("bigint")
+
+    return warc.round_trip(table(spark, sf, "pages")).filter(F.col("record_type").isin("response", "revisit")).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
+@query("op6_sharding")
+def op6(spark, sf):
+    out = sharding.place(table(spark, sf, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
