@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import mixing, pieces, quality, sharding, topk, toxicity, warc
+from linkloom.llm import mixing, pieces, pq, quality, sharding, topk, toxicity, warc
 from linkloom.llm.common import table
 from linkloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -69,3 +69,12 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op4(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_embedding_near_dedup", """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE """ + _USABLE + """ AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT c.a AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)""")
+def op8(spark, sf):
+    return pq.near_duplicates(table(spark, sf, "embeddings"))
