@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import mixing, pieces, pq, quality, sharding, topk, toxicity, warc
+from linkloom.llm import minhash, mixing, pieces, pq, quality, sharding, topk, toxicity, warc
 from linkloom.llm.common import table
 from linkloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -78,3 +78,14 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), c AS (SELECT a, min(b) AS comp
 SELECT c.a AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)""")
 def op8(spark, sf):
     return pq.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op2_minhash_near_dedup", r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY doc_id""")
+def op2(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"), width=2)
