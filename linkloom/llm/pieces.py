@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+from array import array
 from dataclasses import dataclass
 from itertools import islice
 
@@ -62,7 +64,7 @@ def load(path: str) -> Vocabulary:
 class Coder:
     """Encodes and decodes with one vocabulary; its caches are bounded."""
 
-    CACHED = 300_000
+    CACHED = 250_000
     LONGEST_CACHED = 64
 
     def __init__(self, vocabulary: Vocabulary):
@@ -70,13 +72,14 @@ class Coder:
         self.ids = {p: i for i, p in enumerate(vocabulary.pieces) if p}
         self.matcher = ahocorasick.Automaton()
         for p in self.ids:
-            self.matcher.add_word(p, len(p))
+            self.matcher.add_word(p, (len(p), self.ids[p]))
         self.matcher.make_automaton()
         # No piece continues over a space or a line break in these models: texts fall into parts encoded alone.
         splits = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.parts = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if splits else r"(?s:.+)")
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         table = [p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             table[i] = bytes([b])
@@ -97,60 +100,73 @@ class Coder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fit(self, before: str, piece: str) -> bool:
-        """Whether re-merging two adjacent pieces (the first may be empty) gives them back."""
-        known = self.fits.get((before, piece))
+    def fit(self, before: int, piece: int) -> bool:
+        """Whether re-merging two adjacent pieces (without one before: a negative number) gives them back."""
+        key = before << 20 | piece if before >= 0 else piece
+        known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= self.CACHED:
                 self.fits.clear()
-            known = self.merge(before + piece) == ([before, piece] if before else [piece])
-            self.fits[before, piece] = known
+            parts = [self.v.pieces[before], self.v.pieces[piece]] if before >= 0 else [self.v.pieces[piece]]
+            known = self.fits[key] = self.merge("".join(parts)) == parts
         return known
 
-    def split(self, text: str) -> list[str]:
-        """Pieces of a part of a text (its spaces written as pieces write them); unknown characters stand alone."""
+    def split(self, text: str) -> list[int]:
+        """Ids of a part of a text (its spaces written as pieces write them); an unknown character c stands as -1 - ord(c)."""
         n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.matcher.iter(text):
-            lengths[end - size + 1].append(size)
-        for i, ch in enumerate(text):
-            if ch not in self.ids:
-                lengths[i].append(1)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # at each start, (end, id) by length
+        for end, (size, k) in self.matcher.iter(text):
+            found[end + 1 - size].append((end + 1, k))
+        fits, fit = self.fits.get, self.fit
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        tried: list[int] = []  # for each accepted piece, its place among the lengths at its start
-        pos, at = 0, len(lengths[0]) - 1 if n else -1
+        out: list[int] = []
+        tried: list[int] = []  # for each accepted piece, its place among the matches at its start
+        starts: list[int] = []
+        pos, before = 0, -1
+        at = len(found[0]) - 1
         while pos < n:
-            before = out[-1] if out else ""
+            here = found[pos]
+            if not here:
+                here.append((pos + 1, -1 - ord(text[pos])))
+                at = 0
             while at >= 0:
-                size = lengths[pos][at]
-                end = pos + size
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fit(before, text[pos:end]):
-                    break
+                end, k = here[at]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if k < 0:  # an unknown character merges with nothing
+                        break
+                    known = fits(before << 20 | k if before >= 0 else k)
+                    if known if known is not None else fit(before, k):
+                        break
                 at -= 1
             if at >= 0:
-                out.append(text[pos:end])
+                out.append(k)
                 tried.append(at)
-                pos = end
-                at = len(lengths[pos]) - 1 if pos < n else -1
+                starts.append(pos)
+                pos, before = end, k
+                at = len(found[pos]) - 1
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                pos -= len(out.pop())
-                at = tried.pop() - 1
+                out.pop()
+                pos, at = starts.pop(), tried.pop() - 1
+                before = out[-1] if out else -1
         return out
 
     def pack(self, part: str) -> bytes:
-        ids = []
-        for p in self.split(part):
-            k = self.ids.get(p)
-            ids += [k] if k is not None else [self.v.byte_ids[b] for b in p.encode("utf-8", "replace")]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(part) <= self.LONGEST_CACHED:
-            if len(self.packed) >= self.CACHED:
-                self.packed.clear()
-            self.packed[part] = out
+        if len(part) > self.LONGEST_CACHED:
+            return self._packed(part)
+        out = self.older.get(part) or self._packed(part)
+        if len(self.packed) >= self.CACHED:
+            self.older = dict(self.packed)  # two generations: frequent parts survive
+            self.packed.clear()
+        self.packed[part] = out
         return out
 
+    def _packed(self, part: str) -> bytes:
+        ids = self.split(part)
+        if min(ids) < 0:
+            ids = [i for k in ids for i in ((k,) if k >= 0 else [self.v.byte_ids[b] for b in chr(-1 - k).encode("utf-8", "replace")])]
+        return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str | None) -> bytes:
         """All ids of a text, begin and end included, as little-endian 32-bit integers. NULL counts as empty."""
         out = [struct.pack("<I", self.v.begin)]
@@ -170,7 +186,7 @@ class Coder:
         """The text of packed ids: pieces joined, byte pieces as UTF-8 (each wrong byte as U+FFFD), one leading space cut."""
         table = self.bytes_of
         raw = b"".join([table[i] for i in memoryview(packed).cast("I")])
-        first = next((i for i in memoryview(packed).cast("I") if self.bytes_of[i]), None)
+        first = next((i for i in memoryview(packed).cast("I") if table[i]), None)
         if first is not None and self.v.pieces[first].startswith(SPACE):
             raw = raw[1:]
         try:
