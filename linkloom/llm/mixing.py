@@ -169,3 +169,16 @@ def mix(
 
 def five_two_one(place: int) -> float:
     return (5.0, 2.0, 1.0)[place % 3]
+
+
+def repeat(docs: DataFrame, weight: Callable[[int], float], budget: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it, with their columns as they are.
+
+    The ids must be unique, or the copies of an id are shared out among its rows. Texts move once, unless few enough
+    documents are taken otherwise than once.
+    """
+    taken = saved(mix(docs, weight, budget, cap, seed, id_col), "mix").groupBy(F.col(id_col).alias("_id")).agg(
+        F.floor(F.avg("copies") + 0.5).cast("int").alias("_copies")
+    )
+    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id"))).filter("_copies > 0")
+    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import minhash, mixing, pieces, pq, quality, sharding, topk, toxicity, warc
+from linkloom.llm import minhash, mixing, pieces, pq, quality, quotes, sharding, topk, toxicity, warc
 from linkloom.llm.common import table
 from linkloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -89,3 +89,38 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY doc_id""")
 def op2(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"), width=2)
+
+
+def quoted_mail(conversations):
+    """Messages as mail programs send them: each turn below a quotation of the turn before, with what that one quotes.
+
+    Ids are conv_id * 2^20 + turn. One turn of each number is quoted, should a conversation hold several.
+    """
+    ids = conversations.filter("turn between 0 and 1048575").select(
+        F.col("conv_id"), F.col("turn"), (F.col("conv_id") * (1 << 20) + F.col("turn")).alias("message_id"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    before = ids.groupBy("conv_id", "turn").agg(F.min("text").alias("said")).withColumns({"_conv": F.col("conv_id"), "_turn": F.col("turn") + 1}).drop("conv_id", "turn")
+    second = before.select("_conv", (F.col("_turn") + 1).alias("_turn"), F.col("said").alias("said2"))
+
+    def marked(c, marks):
+        return F.regexp_replace(c, "(?m)^", marks)
+
+    history = before.join(second, ["_conv", "_turn"], "left").select(
+        "_conv", "_turn",
+        F.concat(marked(F.col("said"), "> "), F.coalesce(F.concat(F.lit("\n"), marked(F.col("said2"), ">> ")), F.lit("")), F.lit("\n\n")).alias("history"),
+    )
+    joined = ids.join(history, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
+    return joined.select("conv_id", "turn", "message_id", F.concat(F.coalesce("history", F.lit("")), "text").alias("text"))
+
+
+@query("op9_quotation_linking", r"""WITH RECURSIVE m AS (SELECT conv_id, turn, conv_id * 1048576 + turn AS message_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS t FROM conversations),
+o AS (SELECT t, min(message_id) AS original FROM m WHERE t <> '' GROUP BY 1),
+p AS (SELECT m.*, CASE WHEN original < m.message_id THEN original END AS parent_id FROM m LEFT JOIN m b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1 LEFT JOIN o ON o.t = b.t),
+up AS (SELECT message_id, message_id AS node, parent_id, 0 AS depth FROM p UNION ALL SELECT u.message_id, p.message_id, p.parent_id, u.depth + 1 FROM up u JOIN p ON p.message_id = u.parent_id),
+r AS (SELECT message_id, node AS thread_id, depth FROM up WHERE parent_id IS NULL)
+SELECT message_id, p.parent_id, thread_id, CAST(depth AS INTEGER) AS depth, row_number() OVER (PARTITION BY thread_id ORDER BY message_id) AS position, md5(t) AS own_md5
+FROM p JOIN r USING (message_id)""")
+def op9(spark, sf):
+    out = quotes.link(quoted_mail(table(spark, sf, "conversations")))
+    even = F.trim(F.regexp_replace(F.lower("own"), r"\s+", " "))
+    return out.select("message_id", "parent_id", "thread_id", "depth", "position", F.md5(even).alias("own_md5"))
