@@ -227,7 +227,7 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
     )
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in ("h1", "h2", "linked", "u", "v")})
+        empty = pd.DataFrame({c: pd.Series([], dtype="Int64") for c in ("h1", "h2", "linked", "u", "v")})
         if a.empty or b.empty:
             return empty
         ix = shared.value
@@ -243,9 +243,9 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
         np.add.at(linked, i, b["copies"].to_numpy()[j])
         some = np.flatnonzero(linked)
         u, v = _spanning(a["rep"].to_numpy(), b["rep"].to_numpy(), i, j)
-        counted = pd.DataFrame({"h1": a["h1"].to_numpy()[some], "h2": a["h2"].to_numpy()[some], "linked": linked[some]})
-        joined = pd.DataFrame({"u": u, "v": v})
-        return pd.concat([counted, joined])[["h1", "h2", "linked", "u", "v"]].astype("Int64")
+        counted = pd.DataFrame({"h1": a["h1"].to_numpy()[some], "h2": a["h2"].to_numpy()[some], "linked": linked[some]}, dtype="Int64")
+        joined = pd.DataFrame({"u": u, "v": v}, dtype="Int64")  # nullable integers: hashes must not turn into floats
+        return pd.concat([counted, joined])[["h1", "h2", "linked", "u", "v"]]
 
     pair = ["list", "qb", "xb"]
     out = saved(asked.groupBy(pair).cogroup(stored.groupBy(pair)).applyInPandas(

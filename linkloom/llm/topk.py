@@ -28,6 +28,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite
 
 
+def _nothing(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
@@ -86,7 +90,7 @@ def top_k(
 
     def first_lists(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": [], "floor": []})
+            return _nothing("query_id", "id", "score", "floor")
         ids, own = b["id"].to_numpy(), a["id"].to_numpy()
         lists = _lists(_matrix(a["v"]), _matrix(b["v"]), slices)
         total = sum(lists)
@@ -99,7 +103,7 @@ def top_k(
             seen = seen[_best(total[i][seen], ids[seen], k)]
             floors = [float(p[i].min()) for p in lists]
             out.append(pd.DataFrame({"query_id": own[i], "id": ids[seen], "score": total[i][seen].astype(np.int64), "floor": [floors] * len(seen)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": [], "floor": []})
+        return pd.concat(out) if out else _nothing("query_id", "id", "score", "floor")
 
     groups = left.groupBy(pair).cogroup(right.groupBy(pair))
     gathered = saved(groups.applyInPandas(first_lists, "query_id bigint, id bigint, score bigint, floor array<double>"), "topk")
@@ -114,7 +118,7 @@ def top_k(
 
     def collect(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return _nothing("query_id", "id", "score")
         ids, own = b["id"].to_numpy(), a["id"].to_numpy()
         q, x = _matrix(a["v"]), _matrix(b["v"])
         lists = _lists(q, x, slices)
@@ -134,7 +138,7 @@ def top_k(
             score = _exact(q[i:i + 1], x[at])[0]
             best = _best(score, ids[at], k)
             out.append(pd.DataFrame({"query_id": own[i], "id": ids[at][best], "score": score[best].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return pd.concat(out) if out else _nothing("query_id", "id", "score")
 
     asked = queries.join(known, "id").withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))))
     entries = asked.groupBy(pair).cogroup(right.groupBy(pair)).applyInPandas(collect, "query_id bigint, id bigint, score bigint")
