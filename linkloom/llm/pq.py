@@ -79,7 +79,7 @@ def _centres(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.
     return c
 
 
-def fit(sample: np.ndarray, n_lists: int, cosine: float, miss: float = 1e-3, seed: int = 0) -> Index:
+def fit(sample: np.ndarray, n_lists: int, cosine: float, miss: float = 1e-2, seed: int = 0) -> Index:
     """Fit on unit vectors. The margin of the probes comes from trial pairs: partners of the sample's vectors at exactly
     the threshold cosine, in random directions; all but ``miss`` of them must be within it."""
     rng = np.random.default_rng(seed)
@@ -122,12 +122,12 @@ def _links(index: Index, which: int, q: np.ndarray, x: np.ndarray, codes: np.nda
 
 
 def near_duplicates(
-    rows: DataFrame, cosine: float = 0.9, miss: float = 1e-3, id_col: str = "vec_id", vector_col: str = "embedding",
+    rows: DataFrame, cosine: float = 0.9, miss: float = 1e-2, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
-    Vectors link if their cosine is at least ``cosine``; each link is found unless its partner's list lies beyond the
-    probes' margin (probability about ``miss`` at the threshold itself, less above it). Equal vectors are indexed
+    Vectors link if their cosine is at least ``cosine``; a link is found by either end, and counts for both, unless each lies
+    in a list beyond the other's probes (probability below ``miss`` at the threshold itself, less above it). Equal vectors are indexed
     once and counted each. NULL, empty and zero vectors, and those with NULL or non-finite components, link with nothing, as
     do vectors of different dimensions. Rows that repeat an id are vectors of their own and share its component; a NULL id
     has the component NULL unless its vector equals or links with others. Other columns are not read. More than
@@ -194,16 +194,16 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
             codes, error = ix.code(x, home)
             probed = [np.flatnonzero(r <= r[k] + ix.margin).tolist() for r, k in zip(d, home)]
             yield {
-                **{c: b[c] for c in ("h1", "h2", "rep", "copies")}, "home": home.tolist(), "probes": probed,
+                **{c: b[c] for c in ("h1", "h2", "rep", "copies")}, "home": home.tolist(), "near": d.min(1).tolist(), "probes": probed,
                 "x": [r.tobytes() for r in x], "code": [c.tobytes() for c in codes], "error": error.tolist(),
             }
 
     rows = distinct.select("h1", "h2", "rep", "copies", "v").repartition(spark.sparkContext.defaultParallelism * 2 if n < 1 << 20 else max(1, n >> 14))
     entered = saved(map_rows(
         rows,
-        "h1 bigint, h2 bigint, rep bigint, copies bigint, home int, probes array<int>, x binary, code binary, error double", enter,
+        "h1 bigint, h2 bigint, rep bigint, copies bigint, home int, near double, probes array<int>, x binary, code binary, error double", enter,
     ), "pq")
-    probes = entered.select("h1", "h2", "rep", "copies", "x", F.explode("probes").alias("list"))
+    probes = entered.select("h1", "h2", "rep", "copies", "home", "x", F.explode("probes").alias("list"))
     # One row per list, at most MOST_LISTS: long lists and much probed ones are cut into blocks.
     stored_n = {r["home"]: r["n"] for r in entered.groupBy("home").agg(F.count("*").alias("n")).collect()}
     asked_n = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -219,11 +219,11 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
         return F.pmod(F.xxhash64("h1", F.lit(salt)), F.col(column)).cast("int")
 
     asked = probes.join(F.broadcast(blocks), "list").select(
-        "list", block_of("q_blocks", 1).alias("qb"), steps("x_blocks").alias("xb"), "h1", "h2", "rep", "x",
+        "list", block_of("q_blocks", 1).alias("qb"), steps("x_blocks").alias("xb"), "h1", "h2", "rep", "copies", "home", "x",
     )
     stored = entered.withColumnRenamed("home", "list").join(F.broadcast(blocks), "list").select(
         "list", steps("q_blocks").alias("qb"), block_of("x_blocks", 2).alias("xb"),
-        *[F.col(c).alias(c) for c in ("h1", "h2", "rep", "copies", "x", "code", "error")],
+        *[F.col(c).alias(c) for c in ("h1", "h2", "rep", "copies", "near", "x", "code", "error")],
     )
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -239,13 +239,13 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
         i, j = i[other], j[other]
         if not len(i):
             return empty
-        linked = np.zeros(len(a), np.int64)
-        np.add.at(linked, i, b["copies"].to_numpy()[j])
-        some = np.flatnonzero(linked)
+        # The stored vector counts the link too where its own probes do not reach the query's list.
+        back = x[j] - ix.centres[a["home"].to_numpy()[i]]
+        unseen = (back * back).sum(1) > b["near"].to_numpy()[j] + ix.margin
+        counted = [_counts(a, i, b["copies"].to_numpy()[j]), _counts(b, j[unseen], a["copies"].to_numpy()[i[unseen]])]
         u, v = _spanning(a["rep"].to_numpy(), b["rep"].to_numpy(), i, j)
-        counted = pd.DataFrame({"h1": a["h1"].to_numpy()[some], "h2": a["h2"].to_numpy()[some], "linked": linked[some]}, dtype="Int64")
         joined = pd.DataFrame({"u": u, "v": v}, dtype="Int64")  # nullable integers: hashes must not turn into floats
-        return pd.concat([counted, joined])[["h1", "h2", "linked", "u", "v"]]
+        return pd.concat([*counted, joined])[["h1", "h2", "linked", "u", "v"]]
 
     pair = ["list", "qb", "xb"]
     out = saved(asked.groupBy(pair).cogroup(stored.groupBy(pair)).applyInPandas(
@@ -254,6 +254,13 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
     return out.filter("linked is not null").select("h1", "h2", "linked"), out.filter("u is not null").select("u", "v")
 
 
+def _counts(rows: pd.DataFrame, at: np.ndarray, copies: np.ndarray) -> pd.DataFrame:
+    linked = np.zeros(len(rows), np.int64)
+    np.add.at(linked, at, copies)
+    some = np.flatnonzero(linked)
+    return pd.DataFrame({"h1": rows["h1"].to_numpy()[some], "h2": rows["h2"].to_numpy()[some], "linked": linked[some]}, dtype="Int64")
+
+
 def _spanning(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from every linked node to the smallest node it reaches within the block; as few as nodes."""
     nodes, where = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
