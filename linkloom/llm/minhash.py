@@ -5,7 +5,7 @@ are candidates. A candidate pair's signatures are compared batch by batch and th
 posterior probability of reaching the similarity falls below the chosen miss probability. Survivors are
 verified on their full sets, and what links is joined into components.
 
-Within a band's bucket every document is paired with the bucket's smallest one. Where a bucket still holds
+Within a band's bucket every document is paired with the most central one. Where a bucket still holds
 several components after that, the pairs across components are compared too, in blocks, so no link is left out.
 """
 
@@ -229,9 +229,16 @@ def near_duplicates(
         return F.struct(F.lit(k).alias("band"), F.xxhash64(piece).alias("key"))
 
     banded = reps.select("rep", F.explode(F.array(*[band(k) for k in range(bands)])).alias("b")).select("rep", "b.band", "b.key")
-    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("first"), F.count("*").alias("size")).filter("size > 1")
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     member = saved(banded.join(shared, ["band", "key"]), "minhash")
-    pairs = member.filter("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    # The original of a family shares the large buckets in most bands; its copies fall out of some.
+    central = member.groupBy("rep").agg(F.sum("size").alias("central"))
+    most = F.max_by("rep", F.struct(F.col("central"), -F.col("rep")))
+    leaders = member.join(central, "rep").groupBy("band", "key").agg(most.alias("first"))
+    pairs = (
+        member.join(leaders, ["band", "key"]).filter("rep != first")
+        .select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
+    )
     tried = saved(_promising(pairs, reps, s, miss), "minhash")
     links = _verified(tried, docs, width, percent, id_col, text_col)
     groups = saved(components(links), "minhash")
