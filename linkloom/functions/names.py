@@ -11,7 +11,11 @@ from linkloom import rules
 from linkloom.functions.text import any_of, contains_any, let, literal_pairs, strip
 
 
-def simplify(name: Column, table: tuple[str, str] = (rules.TRADITIONAL, rules.SIMPLIFIED)) -> Column:
+#: Traditional characters and their simplified forms, one by one.
+CHARACTERS = (rules.TRADITIONAL, rules.SIMPLIFIED)
+
+
+def simplify(name: Column, table: tuple[str, str] = CHARACTERS) -> Column:
     """Replace characters by the supplied traditional-to-simplified table."""
     return F.translate(name, *table)
 
@@ -65,12 +69,14 @@ def canonical_channel(name: Column) -> Column:
     return F.regexp_replace(out, r"(?U)\s+", "")
 
 
-def normalize(name: Column, aliases: Sequence[tuple[str, str]] = tuple(rules.ALIASES)) -> Column:
+def normalize(
+    name: Column, aliases: Sequence[tuple[str, str]] = tuple(rules.ALIASES), characters: tuple[str, str] = CHARACTERS
+) -> Column:
     """Grouping key of a channel name."""
-    return canonical_channel(apply_aliases(clean(F.upper(simplify(name))), aliases))
+    return canonical_channel(apply_aliases(clean(F.upper(simplify(name, characters))), aliases))
 
 
-def display(name: Column) -> Column:
+def display(name: Column, characters: tuple[str, str] = CHARACTERS) -> Column:
     """Name shown to users; numbered channels get their canonical label."""
     numbered = r"(?iU)^CCTV[-\s]*(\d+)(\+)?"
 
@@ -87,16 +93,17 @@ def display(name: Column) -> Column:
                 out = out.when(in_name | (number == str(n)), F.lit(f"CCTV-{n}{shown}"))
         return out.otherwise(F.concat(F.lit("CCTV-"), number, plus))
 
-    return let(clean(simplify(name)), label)
+    return let(clean(simplify(name, characters)), label)
 
 
 def classify(
     name: Column,
     category_rules: Mapping[str, Sequence[str]] = rules.CATEGORY_RULES,
     order: Sequence[str] = tuple(rules.CATEGORY_ORDER),
+    characters: tuple[str, str] = CHARACTERS,
 ) -> Column:
     """Category of a name: numbered channels, satellite channels, then rules in order."""
-    table = str.maketrans(rules.TRADITIONAL, rules.SIMPLIFIED)
+    table = str.maketrans(*characters)
 
     def category_of(s):
         out = F.when(s.rlike(r"(?iU)CCTV-?\d"), rules.CCTV_CATEGORY)
@@ -107,13 +114,14 @@ def classify(
                 out = out.when(contains_any(s, [w.translate(table) for w in words], True), category)
         return out.when(s.rlike("中央|央视"), rules.CCTV_CATEGORY).otherwise(rules.OTHER_CATEGORY)
 
-    return let(simplify(name), category_of)
+    return let(simplify(name, characters), category_of)
 
 
 def classify_legacy(
     name: Column,
     category_rules: Mapping[str, Sequence[str]] = rules.CATEGORY_RULES,
     order: Sequence[str] = tuple(rules.CATEGORY_ORDER),
+    characters: tuple[str, str] = CHARACTERS,
 ) -> Column:
     """Earlier form: blacklisted names have no category of their own, no channel special cases."""
     def category_of(s):
@@ -123,7 +131,7 @@ def classify_legacy(
                 out = out.when(contains_any(s, category_rules[category], True), category)
         return out.otherwise(order[-1])
 
-    return let(simplify(name), category_of)
+    return let(simplify(name, characters), category_of)
 
 
 def _numbered_legacy(name: Column) -> Column:
@@ -143,7 +151,7 @@ def _numbered_legacy(name: Column) -> Column:
     return let(name, standard)
 
 
-def clean_legacy(name: Column) -> Column:
+def clean_legacy(name: Column, characters: tuple[str, str] = CHARACTERS) -> Column:
     """Earlier cleaning: emoji, overseas prefix, brackets, channel number, one suffix."""
     plain = F.regexp_replace(name, rules.LEGACY_EMOJI, "")
 
@@ -159,7 +167,7 @@ def clean_legacy(name: Column) -> Column:
 
     def finish(n):
         number = F.regexp_extract(n, "(?iU)" + rules.LEGACY_CCTV, 1)
-        rest = simplify(F.regexp_replace(n, "(?iU)" + rules.LEGACY_SUFFIX, ""))
+        rest = simplify(F.regexp_replace(n, "(?iU)" + rules.LEGACY_SUFFIX, ""), characters)
         tidy = let(
             _numbered_legacy(strip(rest)),
             lambda t: F.when((t == "") | t.rlike("(?U)" + rules.LEGACY_BLANK), rules.UNKNOWN_NAME).otherwise(strip(t)),

@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom import rules
 from linkloom.functions import names, urls
 from linkloom.functions.text import let
 from linkloom.operators import filters
-from linkloom.scale import first_rows, top_per_key
+from linkloom.scale import first_rows, materialize, rank_by, top_per_key
 from linkloom.sources.catalogs import split_entries
 
 SEQ = ("source_rank", "line_no")
@@ -27,11 +27,8 @@ REASONS = (
 
 
 def seq() -> Column:
-    """Entry key as one BIGINT, so that minima stay in hash aggregation.
-
-    A source is one text cell of at most 2 GB, hence line numbers below 2^31.
-    """
-    return F.shiftleft(F.col("source_rank").cast("bigint"), 31) + F.col("line_no")
+    """Entry key as one number, so that minima stay in hash aggregation: room for 63 bits of rank and of line."""
+    return F.col("source_rank").cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.col("line_no").cast("decimal(19,0)")
 
 
 def entry_reason(
@@ -53,8 +50,7 @@ def entry_reason(
 
 
 def _tested(raw: DataFrame, blacklist, vod_hosts) -> DataFrame:
-    entries = raw if "name" in raw.columns else split_entries(raw)
-    return entries.withColumn("reject_reason", entry_reason(blacklist, vod_hosts))
+    return _as_entries(raw).withColumn("reject_reason", entry_reason(blacklist, vod_hosts))
 
 
 def _sound(tested: DataFrame) -> DataFrame:
@@ -88,32 +84,20 @@ def admission_reasons(
 ) -> DataFrame:
     """Every entry with its ``reject_reason`` (``accepted`` when admitted).
 
-    Winners are found by a partial minimum per fingerprint and joined back on the unique entry
-    key, so one fingerprint holding much of the table costs nothing extra.
+    The entries are tested once and written; only the sound ones, which have fingerprints, are joined. Winners come by a
+    partial minimum per fingerprint, so that the joined side has one row per fingerprint and a hot one can be split.
     """
-    tested = _tested(raw, blacklist, vod_hosts).withColumn("_seq", seq())
-    summary = _fp_summary(_sound(tested), cache, now, ttl_hours)
-    verdict = F.when(F.col("cached"), "cached").otherwise("accepted")
-    joined = tested.join(summary.select("_seq", verdict.alias("_verdict")), "_seq", "left").drop("_seq")
-    if cache is None:
-        return joined.withColumn(
-            "reject_reason", F.coalesce("reject_reason", "_verdict", F.lit("dup_fp"))
-        ).drop("_verdict")
-    # Repeats of a cached fingerprint count as cached. The cached fingerprints of this batch are
-    # spread over salts on both sides, so a hot one is shared by several tasks.
-    salts = 16
-    cached = (
-        summary.filter("cached").select("fp")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .withColumn("_cached", F.lit("cached"))
-    )
     fp = F.when(F.col("reject_reason").isNull(), urls.fingerprint(F.col("url")))
-    salted = joined.withColumn("fp", fp).withColumn("_salt", F.pmod(F.col("line_no"), F.lit(salts)).cast("int"))
-    return (
-        salted.join(cached, ["fp", "_salt"], "left")
-        .withColumn("reject_reason", F.coalesce("reject_reason", "_cached", "_verdict", F.lit("dup_fp")))
-        .drop("_verdict", "_salt", "_cached", "fp")
+    tested = materialize(_tested(raw, blacklist, vod_hosts).withColumns({"_fp": fp, "_seq": seq()}))
+    sound = tested.filter(F.col("reject_reason").isNull())
+    summary = _fp_summary(sound.withColumn("fp", F.col("_fp")), cache, now, ttl_hours)
+    winners = summary.select(F.col("fp").alias("_winner_fp"), F.col("_seq").alias("_winner"), F.col("cached").alias("_cached"))
+    verdict = (
+        F.when(F.col("_cached"), "cached").when(F.col("_seq") == F.col("_winner"), "accepted").otherwise("dup_fp")
     )
+    judged = sound.join(winners, sound["_fp"] == winners["_winner_fp"]).withColumn("reject_reason", verdict)
+    rejected = tested.filter(F.col("reject_reason").isNotNull())
+    return judged.select(*tested.columns).unionByName(rejected).drop("_fp", "_seq")
 
 
 def _fp_summary(sound: DataFrame, cache, now, ttl_hours) -> DataFrame:
@@ -169,15 +153,38 @@ def dedup_values(df: DataFrame, columns: Sequence[str] = ("url",)) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def _as_entries(source: DataFrame) -> DataFrame:
+    return split_entries(source) if "line" in source.columns and "name" not in source.columns else source
+
+
 def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
-    """Stack entry tables; earlier ones take priority through ``source_rank``."""
-    ranked = [
-        s.withColumn("source_rank", F.lit(i).cast("bigint")) if "source_rank" not in s.columns else s
-        for i, s in enumerate(sources)
-    ]
+    """Stack tables of raw lines or entries; earlier ones take priority through ``source_rank``.
+
+    Every table is cut into entries before it is stacked. One of many files (``source_id``) gets a rank per file, in the order of
+    their names, since line numbers restart in each; tables without line numbers, such as discovered links, are
+    numbered by url and name. A table with its own ``source_rank`` keeps it, and answers for its uniqueness.
+    """
+    files = any("source_id" in s.columns and "source_rank" not in s.columns for s in sources)
+    apart = 1 << 32 if files else 1  # leaves room for the ranks of a table's files
+    ranked = [_ranked(_as_entries(s), i * apart) for i, s in enumerate(sources)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
+def _ranked(source: DataFrame, place: int) -> DataFrame:
+    if "line_no" not in source.columns:
+        source = rank_by(source, [F.col(c) for c in ("url", "name") if c in source.columns], "line_no")
+    if "source_rank" in source.columns:
+        return source
+    first = F.lit(place).cast("bigint")
+    if "source_id" not in source.columns:
+        return source.withColumn("source_rank", first)
+    # One row per file.
+    files = source.select(F.col("source_id").alias("_file")).distinct()
+    files = files.withColumn("_no", F.row_number().over(Window.orderBy("_file")))
+    ranked = source.join(files, F.col("source_id").eqNullSafe(F.col("_file")))
+    return ranked.withColumn("source_rank", first + F.col("_no")).drop("_file", "_no")
+
+
 def difference(df: DataFrame, other: DataFrame, key: str = "url") -> DataFrame:
     return df.join(other.select(key).distinct(), key, "left_anti")
 
@@ -192,8 +199,8 @@ def candidate_limit(df: DataFrame, n: int, order: Sequence[str] = SEQ, key: str
 
     Only the ``n`` first-seen hosts can matter, so they are a table of at most ``n`` rows.
     """
+    df = materialize(df)  # read twice below
     first = df.groupBy(key).agg(F.min(seq() if order == SEQ else F.struct(*order)).alias("_first"))
-    hosts = first.orderBy("_first").limit(n)
-    small = n <= 100_000
-    kept = df.join(F.broadcast(hosts) if small else hosts, key)
+    hosts = first_rows(first, [F.col("_first")], n, "_host_no").drop("_host_no")
+    kept = df.join(hosts, key)
     return first_rows(kept, [F.col("_first"), *[F.col(c) for c in order]], n, "candidate_no").drop("_first")

@@ -35,16 +35,15 @@ def found_links(
     return F.filter(F.array_distinct(F.transform(found, urls.clean_link)), urls.is_playlist)
 
 
-def found_line_urls(content: Column) -> Column:
-    """Array of the distinct links on lines of their own or after a name and a comma."""
+def found_line_urls(content: Column, pairs: bool = True) -> Column:
+    """Array of the distinct links on lines of their own (playlist-like) or, with ``pairs``, after a name and a comma (any)."""
 
     def links(line):
+        alone = let(F.when(line.rlike("^https?://"), line), lambda u: F.when(urls.is_playlist(u), u))
+        if not pairs:
+            return F.array(alone)
         pair = F.when(has_comma(line), strip(after_comma(line)))
-        alone = F.when(line.rlike("^https?://"), line)
-        return F.array(
-            let(pair, lambda u: F.when(u.startswith("http"), u)),
-            let(alone, lambda u: F.when(urls.is_playlist(u), u)),
-        )
+        return F.array(let(pair, lambda u: F.when(u.startswith("http"), u)), alone)
 
     candidates = F.transform(F.filter(lines(content), lambda x: F.contains(x, F.lit("http"))), strip)
     kept = F.filter(candidates, lambda x: ~x.startswith("#"))
@@ -68,9 +67,12 @@ def extract_line_urls(docs: DataFrame, keys: Sequence[str] = ("source_id",)) ->
     return docs.select(*keys, F.explode(found_line_urls(F.col("content"))).alias("link"))
 
 
-def rank_by_domain_score(df: DataFrame, limit: int = 100, url: str = "url") -> DataFrame:
+def rank_by_domain_score(
+    df: DataFrame, limit: int, url: str = "url", allow: Sequence[str] = tuple(rules.ALLOW_DOMAINS),
+    deny: Sequence[str] = tuple(rules.DENY_DOMAINS),
+) -> DataFrame:
     """The ``limit`` best links by domain score, with their position."""
-    scored = df.withColumn("score", urls.domain_score(F.col(url)))
+    scored = df.withColumn("score", urls.domain_score(F.col(url), allow, deny))
     return first_rows(scored, [F.desc("score"), F.asc(url)], limit, "position")
 
 
@@ -92,29 +94,37 @@ def first_success(candidates: DataFrame, docs: DataFrame, keys: Sequence[str] =
 
 
 def expand_frontier(
-    seeds: DataFrame, docs: DataFrame, cap: int = 15, min_score: int = 1
+    seeds: DataFrame, docs: DataFrame, cap: int | None = None, min_score: int = 1,
+    allow: Sequence[str] = tuple(rules.ALLOW_DOMAINS), deny: Sequence[str] = tuple(rules.DENY_DOMAINS),
 ) -> DataFrame:
     """Links reachable from seed feeds directly or through one sub-playlist: ``link``, ``domain``.
 
-    ``seeds`` has ``url``, ``seed_rank`` and ``domain``; ``docs`` has ``url`` and ``content``.
-    A link found by several seeds keeps the domain of the last one. A sub-playlist counts once
-    however many seeds link to it: the winning seed is chosen before its links are followed.
+    ``seeds`` has ``url``, ``seed_rank`` and ``domain``; ``docs`` has ``url`` and ``content``. Only seeds with direct links
+    are followed further, and of a sub-playlist only lines that are playlist-like links themselves count. A link
+    found by several seeds keeps the domain of the last one. A sub-playlist counts once however many seeds link to
+    it: the winning seed is chosen before its links are followed. ``cap`` limits the sub-playlists of a seed, as
+    live fetching would; stored documents need no limit.
     """
     # Texts are read once, where they lie: only the links found in them travel to the joins.
     content = F.col("content")
-    read = docs.select("url", found_line_urls(content).alias("_lines"), found_links(content).alias("_links"))
+    read = docs.select(
+        "url", found_line_urls(content).alias("_lines"), found_line_urls(content, pairs=False).alias("_alone"),
+        found_links(content).alias("_links"),
+    )
     read = materialize(read)
-    opened = seeds.join(read, "url").select("seed_rank", "domain", "_lines", "_links")
+    opened = seeds.join(read, "url").filter(F.size("_lines") > 0).select("seed_rank", "domain", "_lines", "_links")
 
     def rows(df, column):
         return df.select("seed_rank", "domain", F.explode(column).alias("link"))
 
     direct = rows(opened, "_lines")
     subs = rows(opened, "_links").join(direct.select("link").distinct(), "link", "left_anti")
-    subs = top_per_key(subs, ["seed_rank"], [F.asc("link")], cap)
+    if cap is not None:
+        subs = top_per_key(subs, ["seed_rank"], [F.asc("link")], cap)
     last = F.max_by("domain", "seed_rank").alias("domain"), F.max("seed_rank").alias("seed_rank")
     frontier = subs.groupBy(F.col("link").alias("url")).agg(*last)
-    below = rows(frontier.join(read, "url"), "_lines").filter(urls.domain_score(F.col("link")) >= min_score)
+    score = urls.domain_score(F.col("link"), allow, deny)
+    below = rows(frontier.join(read, "url"), "_alone").filter(score >= min_score)
     return merge_discovered(direct.unionByName(below))
 
 
@@ -131,6 +141,6 @@ def base_domain(url: Column) -> Column:
     return F.substring_index(urls.netloc(url), ":", 1)
 
 
-def domain_stats(df: DataFrame, top: int = 10, domain: str = "domain") -> DataFrame:
+def domain_stats(df: DataFrame, top: int, domain: str = "domain") -> DataFrame:
     """The ``top`` domains by number of discovered links."""
     return df.groupBy(domain).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(domain)).limit(top)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom import rules
 from linkloom.functions import scores, urls
-from linkloom.functions.text import contains_any
+from linkloom.functions.text import contains_any, strip
 from linkloom.scale import running_sums
 
 GOOD = (200, 206)
@@ -18,7 +18,8 @@ GOOD = (200, 206)
 def media_type(head: Column, strict: bool = True) -> Column:
     """M3U8, TS, FLV or MP4 by the first bytes; ``unknown`` otherwise.
 
-    ``head`` is BINARY. Non-strict accepts any payload of 16 bytes as a transport stream.
+    ``head`` is BINARY. A transport stream shows a sync byte within its first 188 bytes (a ranged read may start inside a
+    packet), and again 188 bytes later where the head reaches so far. Non-strict accepts any payload of 16 bytes as one.
     """
     digits = F.hex(head)
 
@@ -26,7 +27,8 @@ def media_type(head: Column, strict: bool = True) -> Column:
         code = text.encode().hex().upper()
         return F.substring(digits, 1 + 2 * at, len(code)) == code
 
-    ts = starts("G") if strict else F.lit(True)
+    sync = rf"^(?:..){{0,187}}?47(?:(?:..){{187}}47|(?!(?:..){{188}}))"
+    ts = digits.rlike(sync) if strict else F.lit(True)
     return (
         F.when(F.octet_length(head) < 16, "unknown")
         .when(starts("#EXTM3U"), "m3u8")
@@ -101,11 +103,13 @@ def evaluate_second_probe(df: DataFrame, max_status: int = 500) -> DataFrame:
     return df.withColumn("direct_ok", ok)
 
 
-def evaluate_probe_legacy(df: DataFrame, speed_check: bool = True, min_mbps: float = 0.001) -> DataFrame:
+def evaluate_probe_legacy(
+    df: DataFrame, speed_check: bool = True, min_mbps: float = 0.001, name_length: int | None = None
+) -> DataFrame:
     """Earlier verdict: IPv6 hosts score 100, else stream evidence, else the HTTP status.
 
     Uses ``stderr``/``stdout`` of the stream probe, ``status`` of HEAD, ``get_status`` of the GET
-    fallback, ``elapsed_s`` and ``speed``. Adds ``alive``, ``quality`` and ``reason``.
+    fallback, ``elapsed_s`` and ``speed``. Adds ``alive``, ``quality`` and ``reason``; ``name_length`` cuts names, as was done.
     """
     stream_ok = has_stream(F.coalesce("stdout", F.lit(""))) & ~fatal_stderr(F.coalesce("stderr", F.lit("")))
     http_ok = F.coalesce(F.col("status").isin(200, 206, 301, 302, 304), F.lit(False)) | F.coalesce(
@@ -122,7 +126,8 @@ def evaluate_probe_legacy(df: DataFrame, speed_check: bool = True, min_mbps: flo
         .when(~reached, F.concat(F.lit("http "), F.coalesce("get_status", "status").cast("string")))
         .when(slow, "slow")
     )
-    out = df.withColumns({"name": F.substring("name", 1, 100), "reason": reason, "_v6": ipv6, "_score": score})
+    name = F.col("name") if name_length is None else F.substring("name", 1, name_length)
+    out = df.withColumns({"name": name, "reason": reason, "_v6": ipv6, "_score": score})
     return out.withColumns(
         {
             "alive": F.col("reason").isNull(),
@@ -131,22 +136,21 @@ def evaluate_probe_legacy(df: DataFrame, speed_check: bool = True, min_mbps: flo
     ).drop("_v6", "_score")
 
 
-def revalidate_links(probes: DataFrame, legacy: bool = False) -> DataFrame:
+def revalidate_links(probes: DataFrame, legacy: bool = False, order: Sequence[str] = ("status",)) -> DataFrame:
     """Verdict per url over HEAD and GET rows: good HEAD, or a redirect-like HEAD and a good GET.
 
-    ``bytes`` is the GET payload size and ``head`` its first bytes as text.
+    ``bytes`` is the GET payload size and ``head`` its first bytes as text. Of several rows of a url and method the last in
+    ``order`` (such as ``probed_at``) counts, with all its columns.
     """
-    def of(method, column):
-        return F.max(F.when(F.col("method") == method, F.col(column)))
-
-    per_url = probes.groupBy("url").agg(
-        of("HEAD", "status").alias("head_status"),
-        of("GET", "status").alias("get_status"),
-        of("GET", "bytes").alias("get_bytes"),
-        of("GET", "head").alias("get_text"),
+    def newest(method):
+        return F.max_by(F.when(F.col("method") == method, F.struct("status", "bytes", "head")), F.when(F.col("method") == method, F.struct(*order)))
+
+    per_url = probes.groupBy("url").agg(newest("HEAD").alias("_h"), newest("GET").alias("_g")).select(
+        "url", F.col("_h.status").alias("head_status"), F.col("_g.status").alias("get_status"),
+        F.col("_g.bytes").alias("get_bytes"), F.substring("_g.head", 1, 256).alias("get_text"),
     )
     text = F.lower(F.col("get_text"))
-    marked = text.rlike("m3u") if legacy else (text.rlike("m3u") | (F.length(F.trim(text)) > 32))
+    marked = text.rlike("m3u") if legacy else (text.rlike("m3u") | (F.length(strip(text)) > 32))
     get_ok = F.col("get_status").isin(*GOOD) & (F.col("get_bytes") >= 16) & marked
     if legacy:
         ok = F.col("head_status").isin(200, 206, 301, 302, 304) | (F.col("head_status").isNotNull() & get_ok)

@@ -99,6 +99,12 @@ def min_resolution(df: DataFrame, text: str = "stdout", width: int = 640, height
     return df.withColumns({"width": w, "height": h}).filter((F.col("width") >= width) & (F.col("height") >= height))
 
 
+def large_enough(text: Column, width: int, height: int) -> Column:
+    """Whether the recorded resolution reaches both sides; false where none is recorded."""
+    w, h = resolution(text)
+    return F.coalesce((w >= width) & (h >= height), F.lit(False))
+
+
 def flag_known_direct(df: DataFrame) -> DataFrame:
     return df.withColumn("known_direct", urls.is_known_direct(F.col("url")))
 

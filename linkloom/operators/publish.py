@@ -101,34 +101,61 @@ def sanitize_catalog(catalog: DataFrame, sensitive: Sequence[str] = tuple(rules.
 
 
 def updated_cache(valid: DataFrame, cache: DataFrame, now: Column, ttl_hours: float = 6) -> DataFrame:
-    """Validation times after a run: valid links are stamped ``now``, expired ones dropped."""
+    """Validation times after a run: the links given are stamped ``now``, expired ones dropped.
+
+    Give the links that evidence of this run proved, not those kept because they were proved before.
+    """
     stamped = valid.select("fp", now.alias("validated_at"))
     merged = cache.select("fp", "validated_at").unionByName(stamped)
     newest = merged.groupBy("fp").agg(F.max("validated_at").alias("validated_at"))
     return newest.filter(F.col("validated_at") >= now - F.make_dt_interval(secs=F.lit(ttl_hours * 3600)))
 
 
-def write_state(df: DataFrame, path: str, version: int) -> None:
-    """Write the next version of a state table beside the older ones.
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def state_versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions of a state table, oldest first; empty tables count."""
+    store, where = _folder(spark, path)
+    if not store.exists(where):
+        return []
+    found = []
+    for entry in store.listStatus(where):
+        name = entry.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if name.startswith("version=") and store.exists(done):
+            found.append(int(name.removeprefix("version=")))
+    return sorted(found)
+
+
+def write_state(df: DataFrame, path: str, version: int, keep: int = 3) -> None:
+    """Write the next version of a state table beside the older ones, of which the last ``keep`` stay in all.
 
     A table cannot be overwritten while it is being read; a version becomes visible only when
     its job commits, so a lost run leaves the previous state in place.
     """
     df.write.mode("overwrite").parquet(f"{path}/version={version:020d}")
+    spark = df.sparkSession
+    store, _ = _folder(spark, path)
+    for old in state_versions(spark, path)[:-keep]:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old:020d}"), True)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of a state table."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("version")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    """Newest committed version of a state table; other versions are not read."""
+    versions = state_versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no committed version below {path}")
+    return spark.read.parquet(f"{path}/version={versions[-1]:020d}")
 
 
 def append_run_stats(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
-def read_last_runs(spark: SparkSession, path: str, n: int = 10, order: str = "run_ts") -> DataFrame:
+def read_last_runs(spark: SparkSession, path: str, n: int, order: str = "run_ts") -> DataFrame:
     """History as kept: the newest ``n`` runs."""
     return keep_last_runs(spark.read.parquet(path), [F.desc(order)], n)
 

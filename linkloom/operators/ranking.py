@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom import rules
-from linkloom.scale import first_rows, rank_by, top_per_key
+from linkloom.scale import first_rows, rank_by, rank_within, top_per_key
 
 GROUP = ("category", "norm_name")
 
@@ -20,8 +20,10 @@ def group_best(df: DataFrame, keys: Sequence[str] = GROUP, seq: str = "seq") ->
     )
 
 
-def topk_per_name(df: DataFrame, k: int = 2, keys: Sequence[str] = GROUP, seq: str = "seq") -> DataFrame:
-    """The best ``k`` links per channel, with ``rn`` as their rank."""
+def topk_per_name(df: DataFrame, k: int, keys: Sequence[str] = GROUP, seq: str = "seq") -> DataFrame:
+    """The best ``k`` links per channel, with ``rn`` as their rank; 0 ranks and keeps all."""
+    if k <= 0:
+        return rank_within(df, list(keys), [F.desc("quality"), F.asc(seq)], "rn")
     return top_per_key(df, list(keys), [F.desc("quality"), F.asc(seq)], k, "rn")
 
 
@@ -32,6 +34,11 @@ def category_rank(category: Column, order: Sequence[str] = tuple(rules.CATEGORY_
     return F.when(found > 0, found - 1).otherwise(len(order) - 1).cast("bigint")
 
 
+def listed_category(category: Column, order: Sequence[str] = tuple(rules.CATEGORY_ORDER)) -> Column:
+    """The category itself, or the last of the order where it is not listed."""
+    return F.when(category.isin(list(order)), category).otherwise(F.lit(order[-1]))
+
+
 def natural_keys(norm_name: Column, best: Column, numbered: Column, prefix: str = "CCTV-?") -> list[Column]:
     """Order of channels inside a category.
 
@@ -85,7 +92,7 @@ def global_cap(df: DataFrame, order: Sequence[Column], limit: int, name: str = "
     return rank_by(df, order, name) if limit <= 0 else first_rows(df, order, limit, name)
 
 
-def cap_per_display_name(df: DataFrame, k: int = 3, run: str = "group_run", order: str = "line_no") -> DataFrame:
+def cap_per_display_name(df: DataFrame, k: int, run: str = "group_run", order: str = "line_no") -> DataFrame:
     """At most ``k`` urls per name inside a group run; ``name_at`` is where the name first appeared."""
     usable = df.filter((F.coalesce("name", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
     top = top_per_key(usable, [run, "name"], [F.col(order)], k, "rn")
@@ -121,8 +128,8 @@ def proportional_quota(
     floor: int = 30,
 ) -> DataFrame:
     """Integer quota per category: ``other`` categories by share but at least ``floor``, the rest
-    by floor share of what is left, the remainder to the first category present."""
-    names = df.filter(F.col("category").isin(list(order))).select("category", name).distinct()
+    by floor share of what is left, the remainder to the first category present. Unlisted categories count as the last one."""
+    names = df.select(listed_category(F.col("category"), order).alias("category"), name).distinct()
     counts = names.groupBy("category").agg(F.count("*").alias("n"))
     # One row per category from here on: as many rows as the category table has.
     everything = Window.partitionBy()
@@ -139,8 +146,9 @@ def proportional_quota(
     return c.withColumn("quota", quota.cast("bigint")).select("category", "rank", "n", "quota")
 
 
-def enforce_quota(df: DataFrame, quota: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """Keep each category's first ``quota`` rows in output order; ``limit`` is the largest quota."""
-    # Every task keeps at most ``limit`` rows per category before anything is shuffled.
-    ranked = top_per_key(df, ["category"], order, limit, "_n")
-    return ranked.join(quota.select("category", "quota"), "category").filter("_n <= quota").drop("_n", "quota")
+def enforce_quota(df: DataFrame, quota: DataFrame, order: Sequence[Column], categories: Sequence[str] = tuple(rules.CATEGORY_ORDER)) -> DataFrame:
+    """Keep each category's first ``quota`` rows in output order; unlisted categories share the last one's quota."""
+    listed = df.withColumn("_listed", listed_category(F.col("category"), categories))
+    ranked = rank_within(listed, ["_listed"], order, "_n")
+    quotas = quota.select(F.col("category").alias("_listed"), "quota")
+    return ranked.join(quotas, "_listed").filter("_n <= quota").drop("_n", "quota", "_listed")

@@ -104,6 +104,6 @@ def run_delta(runs: DataFrame, order: str, measures: Sequence[str], keys: Sequen
     return out.withColumns({f"d_{m}": F.col(m) - F.col(f"_prev.{m}") for m in measures}).drop("_prev")
 
 
-def keep_last_runs(runs: DataFrame, order: Sequence[Column], n: int = 10) -> DataFrame:
+def keep_last_runs(runs: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The newest ``n`` runs."""
     return runs.orderBy(*order).limit(n)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.scale import spread
 
 # Catalog entries with every kind of rejection, repeated fingerprints, and a quality.
 CATALOG = """
@@ -69,7 +68,7 @@ FROM {events}
 # Feed scans: some feeds are only in the first scan, some only in the second, some twice.
 FEED = """
 SELECT concat('http://feed', CAST(floor(doc_id / 2) AS BIGINT), '.example.com/tv.m3u') AS url, doc_id AS scan_no,
-  CAST(n_chars % 2 AS BIGINT) AS snapshot, CASE WHEN doc_id % 3 = 0 THEN text ELSE lang END AS content
+  CAST(n_chars % 2 AS BIGINT) AS snapshot, text AS content
 FROM {documents}
 """
 
@@ -90,15 +89,16 @@ FROM {part} p JOIN (VALUES (0, 'CCTV-1综合'), (1, 'cctv5+ HD'), (2, 'CCTV13新
   (15, 'Kids Cartoon')) AS v(k, raw) ON p.p_partkey % 16 = v.k
 """
 
-# Feeds whose whole text links to other feeds, with playlist lines around it.
+# Feeds whose whole text links to other feeds, with playlist lines around it; every eleventh links in prose alone.
 DOCS = """
 SELECT doc_id, concat('http://feed', doc_id, '.example.com/tv.m3u') AS url, CAST(CASE WHEN doc_id % 13 = 0 THEN 404 ELSE 200 END AS BIGINT) AS status,
+  CASE WHEN doc_id % 11 = 0 THEN concat('Prose only: see http://feed', CAST(floor(doc_id / 3) AS BIGINT), '.example.com/tv.m3u for more') ELSE
   concat(CASE WHEN doc_id % 17 = 0 THEN '<html>' ELSE '#EXTM3U' END, chr(10), '#EXTINF:-1,', source, chr(10), 'http://live', doc_id % 50, '.example.org/live/', doc_id,
     '.m3u8', chr(10), text, chr(10), lang, ',http://cdn', doc_id % 9, '.example.net:8080/', doc_id, chr(10),
     'see http://feed', CAST(floor(doc_id / 2) AS BIGINT), '.example.com/tv.m3u or http://feed',
     CAST(floor(doc_id / 5) AS BIGINT), '.example.com/tv.m3u", and http://cdn', doc_id % 9,
     '.example.net/logo.png', chr(10), 'http://bit.ly/live/', doc_id % 30, chr(10), '#EXTINF:-1 tvg-name="', source, '"', chr(10),
-    'https://x', doc_id % 40, '.oss-cn.example.com/tv/', doc_id) AS content
+    'https://x', doc_id % 40, '.oss-cn.example.com/tv/', doc_id) END AS content
 FROM {documents}
 """
 
@@ -119,9 +119,6 @@ SELECT concat(CASE p_partkey % 4 WHEN 0 THEN 'https://gh-proxy.com/' WHEN 1 THEN
 FROM {part}
 """
 
-# Tables of long texts, where the work per row is worth a better spread of few files.
-TEXTS = ("documents", "pages", "conversations")
-
 _SQL = {
     "catalog": (CATALOG, ["part"]),
     "raw": (RAW, ["catalog"]),
@@ -139,8 +136,7 @@ _SQL = {
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table, or the carrier of that name."""
     if name not in _SQL:
-        df = spark.read.parquet(f"{sf}/{name}.parquet")
-        return spread(df) if name in TEXTS else df
+        return spark.read.parquet(f"{sf}/{name}.parquet")
     sql, inputs = _SQL[name]
     return spark.sql(sql, **{i: table(spark, sf, i) for i in inputs})
 

@@ -208,7 +208,7 @@ def fallback_fill(spark, sf):
     return out.select("category", "norm_name", "part_no", "seq", "quality", "is_fallback", "rn")
 
 
-@query("quota_alloc", """WITH c AS (SELECT p_type AS category, count(DISTINCT p_brand || p_size) AS n FROM part WHERE p_type IN ('PROMO', 'LARGE', 'MEDIUM', 'SMALL', 'STANDARD') GROUP BY 1),
+@query("quota_alloc", """WITH c AS (SELECT CASE WHEN p_type IN ('PROMO', 'LARGE', 'MEDIUM', 'SMALL') THEN p_type ELSE 'STANDARD' END AS category, count(DISTINCT p_brand || p_size) AS n FROM part GROUP BY 1),
 t AS (SELECT *, CASE category WHEN 'PROMO' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'SMALL' THEN 3 ELSE 4 END AS rank,
   sum(n) OVER () AS total, sum(CASE WHEN category = 'STANDARD' THEN n ELSE 0 END) OVER () AS other FROM c),
 o AS (SELECT *, greatest(30, (other * 500) // total) AS oq FROM t),
@@ -277,17 +277,18 @@ def category_counts(spark, sf):
     return runs.category_counts(channels(spark, sf), ORDER + ["NONE"])
 
 
-@query("enforced_quota", f"""{CH}, c AS (SELECT category, count(DISTINCT norm_name) AS n FROM channels WHERE category IN ('PROMO', 'LARGE', 'MEDIUM', 'SMALL', 'STANDARD') GROUP BY 1),
+@query("enforced_quota", f"""{CH}, c AS (SELECT CASE WHEN category IN ('PROMO', 'LARGE', 'MEDIUM', 'SMALL') THEN category ELSE 'STANDARD' END AS category, count(DISTINCT norm_name) AS n FROM channels GROUP BY 1),
 t AS (SELECT *, {RANK} AS rank, sum(n) OVER () AS total, sum(CASE WHEN category = 'STANDARD' THEN n ELSE 0 END) OVER () AS other FROM c),
 o AS (SELECT *, greatest(30, (other * 500) // total) AS oq FROM t),
 s AS (SELECT *, CASE WHEN category = 'STANDARD' THEN oq ELSE (n * greatest(0, 500 - oq)) // greatest(total - other, 1) END AS base FROM o),
 qt AS (SELECT category, base + CASE WHEN rank = min(rank) OVER () THEN 500 - sum(base) OVER () ELSE 0 END AS quota FROM s),
-r AS (SELECT h.category, seq, quality, row_number() OVER (PARTITION BY h.category ORDER BY quality DESC, seq) AS n FROM channels h)
-SELECT r.category, seq, quality FROM r JOIN qt ON r.category = qt.category WHERE n <= quota""")
+m AS (SELECT *, CASE WHEN category IN ('PROMO', 'LARGE', 'MEDIUM', 'SMALL') THEN category ELSE 'STANDARD' END AS listed FROM channels),
+r AS (SELECT category, listed, seq, quality, row_number() OVER (PARTITION BY listed ORDER BY quality DESC, seq) AS n FROM m)
+SELECT r.category, seq, quality FROM r JOIN qt ON r.listed = qt.category WHERE n <= quota""")
 def enforced_quota(spark, sf):
     df = channels(spark, sf)
     quota = ranking.proportional_quota(df, 500, ORDER, ["STANDARD"])
-    return ranking.enforce_quota(df, quota, [F.desc("quality"), F.asc("seq")], 500).select("category", "seq", "quality")
+    return ranking.enforce_quota(df, quota, [F.desc("quality"), F.asc("seq")], ORDER).select("category", "seq", "quality")
 
 
 @query("failed_rows", f"{ctes('catalog')} SELECT concat(name, ',', url) AS line FROM catalog WHERE quality < 50")

@@ -26,7 +26,8 @@ LINKS = f"""links AS (SELECT DISTINCT doc_id, link FROM (SELECT doc_id, regexp_r
 LINES = f"""ln AS (SELECT doc_id, {q.strip('raw')} AS line FROM (SELECT doc_id, unnest({q.split_lines('content')}) AS raw FROM docs)),
 line_urls AS (SELECT DISTINCT doc_id, link FROM (
   SELECT doc_id, {q.strip(q.after_comma('line'))} AS link FROM ln WHERE line NOT LIKE '#%' AND contains(line, ',') AND {q.strip(q.after_comma('line'))} LIKE 'http%'
-  UNION ALL SELECT doc_id, line FROM ln WHERE regexp_matches(line, '^https?://') AND {q.playlist('line')}))"""
+  UNION ALL SELECT doc_id, line FROM ln WHERE regexp_matches(line, '^https?://') AND {q.playlist('line')})),
+alone AS (SELECT DISTINCT doc_id, line AS link FROM ln WHERE line NOT LIKE '#%' AND regexp_matches(line, '^https?://') AND {q.playlist('line')})"""
 
 
 @query("page_links", f"{ctes('docs')}, {LINKS} SELECT * FROM links")
@@ -67,8 +68,8 @@ FRONTIER = f"""{LINKS}, {LINES}, seeds AS ({_SEEDS.format(docs='docs')}),
 sd AS (SELECT s.seed_rank, s.domain, d.doc_id FROM seeds s JOIN docs d ON s.url = d.url),
 direct AS (SELECT seed_rank, domain, link FROM sd JOIN line_urls USING (doc_id)),
 subs AS (SELECT seed_rank, domain, link FROM sd JOIN links USING (doc_id) WHERE link NOT IN (SELECT link FROM direct)
-  QUALIFY row_number() OVER (PARTITION BY seed_rank ORDER BY link) <= 15),
-below AS (SELECT s.seed_rank, s.domain, u.link FROM subs s JOIN docs d ON d.url = s.link JOIN line_urls u ON u.doc_id = d.doc_id
+  AND doc_id IN (SELECT doc_id FROM line_urls)),
+below AS (SELECT s.seed_rank, s.domain, u.link FROM subs s JOIN docs d ON d.url = s.link JOIN alone u ON u.doc_id = d.doc_id
   WHERE {q.domain_score('u.link')} > 0),
 merged AS (SELECT link, arg_max(domain, seed_rank) AS domain FROM (SELECT * FROM direct UNION ALL SELECT * FROM below) GROUP BY link)"""
 
@@ -76,7 +77,7 @@ merged AS (SELECT link, arg_max(domain, seed_rank) AS domain FROM (SELECT * FROM
 @query("frontier_depth1", f"{ctes('docs')}, {FRONTIER} SELECT * FROM merged")
 def frontier_depth1(spark, sf):
     docs = table(spark, sf, "docs")
-    return discovery.expand_frontier(spark.sql(_SEEDS, docs=docs), docs, 15)
+    return discovery.expand_frontier(spark.sql(_SEEDS, docs=docs), docs)
 
 
 _MERGE = "SELECT concat('http://h', l_partkey, '.example.com/') AS link, l_suppkey AS seed, concat('s', l_suppkey) AS domain FROM {lineitem}"
@@ -121,8 +122,8 @@ def mirror_first_success(spark, sf):
 sd AS (SELECT s.seed_rank, s.domain, g.doc_id FROM seeds s JOIN good g ON s.url = g.url),
 direct AS (SELECT seed_rank, domain, link FROM sd JOIN line_urls USING (doc_id)),
 subs AS (SELECT seed_rank, domain, link FROM sd JOIN links USING (doc_id) WHERE link NOT IN (SELECT link FROM direct)
-  QUALIFY row_number() OVER (PARTITION BY seed_rank ORDER BY link) <= 15),
-below AS (SELECT s.seed_rank, s.domain, u.link FROM subs s JOIN good d ON d.url = s.link JOIN line_urls u ON u.doc_id = d.doc_id WHERE {q.domain_score('u.link')} > 0),
+  AND doc_id IN (SELECT doc_id FROM line_urls)),
+below AS (SELECT s.seed_rank, s.domain, u.link FROM subs s JOIN good d ON d.url = s.link JOIN alone u ON u.doc_id = d.doc_id WHERE {q.domain_score('u.link')} > 0),
 merged AS (SELECT link, arg_max(domain, seed_rank) AS domain FROM (SELECT * FROM direct UNION ALL SELECT * FROM below) GROUP BY link)
 SELECT link AS url, domain, CASE WHEN regexp_matches({q.stem('link')}, '^[0-9]+$') OR length({q.stem('link')}) <= 3 THEN domain ELSE concat({q.stem('link')}, ' (', domain, ')') END AS name FROM merged""")
 def discover_run(spark, sf):

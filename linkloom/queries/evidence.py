@@ -22,7 +22,7 @@ MEDIA = (
     "CASE WHEN octet_length(encode(head)) < 16 THEN 'unknown' WHEN head LIKE '#EXTM3U%' THEN 'm3u8' WHEN head LIKE 'FLV%' THEN 'flv' "
     "WHEN substring(head, 5, 4) = 'ftyp' THEN 'mp4' {ts} ELSE 'unknown' END"
 )
-STRICT = MEDIA.format(ts="WHEN head LIKE 'G%' THEN 'ts'")
+STRICT = MEDIA.format(ts="WHEN strpos(head, 'G') BETWEEN 1 AND 188 AND (length(head) < strpos(head, 'G') + 188 OR substr(head, strpos(head, 'G') + 188, 1) = 'G') THEN 'ts'")
 LOOSE = MEDIA.format(ts="WHEN true THEN 'ts'")
 
 
@@ -152,16 +152,16 @@ def probe_legacy(spark, sf):
     return evidence.evaluate_probe_legacy(df, min_mbps=0.5).select("seq", "alive", "quality", "reason")
 
 
-@query("link_revalidate", f"""{C}, p AS (SELECT concat('http://l', seq // 2) AS url, CASE WHEN seq % 2 = 0 THEN 'HEAD' ELSE 'GET' END AS method, status, bytes, head FROM probe),
-u AS (SELECT url, max(status) FILTER (method = 'HEAD') AS hs, max(status) FILTER (method = 'GET') AS gs, max(bytes) FILTER (method = 'GET') AS gb,
-  max(head) FILTER (method = 'GET') AS t FROM p GROUP BY url)
+@query("link_revalidate", f"""{C}, p AS (SELECT concat('http://l', seq // 6) AS url, CASE WHEN seq % 2 = 0 THEN 'HEAD' ELSE 'GET' END AS method, status, bytes, head, seq FROM probe),
+u AS (SELECT url, arg_max(status, seq) FILTER (method = 'HEAD') AS hs, arg_max(status, seq) FILTER (method = 'GET') AS gs, arg_max(bytes, seq) FILTER (method = 'GET') AS gb,
+  arg_max(head, seq) FILTER (method = 'GET') AS t FROM p GROUP BY url)
 SELECT url, coalesce(hs IN (200, 206) OR (hs IN (301, 302, 304, 403, 405) AND gs IN (200, 206) AND gb >= 16 AND (lower(t) LIKE '%m3u%' OR length(trim(t)) > 32)), false) AS ok FROM u""")
 def link_revalidate(spark, sf):
     p = table(spark, sf, "probe").select(
-        F.expr("concat('http://l', seq div 2)").alias("url"), F.when(F.col("seq") % 2 == 0, "HEAD").otherwise("GET").alias("method"),
-        "status", "bytes", "head",
+        F.expr("concat('http://l', seq div 6)").alias("url"), F.when(F.col("seq") % 2 == 0, "HEAD").otherwise("GET").alias("method"),
+        "status", "bytes", "head", "seq",
     )
-    return evidence.revalidate_links(p).select("url", "ok")
+    return evidence.revalidate_links(p, order=["seq"]).select("url", "ok")
 
 
 

@@ -12,7 +12,7 @@ from linkloom.queries.curation import BLACKLIST, NO_CACHE, VOD, now
 from linkloom.queries.registry import query
 
 RULES = {"4K专区": ["gear", "gizmo"], "影视剧集": ["ring"], "体育赛事": ["bolt", "plate"]}
-OPTS = Options(blacklist=BLACKLIST, vod_hosts=VOD, category_rules=RULES, aliases=[("RINGX", "RING")], output_limit=300, min_speed=0.2)
+OPTS = Options(blacklist=BLACKLIST, vod_hosts=VOD, category_rules=RULES, aliases=[("RINGX", "RING")], links_per_name=2, output_limit=300, min_speed=0.2)
 
 def _probes(spark, sf):
     from linkloom.functions import urls
@@ -37,7 +37,7 @@ _RANKED = "CASE category WHEN '4K专区' THEN 0 WHEN '影视剧集' THEN 2 WHEN
 probes AS (SELECT c.fp, arg_max(p, p_partkey) AS p FROM (SELECT {q.fp('url')} AS fp, line_no FROM catalog) c JOIN part p ON c.line_no = p.p_partkey GROUP BY c.fp),
 judged AS (SELECT a.*, p.p.p_size AS size, p.p.p_retailprice / CAST(500 AS DOUBLE) AS speed FROM accepted a JOIN probes p USING (fp)
   WHERE p.p.p_size % 8 <> 0 AND p.p.p_size * 40 >= 512),
-valid AS (SELECT *, CAST(source_rank * 2147483648 + line_no AS BIGINT) AS seq, least(50 + CASE WHEN size * 30000 > 1000000 THEN 20 WHEN size * 30000 > 500000 THEN 10 ELSE 0 END
+valid AS (SELECT *, source_rank * 2147483648 + line_no AS seq, least(50 + CASE WHEN size * 30000 > 1000000 THEN 20 WHEN size * 30000 > 500000 THEN 10 ELSE 0 END
   + CAST(trunc(speed * 10) AS BIGINT), 100) AS quality FROM judged WHERE speed >= 0.2),
 named AS (SELECT *, {_CAT} AS category, upper(replace(name, ' ', '')) AS norm_name FROM valid),
 best AS (SELECT category, norm_name, max(quality) AS best, min(seq) AS first_seq FROM named GROUP BY ALL),

@@ -163,7 +163,7 @@ def domain_score_rank(spark, sf):
 GROUP BY 1 ORDER BY n DESC, domain LIMIT 10""")
 def domain_top10(spark, sf):
     df = table(spark, sf, "pages").select(discovery.base_domain(F.col("url")).alias("domain"))
-    return discovery.domain_stats(df)
+    return discovery.domain_stats(df, 10)
 
 
 @query("url_sanitize", f"""WITH p AS (SELECT page_id, url, coalesce(array_to_string(list_filter(string_split({q.query('url')}, '&'),

@@ -3,14 +3,18 @@
 A window ordered over a whole table, or over one hot key, runs in one task. The helpers here
 cut the order into blocks of consecutive positions, so that no task ever sees more than
 ``block`` rows of one key, and carry one summary row per block across the block borders.
-They need an integer order column that is unique within its keys (a line number, a sequence).
+They need an integer order column that is unique within its keys (a line number, a time), dense or sparse.
 The summaries stay small: a trillion rows of one key make four million of them.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,15 +24,16 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``; a temporary one where driver and executors are one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
@@ -40,17 +45,45 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows of an input that has fewer splits than there are cores.
+#: Ranges told apart by quantiles of the order; each is cut evenly into blocks.
+_RANGES = 256
 
-    A large input has many splits and stays where it is; only a small one is moved.
+
+def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
+    """Add ``_blk``, growing with the order column, so that a block has about ``block`` rows however sparse the order is.
+
+    Quantiles cut the order into ranges; the rows counted in a range tell into how many equal stretches it is cut.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    at = F.col(order)
+    shares = F.array(*[F.lit(i / _RANGES) for i in range(1, _RANGES)])
+    n, bounds = df.agg(F.count(at), F.percentile_approx(at, shares, 10_000)).first()
+    if n <= block:
+        return df.withColumn("_blk", F.lit(0).cast("bigint"))
+    bounds = sorted(set(bounds))
+    ranged = range_of(at, bounds)
+    found = df.filter(at.isNotNull()).groupBy(ranged.alias("r")).agg(F.count("*"), F.min(at), F.max(at)).collect()
+    first, low, step, blocks = {}, {}, {}, 0
+    for r, rows, lo, hi in sorted(found):  # one row per range
+        parts = -(-rows // block)
+        first[r], low[r], step[r] = blocks, lo, (hi - lo) // parts + 1
+        blocks += (hi - lo) // step[r] + 1
 
+    def of(values: dict) -> Column:
+        return F.element_at(_longs([values.get(i, 1) for i in range(len(bounds) + 1)]), ranged + 1)
+
+    inside = F.try_divide(at - of(low), of(step))
+    return df.withColumn("_blk", of(first) + F.floor(inside))
+
+
+def _longs(values: Sequence[int]) -> Column:
+    return F.expr("array(" + ", ".join(f"cast('{int(v)}' as bigint)" for v in values) + ")")
 
-def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
-    return df.withColumn("_blk", F.expr(f"`{order}` div {block}L"))
+
+def range_of(value: Column, bounds: Sequence[int]) -> Column:
+    """How many of the sorted ``bounds`` are at most ``value``: a search over every 16th, then over the 16 from there."""
+    coarse = F.size(F.filter(_longs(bounds[::16]), lambda b: b <= value))
+    fine = F.slice(_longs(bounds), F.greatest((coarse - 1) * 16 + 1, F.lit(1)), F.lit(16))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * 16 + F.size(F.filter(fine, lambda b: b <= value)))
 
 
 def _scan(rows: DataFrame, seeds: DataFrame, order: str, keys: Sequence[str], out: dict[str, Column], end: int | None):
@@ -124,13 +157,15 @@ def rank_in_order(
     return running_sums(df, order, {name: F.lit(1)}, keys, block)
 
 
-def rank_by(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Add ``name``: dense 1-based position of each row in a total order of the whole table.
+def rank_by(df: DataFrame, order: Sequence[Column], name: str, limit: int | None = None) -> DataFrame:
+    """Add ``name``: dense 1-based position of each row in a total order of the whole table, or of its first ``limit`` rows.
 
-    The sorted rows are materialized once; positions are then the position inside a sorted
-    partition plus the sizes of the partitions before it (one summary row per partition).
+    The sorted rows are materialized once; positions are then the position inside a sorted partition plus the sizes of the
+    partitions before it (one summary row per partition). With a limit every partition keeps that many rows at most.
     """
-    ordered = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    ordered = materialize(ordered if limit is None else ordered.filter(inside < limit))
     part = F.shiftright("_id", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -139,37 +174,44 @@ def rank_by(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
         .select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     )
     # One row per sort partition, so its size is bound by spark.sql.shuffle.partitions.
-    return (
+    numbered = (
         ordered.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_off") + 1)
+        .withColumn(name, inside + F.col("_off") + 1)
         .drop("_id", "_part", "_off")
     )
+    return numbered if limit is None else numbered.filter(F.col(name) <= limit)
 
 
-def first_rows(df: DataFrame, order: Sequence[Column], limit: int, name: str) -> DataFrame:
-    """The first ``limit`` rows of a total order, with their 1-based position.
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: 1-based position of each row among those of its keys.
 
-    Every partition keeps only its own first rows; the final window sees at most ``limit`` rows.
-    A limit too large for one task is taken from a distributed numbering instead.
+    The whole table is sorted by keys and order, so that a hot key is spread over many sorted partitions; a key's
+    positions are then counted from its first row.
     """
-    if limit > 1_000_000:
-        return rank_by(df, order, name).filter(F.col(name) <= limit)
-    top = df.orderBy(*order).limit(limit)
-    return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    ranked = rank_by(df, [*[F.col(k) for k in keys], *order], "_at")
+    first = ranked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_at").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = ranked.join(first, reduce(lambda a, b: a & b, same))
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *[f"_k_{k}" for k in keys])
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], k: int, name: str | None = None) -> DataFrame:
-    """At most ``k`` rows per key. Each task drops losers before the shuffle, so hot keys shrink first."""
-    rank = name or "_rank"
+def first_rows(df: DataFrame, order: Sequence[Column], limit: int, name: str) -> DataFrame:
+    """The first ``limit`` rows of a total order, with their 1-based position: a distributed sort, whatever the limit."""
+    return rank_by(df, order, name, limit)
 
-    def cut(rows, by):
-        w = Window.partitionBy(*by).orderBy(*order)
-        return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
-    if k > 1000:
-        # Spark drops losers early only for small k; a large one is cut in salted parts of a key first.
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-        df = cut(salted, [*keys, "_salt"]).drop("_salt", rank)
-    out = cut(df, keys)
-    return out.withColumn(rank, F.col(rank).cast("bigint")) if name else out.drop(rank)
+#: Up to this k Spark drops losers before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+_EARLY = 1000
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str | None = None) -> DataFrame:
+    """At most ``k`` rows per key. Each task drops losers before the shuffle, so hot keys shrink first; a ``k`` too
+    large for that takes positions from a distributed sort."""
+    rank = name or "_rank"
+    if k > _EARLY:
+        out = rank_within(df, keys, order, rank)
+    else:
+        out = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    out = out.filter(F.col(rank) <= k)
+    return out if name else out.drop(rank)

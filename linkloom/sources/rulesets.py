@@ -67,6 +67,14 @@ def rule_mapping(table: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def keyword_mapping(table: DataFrame) -> dict[str, list[str]]:
+    """Keyword lists by kind (blacklist, vod, overseas, allow, deny), in order."""
+    out: dict[str, list[str]] = {kind: [] for kind in KINDS}
+    for r in table.orderBy("kind", "ord").toLocalIterator():  # configuration, as above
+        out.setdefault(r["kind"], []).append(r["value"])
+    return out
+
+
 def feed_list(feeds: DataFrame, order: str = "ord", **scale) -> DataFrame:
     """HTTP feeds without repeats, with unique short names (``#1``, ``#2`` … on collisions)."""
     url = F.col("url")

@@ -25,24 +25,24 @@ def test_frontier_takes_the_last_seed(spark):
     docs = spark.createDataFrame(
         [
             ("s1", "go http://sub.com/list.m3u\nn,http://direct.com/1"), ("s2", "go http://sub.com/list.m3u\nn,http://direct.com/1"),
-            ("http://sub.com/list.m3u", "n,http://below.com/1\nn,http://bit.ly/x\ngo http://third.com/list.m3u"),
-            ("http://third.com/list.m3u", "n,http://too.deep/1"),
+            ("http://sub.com/list.m3u", "n,http://pair.com/1\nhttp://below.com/live/1\nhttp://bit.ly/live/x\nhttp://plain.com/page\ngo http://third.com/list.m3u"),
+            ("http://third.com/list.m3u", "http://too.deep/live/1"), ("s4", "prose only, see http://prose.com/list.m3u"), ("http://prose.com/list.m3u", "http://prose.com/live/2"),
         ],
         "url string, content string",
     )
-    seeds = spark.createDataFrame([("s1", 1, "one"), ("s2", 2, "two"), ("s3", 3, "three")], "url string, seed_rank long, domain string")
+    seeds = spark.createDataFrame([("s1", 1, "one"), ("s2", 2, "two"), ("s3", 3, "three"), ("s4", 4, "four")], "url string, seed_rank long, domain string")
     got = {r.link: r.domain for r in discovery.expand_frontier(seeds, docs).collect()}
-    assert got == {"http://direct.com/1": "two", "http://below.com/1": "two"}
+    assert got == {"http://direct.com/1": "two", "http://below.com/live/1": "two"}
     plan = discovery.expand_frontier(seeds, docs)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_frontier_cap_keeps_every_seed(spark):
-    subs = "go " + " ".join(f"http://sub.com/l{i:02d}.m3u" for i in range(30))
-    docs = spark.createDataFrame([("s1", subs), ("s2", subs)] + [(f"http://sub.com/l{i:02d}.m3u", f"n,http://x.com/{i}") for i in range(30)], "url string, content string")
+    subs = "n,http://own.com/1\ngo " + " ".join(f"http://sub.com/l{i:02d}.m3u" for i in range(30))
+    docs = spark.createDataFrame([("s1", subs), ("s2", subs)] + [(f"http://sub.com/l{i:02d}.m3u", f"http://x.com/live/{i}") for i in range(30)], "url string, content string")
     seeds = spark.createDataFrame([("s1", 1, "one"), ("s2", 2, "two")], "url string, seed_rank long, domain string")
-    assert discovery.expand_frontier(seeds, docs, cap=4).count() == 4
-    assert discovery.expand_frontier(seeds, docs, cap=100).count() == 30
+    assert discovery.expand_frontier(seeds, docs, cap=4).count() == 5
+    assert discovery.expand_frontier(seeds, docs).count() == 31
 
 
 def test_discover_uses_mirrors(spark):

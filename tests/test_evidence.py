@@ -54,7 +54,9 @@ def test_legacy_verdict_is_not_valid_on_failure(spark):
     assert [r.alive for r in got] == [True, True, False, False, False, True]
     assert [r.quality for r in got] == [100, 100, None, None, None, 60]
     assert [r.reason for r in got] == [None, None, "http 403", "slow", "unreachable", None]
-    assert len(got[0].name) == 100
+    assert len(got[0].name) == 150
+    cut = evidence.evaluate_probe_legacy(spark.createDataFrame(rows, schema), name_length=100).orderBy("i").first()
+    assert len(cut.name) == 100
     unchecked = evidence.evaluate_probe_legacy(spark.createDataFrame(rows, schema), speed_check=False).orderBy("i").collect()
     assert unchecked[3].alive and unchecked[3].quality == 70
 

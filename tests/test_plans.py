@@ -1,8 +1,11 @@
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
-from linkloom.plans.curate import Options, curate
+from linkloom.operators import admission
+from linkloom.plans.curate import PUBLISHED, Options, curate, name_channels, options_from_rules
 from linkloom.plans.watch import watch
+from linkloom.sources.catalogs import explode_lines, read_catalog, read_docs
+from linkloom.sources.rulesets import load_rules
 
 
 def now():
@@ -29,7 +32,7 @@ def test_curate_end_to_end(spark):
     rows += [("http://a/dead", 404, 900, 0, 1.0), ("http://a/slow", 200, 900, 0, 0.0)]
     second = spark.createDataFrame([(f"http://a/{x}", 200) for x in ok[:-1]] + [("http://b/1", 404), ("http://c/1", 200), ("http://b/h", 200), ("http://a/gone", 503)], "url string, status int")
     second = second.select(urls.fingerprint(F.col("url")).alias("fp"), "status")
-    result = curate([lines], probes_of(spark, rows), now(), second_probes=second)
+    result = curate([lines], probes_of(spark, rows), now(), second_probes=second, opts=PUBLISHED)
     got = [(r.category, r.name, r.url) for r in result.catalog.orderBy("line_no").collect()]
     assert got == [
         ("港澳台频", "BBC", "http://a/bbc"), ("央视频道", "CCTV-1综合", "http://b/1"), ("央视频道", "CCTV-1综合", "http://a/1"),
@@ -42,7 +45,7 @@ def test_curate_end_to_end(spark):
     assert stats.by_category == {"港澳台频": 1, "央视频道": 5, "卫视频道": 2}
     assert tuple(stats.by_overseas) == (8, 1) and abs(stats.success_rate - 75.0) < 1e-9
     assert result.cache.count() == 9
-    capped = curate([lines], probes_of(spark, rows), now(), opts=Options(output_limit=3, share=False, names_to_broadcast=2))
+    capped = curate([lines], probes_of(spark, rows), now(), opts=Options(output_limit=3, share=False))
     assert [r.line_no for r in capped.catalog.orderBy("line_no").collect()] == [1, 2, 3]
 
 
@@ -57,6 +60,75 @@ def test_recently_validated_links_stay_published(spark):
     assert {r.url for r in skip.catalog.collect()} == {"http://a/2"}
 
 
+def second_of(spark, rows):
+    df = spark.createDataFrame(rows, "url string, status int")
+    return df.select(urls.fingerprint(F.col("url")).alias("fp"), "status")
+
+
+def cache_of(spark, rows):
+    df = spark.createDataFrame(rows, "url string, at string")
+    return df.select(urls.fingerprint(F.col("url")).alias("fp"), F.col("at").cast("timestamp").alias("validated_at"))
+
+
+def test_lines_files_discovered_links_and_cache_together(spark, tmp_path):
+    """Default options: raw lines of two files, discovered links, a cache and second probes."""
+    for name, text in (("a.txt", "A台,http://a/1\nB台,http://a/2\n"), ("b.txt", "C台,http://b/1\nA again,http://a/1?x\n")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    files = explode_lines(read_docs(spark, str(tmp_path)))
+    found = spark.createDataFrame([("D", "http://d/1", "d"), ("E", "http://d/2", "d"), ("F", "http://a/2", "d")], "name string, url string, domain string")
+    alive = ["http://a/1", "http://b/1", "http://d/1", "http://d/2"]
+    probes = probes_of(spark, [(u, 200, 900, 0, 1.0) for u in alive])
+    cache = cache_of(spark, [("http://a/2", "2024-01-01 11:00:00"), ("http://d/2", "2024-01-01 10:00:00"), ("http://old", "2024-01-01 01:00:00")])
+    second = second_of(spark, [(u, 200) for u in alive[:3]] + [("http://d/2", 503)])
+    run = curate([files, found], probes, now(), cache, second)
+    assert {r.url for r in run.catalog.collect()} == {"http://a/1", "http://a/2", "http://b/1", "http://d/1", "http://d/2"}
+    assert {r.name for r in run.catalog.collect()} == {"A台", "B台", "C台", "D", "E"}
+    # Links kept because they were proved before keep their time, so that they expire; the others are stamped.
+    stamps = {r.fp: str(r.validated_at) for r in run.cache.collect()}
+    assert sorted(stamps.values()) == ["2024-01-01 10:00:00", "2024-01-01 11:00:00"] + ["2024-01-01 12:00:00"] * 3
+    assert run.stats.first().duration_s > 0
+
+
+def test_many_files_have_entries_of_their_own(spark, tmp_path):
+    (tmp_path / "1.txt").write_text("x,http://h/1\ny,http://h/2\n")
+    (tmp_path / "2.txt").write_text("z,http://h/1\nw,http://h/3\nno comma\n")
+    raw = admission.union_sources([read_catalog(spark, str(tmp_path))])
+    reasons = sorted((r["name"], r["reject_reason"]) for r in admission.admission_reasons(raw).collect() if r["name"])
+    assert reasons == [("w", "accepted"), ("x", "accepted"), ("y", "accepted"), ("z", "dup_fp")]
+    assert admission.admission_reasons(raw).count() == 5
+    assert {r["name"] for r in admission.admit(raw).collect()} == {"x", "y", "w"}
+
+
+def test_line_numbers_of_any_size(spark):
+    rows = [(0, 2**31, "a,http://h/1"), (1, 0, "b,http://h/1"), (0, 2**62, "c,http://h/2")]
+    raw = spark.createDataFrame(rows, "source_rank long, line_no long, line string")
+    got = {r["name"]: r["reject_reason"] for r in admission.admission_reasons(raw).collect()}
+    assert got == {"a": "accepted", "b": "dup_fp", "c": "accepted"}
+
+
+def test_options_from_rules(spark, tmp_path):
+    import json
+
+    doc = {"categories": {"order": ["B", "其他频道"], "rules": {"B": ["bee"]}}, "filter": {"blacklist": ["bad"], "vod_domains": ["v.com"], "playlist_blacklist": ["deny.me"]},
+           "quality": {"cache_ttl_hours": 2, "min_speed_mbps": 0.5, "enable_resolution_filter": True, "min_resolution_width": 640, "min_resolution_height": 480}}
+    (tmp_path / "r.json").write_text(json.dumps(doc))
+    opts = options_from_rules(load_rules(spark, str(tmp_path / "r.json")))
+    assert opts.blacklist == ["bad"] and opts.category_rules == {"B": ["bee"]} and list(opts.category_order) == ["B", "其他频道"]
+    assert (opts.ttl_hours, opts.min_speed, opts.min_width, opts.min_height) == (2.0, 0.5, 640, 480)
+    assert opts.deny_domains == ["deny.me"] and opts.overseas == Options().overseas
+    lines = lines_of(spark, ["a bee,http://h/1", "bad one,http://h/2", "low,http://h/3", "slow,http://h/4", "narrow,http://h/5"])
+    rows = probes_of(spark, [(f"http://h/{i}", 200, 900, 0, 0.1 if i == 4 else 1.0) for i in range(1, 6)])
+    rows = rows.withColumn("stdout", F.when(F.col("fp") == urls.fingerprint(F.lit("http://h/5")), "width=320 height=200").otherwise("width=1280 height=720"))
+    got = {(r.category, r.name) for r in curate([lines], rows, now(), opts=opts).catalog.collect()}
+    assert got == {("B", "abee"), ("其他频道", "low")}
+
+
+def test_supplied_character_table(spark):
+    df = spark.createDataFrame([("X臺",)], "name string")
+    opts = Options(characters=("X臺", "Y台"), category_rules={"影视剧集": ["y台"]})
+    assert name_channels(df, opts).first()["category"] == "影视剧集"
+
+
 def test_watch(spark):
     feeds = spark.createDataFrame([(0, "http://h/a"), (1, "http://h/b"), (2, "http://h/c"), (3, "http://h/d")], "ord int, url string")
     scan = spark.createDataFrame([("http://h/a", "new", "e1"), ("http://h/b", "same", None), ("http://h/d", "first", "e4"), ("http://other", "x", None)], "url string, content string, etag string")

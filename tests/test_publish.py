@@ -68,7 +68,7 @@ def test_state_versions(spark, tmp_path):
 def test_run_history(spark, tmp_path):
     for i in range(13):
         publish.append_run_stats(spark.range(1).select(F.lit(i).alias("run_ts"), F.lit(i * 10).alias("total")), f"{tmp_path}/runs")
-    assert sorted(r.run_ts for r in publish.read_last_runs(spark, f"{tmp_path}/runs").collect()) == list(range(3, 13))
+    assert sorted(r.run_ts for r in publish.read_last_runs(spark, f"{tmp_path}/runs", 10).collect()) == list(range(3, 13))
 
 
 def test_rule_json(spark, tmp_path):

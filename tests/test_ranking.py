@@ -60,7 +60,7 @@ def test_quota(spark):
 
 def test_enforced_quota_sums_to_limit(channels):
     quota = ranking.proportional_quota(channels, 60)
-    kept = ranking.enforce_quota(channels, quota, [F.desc("quality"), F.asc("seq")], 60)
+    kept = ranking.enforce_quota(channels, quota, [F.desc("quality"), F.asc("seq")])
     want = {r.category: r.quota for r in quota.collect()}
     got = {r.category: r["count"] for r in kept.groupBy("category").count().collect()}
     assert got == {c: min(n, {"央视频道": 80, "其他频道": 40}[c]) for c, n in want.items()}
@@ -76,7 +76,7 @@ def test_fallback_fill(spark):
 def test_cap_per_display_name(spark):
     rows = [(1, "g", i, "n", f"u{i}") for i in range(2, 8)] + [(1, "g", 9, "m", "x"), (10, "g", 11, "n", "y"), (10, "g", 12, "", "z"), (10, "g", 13, "q", "")]
     df = spark.createDataFrame(rows, "group_run long, category string, line_no long, name string, url string")
-    got = ranking.cap_per_display_name(df).orderBy("group_run", "name_at", "line_no").collect()
+    got = ranking.cap_per_display_name(df, 3).orderBy("group_run", "name_at", "line_no").collect()
     assert [r.url for r in got] == ["u2", "u3", "u4", "x", "y"]
 
 
@@ -92,4 +92,4 @@ def test_run_history(spark):
     df = spark.createDataFrame([(i, 100 + i * i, 50) for i in range(15)], "run_no long, total long, valid long")
     got = runs.run_delta(df, "run_no", ["total", "valid"], block=4).orderBy("run_no").collect()
     assert [r.d_total for r in got] == [None] + [2 * i - 1 for i in range(1, 15)]
-    assert [r.run_no for r in runs.keep_last_runs(df, [F.desc("run_no")]).collect()] == list(range(14, 4, -1))
+    assert [r.run_no for r in runs.keep_last_runs(df, [F.desc("run_no")], 10).collect()] == list(range(14, 4, -1))
