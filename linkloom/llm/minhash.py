@@ -5,8 +5,9 @@ are candidates. A candidate pair's signatures are compared batch by batch and th
 posterior probability of reaching the similarity falls below the chosen miss probability. Survivors are
 verified on their full sets, and what links is joined into components.
 
-Within a band's bucket every document is paired with the most central one. Where a bucket still holds
-several components after that, the pairs across components are compared too, in blocks, so no link is left out.
+Within a band's bucket every document is paired with the most central one. Documents that buckets
+connect are a family; where one still holds several components after that, its documents outside the largest component
+are compared with all of it in blocks, so no link is left out.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from linkloom.llm.graph import components
 BANDS = 26
 ROWS = 5
 BATCH = 10
-BLOCK = 1024
+BLOCK = 512
 #: Ids broadcast at most (32 MB); more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 150_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -132,45 +133,77 @@ def _promising(pairs: DataFrame, reps: DataFrame, similarity: float, miss: float
     return map_rows(both.select("a", "b", "sa", "sb"), "a bigint, b bigint", work)
 
 
-def _across(rows: DataFrame, reps: DataFrame, similarity: float, miss: float) -> DataFrame:
-    """Promising pairs across the components of each bucket: (band, key, blocks, rep, component) rows, compared in blocks."""
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (
-        rows.join(reps, "rep").withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    )
+def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (u, v) that join different components of one family; ``members`` are (family, rep, component, others).
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        rep, comp, n, mine = (pdf[c].to_numpy() for c in ("rep", "component", "n", "mine"))
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left = np.flatnonzero(mine == lo)
-        right = np.flatnonzero(mine == hi)
+    ``others`` tells the documents outside their family's largest component: these are compared with all of the
+    family, in blocks, by signature and then on the full sets. Once two components are joined in a task, their further pairs are
+    skipped, as they can join nothing more; so links come out, never pairs.
+    """
+    size = members.groupBy("family").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("others") / BLOCK).cast("int").alias("other_blocks")
+    )
+    texts = _restricted(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    sets = saved(map_rows(texts, "id bigint, s binary", _shingling(width)).filter(F.length("s") > 0), "minhash")
+    rows = saved(members.join(size, "family").join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep"), "minhash")
+
+    def dealt(rows, own, blocks, other, other_blocks, salt):
+        mine = F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(blocks)).cast("int")
+        return rows.select(
+            F.col("family").alias("family"), mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias(other),
+            *[F.col(c).alias(c) for c in ("rep", "component", "sig", "s")],
+        )
+
+    few = dealt(rows.filter("others"), "i", "other_blocks", "j", "blocks", 1)
+    every = dealt(rows, "j", "blocks", "i", "other_blocks", 2)
+    similarity = percent / 100
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
+        if left.empty or right.empty:
+            return nothing
+        names, label = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
+        a, b = label[: len(left)], label[len(left):]
+        root = np.arange(len(names))
+        sig = np.frombuffer(b"".join(right["sig"]), np.uint32).reshape(len(right), -1)
+        n = np.array([len(x) // 8 for x in right["s"]])
         out = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
-            if lo == hi:
-                j = j[rep[j] > rep[i]]
+        for i, (rep, s, packed) in enumerate(zip(left["rep"], left["sig"], left["s"])):
+            own = np.frombuffer(packed, np.uint64)
+            j = np.flatnonzero((root[b] != root[a[i]]) & (np.minimum(n, len(own)) >= similarity * np.maximum(n, len(own))))
             if len(j):
-                at = j[survivors(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], similarity, miss)]
-                out += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in at]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                mine = np.broadcast_to(np.frombuffer(s, np.uint32), (len(j), sig.shape[1]))
+                j = j[survivors(mine, sig[j], similarity, miss)]
+            for k in j:
+                if root[a[i]] != root[b[k]] and _link(packed, right["s"].iloc[k], percent):
+                    out.append((rep, right["rep"].iloc[k]))
+                    root[root == root[b[k]]] = root[a[i]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64") if out else nothing
 
-    found = dealt.groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a bigint, b bigint")
-    return found.filter("a != b").distinct()
+    key = ["family", "i", "j"]
+    return few.groupBy(key).cogroup(every.groupBy(key)).applyInPandas(compare, "u bigint, v bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (u, v) that link on their full sets; only the texts that occur in pairs are shingled again."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _link(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sorted, packed sets link."""
+    total = (len(x) + len(y)) // 8
+    common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+    return 100 * common >= percent * (total - common)
+
 
+def _shingling(width: int):
     def shingle(batches):
         for b in batches:
             yield {"id": b["id"], "s": [shingles(t, width).tobytes() for t in b["text"]]}
 
+    return shingle
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (u, v) that link on their full sets; only the texts that occur in pairs are shingled again."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = _restricted(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), ids, "id", "left_semi")
-    sets = saved(map_rows(texts, "id bigint, s binary", shingle).filter(F.length("s") > 0), "minhash")
+    sets = saved(map_rows(texts, "id bigint, s binary", _shingling(width)).filter(F.length("s") > 0), "minhash")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"
     )
@@ -179,9 +212,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
         for b in batches:
             out = {"u": [], "v": []}
             for i, j, x, y in zip(b["a"], b["b"], b["sa"], b["sb"]):
-                total = (len(x) + len(y)) // 8
-                common = total - len(np.union1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-                if 100 * common >= percent * (total - common):
+                if _link(x, y, percent):
                     out["u"].append(i)
                     out["v"].append(j)
             yield out
@@ -239,20 +270,21 @@ def near_duplicates(
         member.join(leaders, ["band", "key"]).filter("rep != first")
         .select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct()
     )
-    tried = saved(_promising(pairs, reps, s, miss), "minhash")
-    links = _verified(tried, docs, width, percent, id_col, text_col)
+    pairs = saved(pairs, "minhash")
+    links = _verified(saved(_promising(pairs, reps, s, miss), "minhash"), docs, width, percent, id_col, text_col)
     groups = saved(components(links), "minhash")
 
-    # Buckets that still hold several components.
-    labelled = member.join(groups, F.col("rep") == F.col("node"), "left").select(
-        "band", "key", "rep", "size", F.coalesce("component", "rep").alias("component")
-    )
-    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    still = labelled.join(mixed, ["band", "key"]).select("band", "key", "rep", "component", blocks)
-    across = saved(_across(still, reps, s, miss).join(tried, ["a", "b"], "left_anti"), "minhash")
-    if not across.isEmpty():
-        links = links.union(_verified(across, docs, width, percent, id_col, text_col))
+    # Families (documents that buckets connect) that still hold several components.
+    related = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    labelled = saved(related.join(groups, F.col("rep") == F.col("node"), "left").select(
+        "family", "rep", F.coalesce("component", "rep").alias("component")
+    ), "minhash")
+    per_component = labelled.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = per_component.groupBy("family").agg(
+        F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("largest"), F.count("*").alias("parts")
+    ).filter("parts > 1")
+    still = labelled.join(largest, "family").select("family", "rep", "component", (F.col("component") != F.col("largest")).alias("others"))
+    links = links.union(saved(_across(saved(still, "minhash"), docs, reps, width, percent, miss, id_col, text_col), "minhash"))
 
     copies = live.select("id", "h1", "h2").join(equal.filter("copies > 1").select("h1", "h2", "rep"), ["h1", "h2"])
     edges = links.union(copies.filter("id != rep").select("id", "rep"))

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import map_rows, saved
-from linkloom.llm.graph import components
 from linkloom.scale import rank_in_order
 
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
@@ -95,25 +94,28 @@ def link(messages: DataFrame, id_col: str = "message_id", text_col: str = "text"
         found.groupBy("id", "level", "original").agg(F.sum("size").alias("size"))
         .withColumn("place", F.row_number().over(best)).filter("place = 1").select("id", F.col("original").alias("parent_id")), "quotes",
     )
-    threads = components(parents.select(F.col("id").alias("u"), F.col("parent_id").alias("v")))
-    depth = _depths(parents)
     nodes = (
         parts.filter("id is not null").select("id").distinct()
-        .join(parents, "id", "left").join(threads, F.col("id") == F.col("node"), "left").drop("node")
-        .join(depth, "id", "left")
-        .select("id", "parent_id", F.coalesce("component", "id").alias("thread_id"), F.coalesce("depth", F.lit(0)).alias("depth"))
+        .join(parents, "id", "left").join(_roots(parents), "id", "left")
+        .select("id", "parent_id", F.coalesce("root", "id").alias("thread_id"), F.coalesce("depth", F.lit(0)).alias("depth"))
     )
     placed = rank_in_order(nodes, "id", "position", ["thread_id"], block=1 << 14)
     out = parts.select("id", "own").join(placed.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
     return out.select(F.col("id").alias(id_col), "own", "parent_id", "thread_id", "depth", "position")
 
 
-def _depths(parents: DataFrame) -> DataFrame:
-    """(id, depth) of every message with a parent, by doubling: rounds grow with the logarithm of the depth."""
-    now = parents.select("id", F.col("parent_id").alias("up"), F.lit(1).alias("depth"))
+def _roots(parents: DataFrame) -> DataFrame:
+    """(id, root, depth) of every message with a parent, by doubling: rounds grow with the logarithm of the depth."""
+    now = parents.select("id", F.col("parent_id").alias("root"), F.lit(1).alias("depth"), F.lit(True).alias("open"))
     while True:
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        after = now.join(above, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        now = saved(after, "quotes")
-        if now.filter("up is not null").isEmpty():
-            return now.select("id", "depth")
+        above = now.select(F.col("id").alias("_at"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        # Messages without a parent have no row: what hangs on one is settled.
+        settled = now.filter(~F.col("open"))
+        joined = now.filter("open").join(above, F.col("root") == F.col("_at"), "left")
+        moved = joined.select(
+            "id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.col("next").isNotNull().alias("open"),
+        )
+        now = saved(settled.unionByName(moved), "quotes")
+        if now.filter("open").isEmpty():
+            return now.select("id", "root", "depth")
