@@ -57,6 +57,13 @@ def _sound(tested: DataFrame) -> DataFrame:
     return tested.filter(F.col("reject_reason").isNull()).withColumn("fp", urls.fingerprint(F.col("url")))
 
 
+def sound_entries(
+    raw: DataFrame, blacklist: Sequence[str] = tuple(rules.BLACKLIST), vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS)
+) -> DataFrame:
+    """Entries that pass all tests of their own, with ``fp``; a map-only step."""
+    return _sound(_tested(raw, blacklist, vod_hosts)).drop("reject_reason")
+
+
 def admit(
     raw: DataFrame,
     cache: DataFrame | None = None,
@@ -66,8 +73,7 @@ def admit(
     vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS),
 ) -> DataFrame:
     """Accepted entries with ``fp`` and ``host``, one per fingerprint."""
-    sound = _sound(_tested(raw, blacklist, vod_hosts)).drop("reject_reason")
-    once = dedup_by_fingerprint(sound)
+    once = dedup_by_fingerprint(sound_entries(raw, blacklist, vod_hosts))
     if cache is not None:
         # After deduplication every fingerprint is a single row, so a hot one cannot skew this join.
         once = filters.drop_recent(once, cache, now, ttl_hours)

@@ -107,6 +107,19 @@ def topk_per_domain(spark, sf):
     return admission.topk_per_domain(accepted(spark, sf), 3).select(*KEY, "host")
 
 
+@query("admit_many_files", f"""{TESTED}, k AS (SELECT *, concat('file', line_no % 3) AS source_id, line_no * 4 + source_rank AS pos FROM tested),
+n AS (SELECT *, row_number() OVER (PARTITION BY early IS NULL, fp ORDER BY source_id, pos) AS n FROM k)
+SELECT source_id, CAST(pos AS BIGINT) AS line_no, CASE WHEN early IS NOT NULL THEN early WHEN n > 1 THEN 'dup_fp' ELSE 'accepted' END AS reject_reason FROM n""")
+def admit_many_files(spark, sf):
+    """One table of several files, whose line numbers are told apart by the file."""
+    raw = table(spark, sf, "raw").select(
+        F.concat(F.lit("file"), (F.col("line_no") % 3).cast("string")).alias("source_id"),
+        (F.col("line_no") * 4 + F.col("source_rank")).alias("line_no"), "line",
+    )
+    reasons = admission.admission_reasons(admission.union_sources([raw]), blacklist=BLACKLIST, vod_hosts=VOD)
+    return reasons.select("source_id", "line_no", "reject_reason")
+
+
 @query("candidate_limit", f"""{NO_CACHE}, h AS (SELECT *, {q.host('url')} AS host FROM accepted),
 f AS (SELECT *, first_value(source_rank) OVER w AS fr, first_value(line_no) OVER w AS fl FROM h WINDOW w AS (PARTITION BY host ORDER BY source_rank, line_no))
 SELECT source_rank, line_no, host, row_number() OVER (ORDER BY fr, fl, source_rank, line_no) AS candidate_no FROM f QUALIFY candidate_no <= 150""")

@@ -101,7 +101,8 @@ SELECT * FROM l WHERE old_hash <> new_hash""")
 def stream_changes(spark, sf):
     scans = spark.sql(FEED, documents=_stream(spark, sf, "documents"))
     hashed = monitoring.content_hash(scans)
-    return _drain(stream_feed_changes(hashed), spark, "url string, scan_no long, old_hash string, new_hash string")
+    changes = stream_feed_changes(hashed).select("url", "scan_no", "old_hash", "new_hash")
+    return _drain(changes, spark, "url string, scan_no long, old_hash string, new_hash string")
 
 
 @query("stream_admit", f"{NO_CACHE} SELECT source_rank, line_no, name, url, fp, {q.host('url')} AS host FROM accepted")
@@ -110,4 +111,4 @@ def streamed_admission(spark, sf):
     raw = spark.sql(RAW, catalog=catalog)
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream_admit(raw, f"{folder}/out", f"{folder}/state", BLACKLIST, VOD).awaitTermination()
-    return admitted(spark, f"{folder}/out").drop("batch_id")
+    return admitted(spark, f"{folder}/out")

@@ -1,22 +1,56 @@
-"""Streaming admission: each micro-batch of raw lines goes through the batch job."""
+"""Streaming admission: the batch tests on every row, and keyed state for what was admitted before."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkloom import rules
-from linkloom.operators.admission import admit
+from linkloom.functions import urls
+from linkloom.operators import filters
+from linkloom.operators.admission import sound_entries
+
+# Python workers get this module with the tasks, whether or not the package is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ADMITTED_SCHEMA = "source_rank long, line_no long, name string, url string, fp string, host string"
+_COLUMNS = [c.split()[0] for c in ADMITTED_SCHEMA.split(", ")]
 
 
 def admitted(spark: SparkSession, path: str) -> DataFrame:
-    """Entries admitted so far."""
-    return spark.read.schema(ADMITTED_SCHEMA + ", batch_id long").parquet(path)
+    """Entries admitted so far: those of committed micro-batches."""
+    return spark.read.schema(ADMITTED_SCHEMA).parquet(path)
+
+
+def _first(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["source_rank", "line_no"]).drop_duplicates("fp")
+
+
+def _firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each fingerprint only the first entry of a batch can be admitted."""
+    for batch in batches:
+        yield _first(batch)
+
+
+def _once(ttl_ms: int | None):
+    def admit_first(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = state.getCurrentProcessingTimeMs()
+        best = None
+        for b in batches:
+            best = _first(b if best is None else pd.concat([best, b]))
+        if best is None or state.exists and (ttl_ms is None or at <= state.get[0] + ttl_ms):
+            return
+        state.update((at,))
+        yield best[_COLUMNS].astype({c: object for c in ("name", "url", "fp", "host")})
+
+    return admit_first
 
 
 def stream_admit(
@@ -25,23 +59,30 @@ def stream_admit(
     checkpoint: str,
     blacklist: Sequence[str] = tuple(rules.BLACKLIST),
     vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS),
+    cache: DataFrame | None = None,
+    now: Column | None = None,
+    ttl_hours: float | None = None,
 ) -> StreamingQuery:
-    """Admit a stream of lines (``source_rank``, ``line_no``, ``name``, ``url``) into a table.
+    """Admit a stream of lines or entries (``source_rank``, ``line_no``, ``name``, ``url``) into a table.
 
-    A fingerprint admitted by an earlier micro-batch is not admitted again. Every batch writes
-    its own folder in overwrite mode, so a batch replayed after a failure leaves no repeats.
+    A fingerprint admitted by an earlier micro-batch is not admitted again within ``ttl_hours`` of processing time (never,
+    if None), nor one validated within them before ``now`` according to ``cache``. What was admitted is kept as state
+    per fingerprint; earlier output is not read. Each partition hands on one entry per fingerprint.
     """
-
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = admit(batch, blacklist=blacklist, vod_hosts=vod_hosts)
-        if batch_id > 0:
-            earlier = admitted(batch.sparkSession, path).filter(F.col("batch_id") < batch_id).select("fp")
-            fresh = fresh.join(earlier, "fp", "left_anti")
-        columns = [c.split()[0] for c in ADMITTED_SCHEMA.split(", ")]
-        fresh.select(*columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
+    sound = sound_entries(stream, blacklist, vod_hosts).withColumn("host", urls.host(F.col("url")))
+    if cache is not None:
+        sound = filters.drop_recent(sound, cache, now, 6 if ttl_hours is None else ttl_hours)
+    rows = sound.select(*[F.col(c).cast("bigint") if c in ("source_rank", "line_no") else F.col(c) for c in _COLUMNS])
+    first = rows.mapInPandas(_firsts, ADMITTED_SCHEMA).groupBy("fp").applyInPandasWithState(
+        _once(None if ttl_hours is None else int(ttl_hours * 3_600_000)),
+        outputStructType=ADMITTED_SCHEMA,
+        stateStructType="admitted_ms long",
+        outputMode="append",
+        # A processing-time timeout would keep a run over what is available from ending: the time is compared instead.
+        timeoutConf=GroupStateTimeout.NoTimeout,
+    )
     return (
-        stream.writeStream.foreachBatch(one_batch)
+        first.writeStream.format("parquet").option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 # Python workers get this module with the tasks, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -24,25 +22,35 @@ def _earliest_per_instant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         yield batch.sort_values("seq").drop_duplicates(["fp", "ts_us"])
 
 
+def _merged(pairs: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """(time, seq) in order, one row per instant."""
+    pairs = np.concatenate([pairs, more])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]] if len(pairs) else pairs
+
+
 def _first_per_ttl(ttl_us: int):
     def accept(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Only (time, seq) of the key's rows in this micro-batch are held, and one per instant.
-        pairs = np.concatenate([b[["ts_us", "seq"]].to_numpy(np.int64) for b in batches])
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]]
-        times, seqs = pairs[:, 0], pairs[:, 1]
+        if state.hasTimedOut:
+            # Rows that the kept time could still reject are late by now.
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
+        # Only (time, seq) of the key's rows in this micro-batch are held, one per instant and none that the state rejects.
+        pairs = np.zeros((0, 2), np.int64)
+        for b in batches:
+            more = b[["ts_us", "seq"]].to_numpy(np.int64)
+            pairs = _merged(pairs, more if last is None else more[more[:, 0] > last + ttl_us])
+        times, seqs = pairs[:, 0], pairs[:, 1]
         start, taken = 0, []
         while start < len(times):
-            if last is not None:
-                start = int(np.searchsorted(times, last + ttl_us, side="right"))
-                if start >= len(times):
-                    break
             last = int(times[start])
             taken.append(start)
-            start += 1
-        if taken:
-            state.update((last,))
+            start = int(np.searchsorted(times, last + ttl_us, side="right"))
+        if last is not None:
+            if taken:
+                state.update((last,))
+            state.setTimeoutTimestamp(max((last + ttl_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         fp = pd.Series([key[0]] * len(taken), dtype=object)
         yield pd.DataFrame({"fp": fp, "seq": seqs[taken], "ts_us": times[taken]})
 
@@ -52,18 +60,18 @@ def _first_per_ttl(ttl_us: int):
 def stream_dedup_ttl(stream: DataFrame, ttl_hours: float = 6) -> DataFrame:
     """Rows (``fp``, ``seq``, ``ts_us``) of a stream that are first within their time to live.
 
-    Each partition drops repeats of the same instant before the shuffle. The state of a key is
-    one number and travels with its rows in Arrow batches. Rows of a fingerprint must not arrive
-    in a later micro-batch than rows that are newer by more than the time to live.
+    Each partition drops repeats of the same instant before the shuffle. The state of a key is one number, travels with its
+    rows in Arrow batches, and goes when the watermark has passed its time to live. Rows older than the newest seen by
+    more than the time to live are late and dropped. Large states are best kept by the RocksDB state store of the session.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     slim = stream.select("fp", "seq", "ts_us").mapInPandas(_earliest_per_instant, "fp string, seq long, ts_us long")
-    return slim.groupBy("fp").applyInPandasWithState(
+    timed = slim.withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", f"{int(ttl_hours * 3600)} seconds")
+    return timed.groupBy("fp").applyInPandasWithState(
         _first_per_ttl(int(ttl_hours * 3_600_000_000)),
         outputStructType="fp string, seq long, ts_us long",
         stateStructType="last_us long",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
 
 

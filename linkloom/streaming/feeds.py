@@ -10,43 +10,53 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from linkloom.streaming.dedup import STATE_STORE
-
 # Python workers get this module with the tasks, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A row for every scan that brings another hash than the scan before it."""
-    scans = sorted(r for b in batches for r in zip(b["scan_no"].tolist(), b["hash"].tolist()))
-    before = state.get[0] if state.exists else None
-    found = []
-    for scan_no, new in scans:
-        if before is not None and before != new:
-            found.append((scan_no, before, new))
-        before = new
-    state.update((before,))
+    """A row for every scan that brings another hash or etag than the scan before it; older scans than the state are ignored."""
+    columns = ["scan_no", "hash", "etag"]
+    before = state.get if state.exists else None
+    parts = [b[columns] if before is None else b.loc[b["scan_no"] > before[0], columns] for b in batches]
+    scans = pd.concat(parts).astype({"hash": object, "etag": object}).sort_values(["scan_no", "hash"], ignore_index=True)
+    if scans.empty:
+        return
+    old = scans[["hash", "etag"]].shift(1)
+    if before is not None:
+        old.loc[0, ["hash", "etag"]] = [before[1], before[2]]
+    known = pd.Series(True, scans.index)
+    known[0] = before is not None
+    found = known & (old["hash"] != scans["hash"])
+    state.update(tuple(None if pd.isna(v) else v for v in scans.iloc[-1].tolist()))
     # Plain object columns: Arrow-backed strings come out chunked, which the sink cannot take.
     yield pd.DataFrame(
         {
-            "url": pd.Series([key[0]] * len(found), dtype=object),
-            "scan_no": pd.Series([c[0] for c in found], dtype="int64"),
-            "old_hash": pd.Series([c[1] for c in found], dtype=object),
-            "new_hash": pd.Series([c[2] for c in found], dtype=object),
+            "url": pd.Series([key[0]] * int(found.sum()), dtype=object),
+            "scan_no": scans.loc[found, "scan_no"].reset_index(drop=True).astype("int64"),
+            **{
+                f"{when}_{c}": side.loc[found, c].reset_index(drop=True).astype(object)
+                for c in ("hash", "etag") for when, side in (("old", old), ("new", scans))
+            },
         }
-    )
+    )[["url", "scan_no", "old_hash", "new_hash", "old_etag", "new_etag"]]
 
 
 def stream_feed_changes(scans: DataFrame) -> DataFrame:
-    """Changes in a stream of scans (``url``, ``scan_no``, ``hash``), in scan order per feed."""
-    scans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Changes in a stream of scans (``url``, ``scan_no``, ``hash`` and, if there, ``etag``), in scan order per feed.
+
+    A scan that arrives after a newer one of its feed is ignored. The state of a feed is its last scan.
+    """
+    from pyspark.sql import functions as F
+
+    etag = F.col("etag").cast("string") if "etag" in scans.columns else F.lit(None).cast("string").alias("etag")
     return (
-        scans.select("url", "scan_no", "hash")
+        scans.select("url", F.col("scan_no").cast("bigint").alias("scan_no"), "hash", etag)
         .groupBy("url")
         .applyInPandasWithState(
             _changes,
-            outputStructType="url string, scan_no long, old_hash string, new_hash string",
-            stateStructType="hash string",
+            outputStructType="url string, scan_no long, old_hash string, new_hash string, old_etag string, new_etag string",
+            stateStructType="scan_no long, hash string, etag string",
             outputMode="append",
             timeoutConf=GroupStateTimeout.NoTimeout,
         )
