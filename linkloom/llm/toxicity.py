@@ -8,6 +8,7 @@ curve, is the score.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -93,29 +94,31 @@ class Lexicon:
         flat = fold(text)
         if not self.terms:
             return 0.0
-        found, spared = [], []
+        found, starts, ends = [], [], []
         for end, (weight, size) in self.automaton().iter(flat):
             if weight is not None:
                 found.append((end - size + 1, end, weight))
             elif flat[end + 1] == " ":  # an exception ends with its word
-                spared.append((end - size + 1, end))
-        total = sum(w for a, b, w in found if not any(s <= a and b <= e for s, e in _around(spared, a)))
+                starts.append(end - size + 1)
+                ends.append(end)
+        longest = max(map(len, self.exceptions), default=0)
+
+        def spared(first: int, last: int) -> bool:
+            """Whether an exception covers the match; ends come in order, and none begins earlier than its length allows."""
+            k = bisect.bisect_left(ends, last)
+            while k < len(ends) and ends[k] < first + longest:
+                if starts[k] <= first:
+                    return True
+                k += 1
+            return False
+
+        total = sum(w for first, last, w in found if not spared(first, last))
         return 100 * total / (flat.count(" ") - 1 + self.smoothing)
 
     def scores(self, density: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(density) + self.bias, -700, 700)))
 
 
-def _around(spans: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
-    """Spans near a position; spans come ordered by their end, so a short look suffices for few, and all are kept exact."""
-    if len(spans) < 16:
-        return spans
-    import bisect
-
-    ends = [e for _, e in spans]
-    return spans[bisect.bisect_left(ends, at):][:64]
-
-
 def _prefixes(words: set[str], shortest: int, longest: int) -> set[str]:
     out = set()
     for w in words:
