@@ -11,11 +11,12 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import held_out, labelled_sample, map_rows, saved
@@ -81,10 +82,9 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         if not self._automaton:
             a = ahocorasick.Automaton()
-            for term, weight in self.terms.items():
-                a.add_word(" " + term, (weight, len(term)))
-            for phrase in self.exceptions:
-                a.add_word(" " + phrase, (None, len(phrase)))
+            exceptions = set(self.exceptions)
+            for word in {*self.terms, *exceptions}:  # a term may be an exception where it is the whole word
+                a.add_word(" " + word, (self.terms.get(word), word in exceptions, len(word)))
             a.make_automaton()
             self._automaton.append(a)
         return self._automaton[0]
@@ -95,10 +95,10 @@ class Lexicon:
         if not self.terms:
             return 0.0
         found, starts, ends = [], [], []
-        for end, (weight, size) in self.automaton().iter(flat):
+        for end, (weight, exception, size) in self.automaton().iter(flat):
             if weight is not None:
                 found.append((end - size + 1, end, weight))
-            elif flat[end + 1] == " ":  # an exception ends with its word
+            if exception and flat[end + 1] == " ":  # an exception ends with its word
                 starts.append(end - size + 1)
                 ends.append(end)
         longest = max(map(len, self.exceptions), default=0)
@@ -119,62 +119,83 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(density) + self.bias, -700, 700)))
 
 
-def _prefixes(words: set[str], shortest: int, longest: int) -> set[str]:
-    out = set()
-    for w in words:
-        out.add(w + " ")
-        for n in range(shortest, min(len(w), longest) + 1):
-            out.add(w[:n])
+def _prefixes(words: dict[str, int], shortest: int, longest: int) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for w, n in words.items():
+        out[w + " "] = n
+        for k in range(shortest, min(len(w), longest) + 1):
+            out[w[:k]] = out.get(w[:k], 0) + n
     return out
 
 
+COUNTED = ("pos", "neg", "pos_n", "neg_n", "pos_sq", "neg_sq")
+
+
 def term_counts(rows: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """In how many toxic and clean texts each word beginning, and each whole word (ended by a space), occurs."""
+    """Of each word beginning, and each whole word (ended by a space), in toxic and in clean texts: the texts that hold it
+    (``pos``, ``neg``), its occurrences (``_n``), and their squares by text (``_sq``)."""
 
     def work(batches):
         counts: dict[str, list[int]] = {}
 
         def flush():
-            out = {"term": list(counts), "pos": [c[1] for c in counts.values()], "neg": [c[0] for c in counts.values()]}
+            columns = zip(*counts.values()) if counts else [()] * len(COUNTED)
+            out = {"term": list(counts), **{c: list(v) for c, v in zip(COUNTED, columns)}}
             counts.clear()
             return out
 
         for b in batches:
             for text, y in zip(b["text"], b["y"]):
-                for t in _prefixes(set(fold(text).split()), shortest, longest):
-                    counts.setdefault(t, [0, 0])[1 if y else 0] += 1
+                at = 0 if y else 1
+                for t, n in _prefixes(Counter(fold(text).split()), shortest, longest).items():
+                    c = counts.setdefault(t, [0] * len(COUNTED))
+                    c[at] += 1
+                    c[at + 2] += n
+                    c[at + 4] += n * n
                 if len(counts) > 200_000:
                     yield flush()
         yield flush()
 
     return (
-        map_rows(rows.select("text", "y"), "term string, pos bigint, neg bigint", work)
+        map_rows(rows.select("text", "y"), "term string, " + ", ".join(f"{c} bigint" for c in COUNTED), work)
         .groupBy("term")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .agg(*[F.sum(c).alias(c) for c in COUNTED])
     )
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int, least: float = 5.0) -> dict[str, float]:
-    """Word beginnings far more frequent in toxic texts, each as long as it can be without losing texts."""
+def strength(words_pos: int, words_neg: int, sure: float = 1.64) -> Column:
+    """Log of how many times as frequent per word a term is in toxic texts at least.
+
+    The rates are held against their confidence bounds (Byar's for counts, ``sure`` standard deviations each).
+    Occurrences that come together in a text are not independent: their mean size, the sum of squares over the sum,
+    is the unit that is counted.
+    """
+
+    def bound(n: Column, sign: int) -> Column:
+        inner = 1 - 1 / (9 * n) + sign * sure / (3 * F.sqrt(n))
+        return n * F.pow(F.greatest(inner, F.lit(0.0)), F.lit(3.0))
 
-    def weight(t):
-        pos, neg = counts[t]
-        return float(np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)))
+    together = [F.coalesce(F.try_divide(F.col(f"{c}_sq"), F.col(f"{c}_n")), F.lit(1.0)) for c in ("pos", "neg")]
+    least = together[0] * bound(F.greatest(F.col("pos_n") / together[0], F.lit(1e-9)), -1)
+    most = together[1] * bound(F.col("neg_n") / together[1] + 1, 1)
+    return F.log(F.greatest(least, F.lit(1e-9)) / words_pos) - F.log(most / words_neg)
 
-    strong = sorted((t for t in counts if not t.endswith(" ") and weight(t) >= least), key=lambda t: (len(t), t))
-    longer: dict[str, list[str]] = {}
-    for t in strong:
-        longer.setdefault(t[:-1], []).append(t)
+
+def choose_terms(candidates: list[tuple[str, float, float]], max_terms: int) -> dict[str, float]:
+    """Of (term, strength, evidence) the terms with most evidence that neither begin nor continue one another.
+
+    Of equal ones beginnings go before whole words, and longer before shorter.
+    """
     kept: dict[str, float] = {}
-    for t in strong:
-        if any(t[:n] in kept for n in range(1, len(t))) or any(k.startswith(t) for k in kept):
+    begun: set[str] = set()
+    for t, weight, _ in sorted(candidates, key=lambda c: (-c[2], c[0].endswith(" "), -len(c[0]), c[0])):
+        starts = [t[:n] for n in range(1, len(t) + 1)]
+        if t in begun or any(s in kept for s in starts):
             continue
-        while True:
-            same = [u for u in longer.get(t, []) if counts[u][0] >= 0.98 * counts[t][0]]
-            if not same:
-                break
-            t = same[0]
-        kept[t] = weight(t)
+        kept[t] = weight
+        begun.update(starts)
+        if len(kept) >= max_terms:
+            break
     return kept
 
 
@@ -184,10 +205,10 @@ def train(
 ) -> Lexicon:
     """Learn terms, weights, exceptions and the curve from at most about ``max_rows`` labelled documents.
 
-    Copies count once, told by the smallest hash of a word. Word beginnings of ``shortest`` to ``longest`` letters are counted on the cluster; the
-    driver sees those frequent in toxic texts (at most 20 per kept term). Words that begin with a term but occur
-    mostly in clean texts become exceptions, beside those given. Without toxic or clean texts the lexicon is
-    empty and every score low.
+    Copies count once, told by the smallest hash of a word. Word beginnings of ``shortest`` to ``longest`` letters and whole
+    words are counted on the cluster; the driver sees those surely more frequent per word in toxic texts (at most 20 per
+    kept term), and each weighs by its ``strength``. Words that begin with a term but occur mostly in clean texts become
+    exceptions, beside those given. Without toxic or clean texts the lexicon is empty and every score low.
     """
     sample = labelled_sample(docs, labels, "toxic", max_rows)
     # One of each family of copies, told by the smallest word hash: else their chance words look toxic. Texts of the
@@ -202,12 +223,14 @@ def train(
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         return Lexicon({})
-    lift = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    frequent = term_counts(rows, shortest, longest).filter(F.col("pos") >= max(3, 0.01 * n_pos)).filter(lift >= 5.0)
-    best = frequent.orderBy(F.desc("pos"), "term").limit(20 * max_terms)
-    counts = {r["term"]: (r["pos"], r["neg"]) for r in best.collect()}
-    terms = choose_terms(counts, n_pos, n_neg)
-    terms = dict(sorted(terms.items(), key=lambda kv: (-kv[1] * counts[kv[0]][0], kv[0]))[:max_terms])
+    counts = saved(term_counts(rows, shortest, longest))
+    # Each word counts once as a whole word.
+    of = counts.filter(F.col("term").endswith(" ")).agg(F.sum("pos_n").alias("pos"), F.sum("neg_n").alias("neg")).first()
+    weighed = counts.filter(F.col("pos") >= 3).withColumn("strength", strength(max(of["pos"] or 0, 1), max(of["neg"] or 0, 1)))
+    evidence = F.col("strength") * F.col("pos_n") * F.col("pos_n") / F.col("pos_sq")
+    likely = weighed.filter("strength > 0").select("term", "strength", F.round(evidence, 9).alias("evidence"))
+    best = likely.orderBy(F.desc("evidence"), "term").limit(20 * max_terms)
+    terms = choose_terms([tuple(r) for r in best.collect()], max_terms)
     spared = set(fold(e).strip() for e in exceptions)
     if terms:
         spared |= set(_clean_words(rows, terms, n_pos, n_neg))

@@ -95,6 +95,12 @@ def test_exceptions_cover_their_matches():
     assert many.density("ass and cart " * 100) == 0
 
 
+def test_a_term_may_be_an_exception_as_a_whole_word():
+    lexicon = toxicity.Lexicon({"moron": 5.0}, ("moron",))
+    assert lexicon.density("a moron") == 0
+    assert lexicon.density("some morons") > 0
+
+
 def test_longer_texts_score_lower():
     lexicon = toxicity.Lexicon({"idiot": 8.0})
     few = [lexicon.density("idiot " + "word " * n) for n in (0, 10, 100, 1000)]
@@ -108,3 +114,25 @@ def test_held_out_rows_of_the_tables(spark, module, label):
     out = module.scored_with_split(docs, labels).filter("held_out").join(labels, "doc_id")
     right = out.filter(f"predicted = {label}").count()
     assert right / out.count() > 0.93
+
+
+def test_toxic_texts_of_every_language_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = toxicity.scored_with_split(docs, labels).filter("held_out").join(labels.filter("toxic is not null"), "doc_id")
+    by = {}
+    for r in out.join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "predicted").collect():
+        by.setdefault((r["lang"], r["toxic"]), []).append(r["predicted"])
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean(by[lang, 1]) > 0.9, lang
+        assert np.mean(by[lang, 0]) < 0.04, lang
+
+
+def test_few_labels_suffice(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    gone = labels.filter("toxic is not null").join(toxicity.drop_toxic(docs, labels).select("doc_id"), "doc_id", "left_anti")
+    english = gone.join(docs.filter("lang = 'en'").select("doc_id"), "doc_id")
+    toxic = labels.filter("toxic = 1").join(docs.filter("lang = 'en'").select("doc_id"), "doc_id").count()
+    assert toxic > 5 and english.filter("toxic = 1").count() == toxic
+    assert gone.filter("toxic = 0").count() == 0
