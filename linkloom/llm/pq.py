@@ -8,7 +8,7 @@ coding error, which is kept beside the code. The exact cosine decides for the ot
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,11 @@ CODES = 256
 SUBSPACE = 4
 BLOCK = 2048
 MOST_DIMENSIONS = 64
+#: Vectors of the sample that are compared with all rows to learn how far real neighbours lie from each other's lists.
+TRIALS = 2048
+#: Trial pairs have at most this much more than the threshold cosine; their distances are counted in steps of 1 / STEPS.
+BAND = 0.02
+STEPS = 2000
 
 
 @dataclass(frozen=True)
@@ -79,9 +84,9 @@ def _centres(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.
     return c
 
 
-def fit(sample: np.ndarray, n_lists: int, cosine: float, miss: float = 1e-2, seed: int = 0) -> Index:
-    """Fit on unit vectors. The margin of the probes comes from trial pairs: partners of the sample's vectors at exactly
-    the threshold cosine, in random directions; all but ``miss`` of them must be within it."""
+def fit(sample: np.ndarray, n_lists: int, cosine: float, miss: float = 1e-3, seed: int = 0) -> Index:
+    """Fit on unit vectors. The least margin of the probes comes from partners of the sample's vectors at exactly the
+    threshold cosine, in random directions; all but ``miss`` of them must be within it. ``widened`` adds real neighbours."""
     rng = np.random.default_rng(seed)
     centres = _centres(sample, n_lists, 8, rng)
     near = _squared(sample, centres).argmin(1)
@@ -100,6 +105,39 @@ def fit(sample: np.ndarray, n_lists: int, cosine: float, miss: float = 1e-2, see
     return Index(centres, books, float(np.quantile(beyond, 1 - miss)) + 1e-6)
 
 
+def widened(index: Index, rows: DataFrame, trials: np.ndarray, cosine: float, miss: float) -> Index:
+    """The margin is raised until all but ``miss`` of the pairs of a trial vector and a row, with a cosine from the threshold to
+    ``BAND`` above it, are found by either end. Pairs are counted by their distance, in a table of fixed size."""
+    shared = rows.sparkSession.sparkContext.broadcast((index, trials))
+
+    def work(batches):
+        ix, q = shared.value
+        dq = ix.distances(q)
+        home_q, near_q = dq.argmin(1), dq.min(1)
+        counts = np.zeros(4 * STEPS + 2, np.int64)  # squared distances of unit vectors are at most 4
+        for b in batches:
+            if not b["v"]:
+                continue
+            x = _unit(b["v"])
+            dx = ix.distances(x)
+            home_x, near_x = dx.argmin(1), dx.min(1)
+            cosines = q @ x.T
+            i, j = np.nonzero((cosines >= cosine) & (cosines < cosine + BAND))
+            beyond = np.minimum(dq[i, home_x[j]] - near_q[i], dx[j, home_q[i]] - near_x[j])
+            counts += np.bincount(np.ceil(np.clip(beyond, 0, 4) * STEPS).astype(int), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield {"step": some.tolist(), "n": counts[some].tolist()}
+
+    found = map_rows(rows.select("v"), "step int, n bigint", work).groupBy("step").agg(F.sum("n").alias("n")).collect()
+    shared.unpersist()
+    if not found:
+        return index
+    steps = np.array(sorted((r["step"], r["n"]) for r in found))
+    below = np.cumsum(steps[:, 1])
+    enough = steps[np.searchsorted(below, (1 - miss) * below[-1]), 0] / STEPS
+    return replace(index, margin=max(index.margin, float(enough) + 1e-6))
+
+
 def _unit(values: list) -> np.ndarray:
     x = np.array(values, dtype=np.float64)
     top = np.abs(x).max(1, keepdims=True)
@@ -122,12 +160,13 @@ def _links(index: Index, which: int, q: np.ndarray, x: np.ndarray, codes: np.nda
 
 
 def near_duplicates(
-    rows: DataFrame, cosine: float = 0.9, miss: float = 1e-2, id_col: str = "vec_id", vector_col: str = "embedding",
+    rows: DataFrame, cosine: float = 0.9, miss: float = 1e-3, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Vectors link if their cosine is at least ``cosine``; a link is found by either end, and counts for both, unless each lies
-    in a list beyond the other's probes (probability below ``miss`` at the threshold itself, less above it). Equal vectors are indexed
+    in a list beyond the other's probes (a share of about ``miss`` of the links near the threshold, as measured on pairs of
+    ``TRIALS`` of the vectors with all others; less above it). Equal vectors are indexed
     once and counted each. NULL, empty and zero vectors, and those with NULL or non-finite components, link with nothing, as
     do vectors of different dimensions. Rows that repeat an id are vectors of their own and share its component; a NULL id
     has the component NULL unless its vector equals or links with others. Other columns are not read. More than
@@ -181,6 +220,9 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
         at = np.zeros(len(picked["h1"]), int)
     sample = _unit([picked["v"][i] for i in at])
     index = fit(sample, int(np.clip(n // LIST_ROWS, 1, MOST_LISTS)), cosine, miss)
+    trials = sample[np.random.default_rng(1).permutation(len(sample))[:TRIALS]]
+    rows = distinct.select("h1", "h2", "rep", "copies", "v").repartition(spark.sparkContext.defaultParallelism * 2 if n < 1 << 20 else max(1, n >> 14))
+    index = widened(index, rows, trials, cosine, miss)
     shared = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centres and CODES codes
 
     def enter(batches):
@@ -198,7 +240,6 @@ def _one_dimension(distinct: DataFrame, dim: int, n: int, cosine: float, miss: f
                 "x": [r.tobytes() for r in x], "code": [c.tobytes() for c in codes], "error": error.tolist(),
             }
 
-    rows = distinct.select("h1", "h2", "rep", "copies", "v").repartition(spark.sparkContext.defaultParallelism * 2 if n < 1 << 20 else max(1, n >> 14))
     entered = saved(map_rows(
         rows,
         "h1 bigint, h2 bigint, rep bigint, copies bigint, home int, near double, probes array<int>, x binary, code binary, error double", enter,

@@ -92,6 +92,25 @@ def test_links_equal_brute_force(spark, dim):
     assert pq.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["low-dimensional", "clustered"])
+def test_recall_over_many_lists(spark, monkeypatch, kind):
+    monkeypatch.setattr(pq, "LIST_ROWS", 32)
+    rng = np.random.default_rng(7)
+    n, dim, inner = 4000, 64, 6
+    x = rng.normal(size=(n, inner)) @ rng.normal(size=(inner, dim)) / np.sqrt(inner)
+    if kind == "clustered":
+        x = rng.normal(size=(80, dim))[rng.integers(0, 80, n)] + 0.4 * x
+    x += (0.2 if kind == "low-dimensional" else 0.1) * rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = x @ x.T
+    near = np.triu((cosines >= 0.9) & (cosines < 0.92), 1).sum()
+    true = (cosines >= 0.9).sum() - n
+    out = pq.near_duplicates(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
+    found = out.groupBy().sum("n_links").first()[0]
+    assert n // pq.LIST_ROWS > 100 and near > 1000
+    assert 2 * near > 0.01 * true and true - found < 0.005 * 2 * near and found <= true
+
+
 def test_blocks_of_a_hot_list(spark, monkeypatch):
     monkeypatch.setattr(pq, "BLOCK", 32)
     rng = np.random.default_rng(4)
