@@ -35,11 +35,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the text they stand for, digested: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """Token ids (32 bits each, little-endian), and digests of them and of the text they stand for:
+    (doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
     out = pieces.encode_decode(docs, pieces.load(public_model()))
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids",
     )
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 import corpus_pipeline
@@ -37,6 +39,13 @@ def test_every_stage_takes_effect(spark, results):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in results[4].collect()) == want
 
 
+def test_token_ids_are_written(spark, results):
+    coder = pieces.Coder(pieces.load(corpus_pipeline.public_model()))
+    got = results[4].collect()
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in got) == sorted((r["doc_id"], coder.encode(r["text"])) for r in results[3].collect())
+    assert all(r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest() and len(r["ids"]) == 4 * r["n_tokens"] for r in got)
+
+
 def test_run(spark, results):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, results[-1].collect()))
 
