@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,45 @@ def map_rows(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterab
     return df.mapInArrow(run, schema)
 
 
+def bounded_slices(batch: pa.RecordBatch, rows: int = SLICE, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, of at most ``rows`` rows and ``most_bytes`` bytes of strings (one row, if that is longer)."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = min(max(int(np.searchsorted(ends, before + most_bytes, "right")), start + 1), start + rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def map_texts(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterable[dict]], most_bytes: int = 1 << 20) -> DataFrame:
+    """As ``map_rows``, with slices bounded in bytes too, for long texts."""
+    arrow = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (s.to_pydict() for b in batches for s in bounded_slices(b, most_bytes=most_bytes))
+        for out in work(small):
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, column: str, wanted: Callable[[list], np.ndarray], most_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for whose ``column`` values ``wanted`` is true. Rows stay in Arrow; only
+    that column of a slice bounded in rows and bytes becomes Python objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            for s in bounded_slices(b, most_bytes=most_bytes):
+                yield s.filter(pa.array(np.asarray(wanted(s.column(at).to_pylist()), dtype=bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import minhash, mixing, pieces, pq, quality, quotes, sharding, topk, toxicity, warc
+from linkloom.llm import align, byteident, merkle, minhash, mixing, pieces, pq, quality, quotes, sharding, topk, toxicity, warc
 from linkloom.llm.common import table
 from linkloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -124,3 +124,63 @@ def op9(spark, sf):
     out = quotes.link(quoted_mail(table(spark, sf, "conversations")))
     even = F.trim(F.regexp_replace(F.lower("own"), r"\s+", " "))
     return out.select("message_id", "parent_id", "thread_id", "depth", "position", F.md5(even).alias("own_md5"))
+
+
+def _field(c):
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf(text):
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _crc(text):
+    """crc32 of an ASCII text: eight shifts for each byte."""
+    shifts = "lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END"
+    return f"""xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::UBIGINT),
+lambda a, b: list_reduce(range(8)::UBIGINT[], {shifts}, xor(a, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
+
+
+def _tree(name, nodes):
+    """All levels above ``nodes`` (g, i, h, m), each node with what stands left and right of it among its siblings."""
+    return f"""{name} AS (SELECT g, i, h, m, 0 AS level FROM {nodes} UNION ALL
+SELECT g, i // 16, sha256(string_agg(h, '' ORDER BY i)), (m + 15) // 16, level + 1 FROM {name} WHERE m > 1 GROUP BY g, i // 16, (m + 15) // 16, level + 1),
+{name}_sides AS (SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WINDOW w AS (PARTITION BY g, level, i // 16 ORDER BY i))"""
+
+
+def _up(name, start, tree):
+    return f"""{name} AS ({start} UNION ALL
+SELECT f.id, f.g, f.i // 16, f.level + 1, f.m, f.sides || s.l || s.r, sha256(s.l || f.node || s.r)
+FROM {name} f JOIN {tree}_sides s ON s.g = f.g AND s.level = f.level AND s.i = f.i WHERE s.m > 1)"""
+
+
+@query("op11_merkle_manifest", f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('+' || source, '') AS g, {_leaf("text")} AS leaf,
+CASE WHEN {_crc("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+leaves AS (SELECT g, i, leaf AS h, m FROM p),
+{_tree("lv", "leaves")},
+subs AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS m, g AS name FROM lv WHERE m = 1),
+{_tree("sv", "subs")},
+{_up("f", "SELECT i AS id, g, i, 0 AS level, m, '' AS sides, coalesce(changed, leaf) AS node FROM p", "lv")},
+f1 AS (SELECT id, g, arg_max(sides, level) AS sides, arg_max(node, level) AS node FROM f GROUP BY ALL),
+{_up("u", "SELECT f1.id || f1.g AS id, '' AS g, s.i, 0 AS level, s.m, f1.sides, f1.node FROM f1 JOIN subs s ON s.name = f1.g", "sv")},
+u1 AS (SELECT id, arg_max(sides, level) AS sides, arg_max(node, level) AS node FROM u GROUP BY ALL)
+SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM sv WHERE m = 1) AS root, sha256(sides) AS proof_sha256, node AS folded_root,
+node = (SELECT h FROM sv WHERE m = 1) AS verified
+FROM p JOIN u1 ON u1.id = p.i || p.g JOIN subs s ON s.name = p.g""")
+def op11(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents")).drop("copied")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark, sf):
+    import public_tokenizers
+
+    a = align.ByteLevel.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return align.linked(table(spark, sf, "documents"), a, align.Pieces.load(public_model()))
+
+
+@query("op13_language_id")
+def op13(spark, sf):
+    return byteident.identified_with_split(table(spark, sf, "documents"))

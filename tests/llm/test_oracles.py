@@ -24,4 +24,4 @@ def test_all_are_registered():
     import __spark_entry__ as e
 
     assert set(QUERIES) | {"pipeline"} <= set(e.queries())
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
