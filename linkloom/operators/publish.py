@@ -12,6 +12,7 @@ from linkloom.functions import urls
 from linkloom.operators.matching import label_join
 from linkloom.operators.runs import keep_last_runs
 from linkloom.scale import lag_in_order
+from linkloom.sources.statetables import StateTable
 
 GENRE = ",#genre#"
 
@@ -151,6 +152,37 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={versions[-1]:020d}")
 
 
+def cache_table(spark: SparkSession, path: str, parts: int = 64) -> StateTable:
+    """Validation times by fingerprint, changed part by part: for caches too large to rewrite."""
+    return StateTable(spark, path, "fp", "fp string, validated_at timestamp", parts)
+
+
+def feed_table(spark: SparkSession, path: str, parts: int = 64) -> StateTable:
+    """The last good scan of every feed, changed part by part."""
+    return StateTable(spark, path, "url", "url string, scan_no long, hash string, etag string", parts)
+
+
+def stamp(cache: StateTable, valid: DataFrame, now: Column, ttl_hours: float = 6, job: str = "", number: int | None = None) -> int:
+    """Bring the links of ``valid`` into a cache as validated ``now``; the parts written lose their expired stamps.
+
+    Returns the version. A ``number`` that ``job`` has committed before changes nothing.
+    """
+    def resolve(old: DataFrame, changes: DataFrame) -> DataFrame:
+        merged = old.unionByName(changes).groupBy("fp").agg(F.max("validated_at").alias("validated_at"))
+        return merged.filter(F.col("validated_at") >= now - F.make_dt_interval(secs=F.lit(ttl_hours * 3600)))
+
+    return cache.upsert(valid.select("fp", now.alias("validated_at")), resolve, job, number)
+
+
+def write_feed_scan(state: StateTable, scan: DataFrame, job: str = "", number: int | None = None) -> int:
+    """Bring the good scans (``url``, ``scan_no``, ``hash``, ``etag``) of a run into the state; failed ones leave it alone."""
+    def resolve(old: DataFrame, changes: DataFrame) -> DataFrame:
+        both = old.unionByName(changes.select(*old.columns))
+        return both.groupBy(F.col("url").alias("_url")).agg(F.max_by(F.struct(*old.columns), F.struct("scan_no", "hash")).alias("_s")).select("_s.*")
+
+    return state.upsert(scan.filter("hash is not null"), resolve, job, number)
+
+
 def append_run_stats(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 

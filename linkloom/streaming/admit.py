@@ -1,89 +1,65 @@
-"""Streaming admission: the batch tests on every row, and keyed state for what was admitted before."""
+"""Streaming admission: the batch tests on every row, and a cache of what was admitted that streams share."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+import datetime
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkloom import rules
 from linkloom.functions import urls
 from linkloom.operators import filters
-from linkloom.operators.admission import sound_entries
-
-# Python workers get this module with the tasks, whether or not the package is installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from linkloom.operators.admission import SEQ, sound_entries
+from linkloom.operators.publish import cache_table, stamp
+from linkloom.scale import top_per_key
+from linkloom.sources.statetables import StateTable
 
 ADMITTED_SCHEMA = "source_rank long, line_no long, name string, url string, fp string, host string"
 _COLUMNS = [c.split()[0] for c in ADMITTED_SCHEMA.split(", ")]
 
 
-def admitted(spark: SparkSession, path: str) -> DataFrame:
-    """Entries admitted so far: those of committed micro-batches."""
-    return spark.read.schema(ADMITTED_SCHEMA).parquet(path)
-
-
-def _first(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(["source_rank", "line_no"]).drop_duplicates("fp")
-
+def admitted(path: str, cache: StateTable) -> DataFrame:
+    """Entries admitted so far below ``path``: those of the micro-batches that ``cache`` has committed."""
+    return cache.output(path, ADMITTED_SCHEMA)
 
-def _firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each fingerprint only the first entry of a batch can be admitted."""
-    for batch in batches:
-        yield _first(batch)
 
+def admit_batch(
+    rows: DataFrame, number: int, path: str, cache: StateTable, at: Column, ttl_hours: float = 6,
+    blacklist: Sequence[str] = tuple(rules.BLACKLIST), vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS),
+) -> None:
+    """Admit one micro-batch: the first sound entry of every fingerprint that the cache does not hold as recent.
 
-def _once(ttl_ms: int | None):
-    def admit_first(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = state.getCurrentProcessingTimeMs()
-        best = None
-        for b in batches:
-            best = _first(b if best is None else pd.concat([best, b]))
-        if best is None or state.exists and (ttl_ms is None or at <= state.get[0] + ttl_ms):
-            return
-        state.update((at,))
-        yield best[_COLUMNS].astype({c: object for c in ("name", "url", "fp", "host")})
-
-    return admit_first
+    What is admitted is written to a folder of the batch, then stamped in the cache; the stamp commits both. A batch that was
+    committed before changes nothing, and one whose run was lost before the commit is written anew.
+    """
+    if cache.applied(path) >= number:
+        return
+    sound = sound_entries(rows, blacklist, vod_hosts)
+    first = top_per_key(sound, ["fp"], [F.col(c) for c in SEQ], 1)
+    new = filters.drop_recent(first, cache.read(), at, ttl_hours).withColumn("host", urls.host(F.col("url")))
+    typed = new.select(*[F.col(c).cast("bigint") if c in SEQ else F.col(c) for c in _COLUMNS])
+    folder = f"{path}/batch={number}"
+    typed.write.mode("overwrite").parquet(folder)
+    stamp(cache, rows.sparkSession.read.schema(ADMITTED_SCHEMA).parquet(folder), at, ttl_hours, path, number)
 
 
 def stream_admit(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    blacklist: Sequence[str] = tuple(rules.BLACKLIST),
-    vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS),
-    cache: DataFrame | None = None,
-    now: Column | None = None,
-    ttl_hours: float | None = None,
+    stream: DataFrame, path: str, checkpoint: str, cache: StateTable | None = None, now: Column | None = None, ttl_hours: float = 6,
+    blacklist: Sequence[str] = tuple(rules.BLACKLIST), vod_hosts: Sequence[str] = tuple(rules.VOD_HOSTS),
 ) -> StreamingQuery:
-    """Admit a stream of lines or entries (``source_rank``, ``line_no``, ``name``, ``url``) into a table.
+    """Admit a stream of lines or entries (``source_rank``, ``line_no``, ``name``, ``url``) into the table below ``path``.
 
-    A fingerprint admitted by an earlier micro-batch is not admitted again within ``ttl_hours`` of processing time (never,
-    if None), nor one validated within them before ``now`` according to ``cache``. What was admitted is kept as state
-    per fingerprint; earlier output is not read. Each partition hands on one entry per fingerprint.
+    Every micro-batch reads the cache anew, so a fingerprint is not admitted again within ``ttl_hours``, whichever stream with
+    that cache admitted it, and the stamps of a batch are seen by all streams once it is committed. Stamps that are
+    older go when their part of the cache is next written. ``now`` is the time of admission, else that of the batch.
     """
-    sound = sound_entries(stream, blacklist, vod_hosts).withColumn("host", urls.host(F.col("url")))
-    if cache is not None:
-        sound = filters.drop_recent(sound, cache, now, 6 if ttl_hours is None else ttl_hours)
-    rows = sound.select(*[F.col(c).cast("bigint") if c in ("source_rank", "line_no") else F.col(c) for c in _COLUMNS])
-    first = rows.mapInPandas(_firsts, ADMITTED_SCHEMA).groupBy("fp").applyInPandasWithState(
-        _once(None if ttl_hours is None else int(ttl_hours * 3_600_000)),
-        outputStructType=ADMITTED_SCHEMA,
-        stateStructType="admitted_ms long",
-        outputMode="append",
-        # A processing-time timeout would keep a run over what is available from ending: the time is compared instead.
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
-    return (
-        first.writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    cache = cache or cache_table(stream.sparkSession, f"{path}/_cache")
+
+    def admit(rows: DataFrame, number: int) -> None:
+        at = F.lit(datetime.datetime.now(datetime.timezone.utc)) if now is None else now
+        admit_batch(rows, number, path, cache, at, ttl_hours, blacklist, vod_hosts)
+
+    return stream.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
