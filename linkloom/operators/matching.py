@@ -1,48 +1,59 @@
 """Dictionary joins: keywords contained in names, aliases, labels and address blocks.
 
-Rule tables that fit in a plan are literals (see ``functions``). The table forms here take
-rule tables of any size and still plan as equi joins: instead of testing every row against
-every rule, each distinct value is expanded into the few substrings a rule could equal.
+Rule tables that fit in a plan are literals (see ``functions``). The table forms here take rule tables of any size without
+testing every row against every rule: keywords are found through an index of short pieces, addresses by a search among
+sorted blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
+from linkloom.functions.text import let
+from linkloom.scale import materialize, range_of
+
 
+#: Length of the pieces that texts and keywords are matched by; shorter keywords are matched as a whole.
+_GRAM = 3
 
-def _substrings(c: Column, shortest: Column, longest: Column) -> Column:
-    """All distinct substrings of ``c`` with a length between the two bounds."""
-    starts = F.sequence(F.lit(1), F.length(c))
 
-    def from_start(p):
-        top = F.least(longest, F.length(c) - p + 1)
-        sizes = F.when(top >= shortest, F.sequence(shortest, top)).otherwise(F.array().cast("array<int>"))
-        return F.transform(sizes, lambda n: F.substr(c, p, n))
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """All distinct pieces of ``text`` of these sizes: as many as it has characters, for each size."""
+    def of(chars, n):
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda p: F.concat(*[F.get(chars, p + i) for i in range(n)]))
 
-    return F.when(
-        F.length(c) > 0, F.array_distinct(F.flatten(F.transform(starts, from_start)))
-    ).otherwise(F.array().cast("array<string>"))
+    # Characters are told apart once: a substring would be counted out from the start of the text.
+    return let(F.split(text, ""), lambda chars: F.array_distinct(F.concat(*[of(chars, n) for n in sizes])))
 
 
 def contains_join(df: DataFrame, text: str, table: DataFrame, word: str, rank: str, keep: list[str]) -> DataFrame:
     """For each distinct ``text``: the ``keep`` columns of the contained ``word`` of lowest ``rank``.
 
-    Returns ``text`` and ``keep`` for texts with a match. Texts are names, so their substrings
-    are few; longer texts should use the literal form.
+    Returns ``text`` and ``keep`` for texts with a match. Every keyword is looked up by one of its pieces, that which the fewest
+    texts hold, in an index of the texts' pieces; what meets is verified on the whole text. So rows grow with the length of
+    the texts, whatever the lengths of the keywords, and only hashes and pieces travel to the join. Empty keywords and
+    NULL texts match nothing.
     """
-    shortest = table.agg(F.min(F.length(word))).scalar()
-    longest = table.agg(F.max(F.length(word))).scalar()
-    bounded = df.select(text).distinct().withColumns({"_lo": shortest, "_hi": longest})
-    expanded = bounded.select(text, F.explode(_substrings(F.col(text), F.col("_lo"), F.col("_hi"))).alias(word))
-    return (
-        expanded.join(table.select(word, rank, *[k for k in keep if k != word]), word)
-        .groupBy(text)
-        .agg(F.min_by(F.struct(*keep), rank).alias("_m"))
-        .select(text, "_m.*")
+    ranked = table.filter(F.length(word) > 0).select(F.col(word).alias("_kw"), F.col(rank).alias("_rank"), F.struct(*keep).alias("_keep"))
+    texts = df.select(F.col(text).alias("_text")).distinct().withColumn("_id", F.xxhash64("_text"))
+    entries = texts.select("_id", F.explode(_grams(F.col("_text"), range(1, _GRAM + 1))).alias("_gram"))
+    own = F.when(F.length("_kw") < _GRAM, F.array("_kw")).otherwise(_grams(F.col("_kw"), [_GRAM]))
+    pieces = ranked.select("_kw", F.explode(own).alias("_gram")).distinct()
+    index = entries.join(pieces.select("_gram").distinct(), "_gram", "left_semi")
+    common = index.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # Pieces that no text holds would be the rarest: their keywords match nothing and fall away here.
+    rarest = pieces.join(common, "_gram", "left").groupBy("_kw").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
     )
+    found = index.join(rarest, "_gram").select("_id", "_kw").distinct()
+    verified = texts.join(found, "_id").filter(F.contains("_text", "_kw"))
+    best = verified.join(ranked, "_kw").groupBy("_text").agg(F.min_by("_keep", "_rank").alias("_m"))
+    return best.select(F.col("_text").alias(text), "_m.*")
 
 
 def classify_by_table(df: DataFrame, rule_table: DataFrame, default: str, text: str = "name") -> DataFrame:
@@ -76,22 +87,56 @@ def label_join(df: DataFrame, labels: DataFrame, key: str = "category") -> DataF
     return df.join(labels.select(key, "label"), key, "left").withColumn("label", F.coalesce("label", key))
 
 
+def address_key(h: Column) -> Column:
+    """IP literals as text whose order is theirs: IPv4 as ``4`` and 8 hex digits, IPv6 as ``6`` and 32; NULL for names."""
+    v4 = F.concat(F.lit("4"), F.lower(F.lpad(F.hex(urls.ipv4_number(h)), 8, "0")))
+    return F.coalesce(v4, F.concat(F.lit("6"), urls.ipv6_hex(h)))
+
+
+def block_bounds(cidr: Column) -> Column:
+    """First and last address (``lo``, ``hi``) of an IPv4 or IPv6 block; a single address is a block of its own, NULL otherwise."""
+    key = address_key(F.substring_index(cidr, "/", 1))
+    nibbles = F.transform(F.split(F.substring(key, 2, 32), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
+    bits = F.array_join(nibbles, "")
+    size = F.when(F.contains(cidr, F.lit("/")), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(F.length(bits))
+
+    def bound(fill):
+        full = F.rpad(F.substr(bits, F.lit(1), size), F.length(bits), fill)
+        places = F.sequence(F.lit(0), (F.length(bits) / 4 - 1).cast("int"))
+        hexed = F.transform(places, lambda i: F.lower(F.conv(F.substr(full, i * 4 + 1, F.lit(4)), 2, 16)))
+        return F.concat(F.substring(key, 1, 1), F.array_join(hexed, ""))
+
+    return F.when(size.between(0, F.length(bits)), F.struct(bound("0").alias("lo"), bound("1").alias("hi")))
+
+
+def _coarse(key: Column) -> Column:
+    """A number that grows with the address: all of IPv4, the upper 56 bits of IPv6."""
+    number = F.conv(F.substring(key, 2, 14), 16, 10).cast("bigint")
+    return F.when(key.startswith("6"), number + (1 << 33)).otherwise(number)
+
+
+#: Ranges of addresses that are searched apart.
+_RANGES = 64
+
+
 def in_blocks(df: DataFrame, blocks: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``in_block``: the IPv4 host lies in one of the ``cidr`` blocks.
+    """Add ``in_block``: the host is an IP literal in one of the ``cidr`` blocks, IPv4 or IPv6.
 
-    Each address is expanded into its 33 possible network prefixes, an equi join on
-    (prefix length, network) then finds the blocks that hold it.
+    Each distinct host is searched among the blocks once. Quantiles of the hosts cut the addresses into ranges; a block takes part in
+    each range that it touches. In a range, hosts and blocks stand in order, and a host is inside if the last end of the
+    blocks that begin before it is not behind it: that covers nested and repeated blocks. Blocks that are no addresses count for
+    nothing. Addresses that share their upper 56 bits share a range.
     """
-    size = F.substring_index("cidr", "/", -1).cast("int")
-    number = urls.ipv4_number(F.substring_index("cidr", "/", 1))
-    nets = blocks.select(size.alias("_len"), number.alias("_n")).select(
-        "_len", F.expr("shiftright(_n, 32 - _len)").alias("_net")
-    )
-    hosts = df.select(url).distinct().withColumn("_ip", urls.ipv4_number(urls.host(F.col(url)))).filter("_ip IS NOT NULL")
-    prefixes = hosts.select(url, "_ip", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("_len")).select(
-        url, "_len", F.expr("shiftright(_ip, 32 - _len)").alias("_net")
-    )
-    inside = prefixes.join(nets.distinct(), ["_len", "_net"], "left_semi").select(url).distinct()
-    return df.join(inside.withColumn("in_block", F.lit(True)), url, "left").withColumn(
+    named = df.withColumn("_host", urls.host(F.col(url)))
+    hosts = materialize(named.select("_host").distinct().withColumn("key", address_key(F.col("_host"))).filter("key is not null"))
+    shares = F.array(*[F.lit(i / _RANGES) for i in range(1, _RANGES)])
+    cuts = sorted(set(hosts.agg(F.percentile_approx(_coarse(F.col("key")), shares, 1000)).first()[0] or ()))
+    bounds = blocks.select(block_bounds(F.col("cidr")).alias("b")).filter("b is not null").select("b.*").distinct()
+    reached = F.sequence(range_of(_coarse(F.col("lo")), cuts), range_of(_coarse(F.col("hi")), cuts))
+    nets = bounds.select(F.explode(reached).alias("range"), F.col("lo").alias("key"), "hi")
+    both = hosts.withColumn("range", range_of(_coarse(F.col("key")), cuts)).unionByName(nets, allowMissingColumns=True)
+    before = Window.partitionBy("range").orderBy("key", F.col("hi").isNull())
+    inside = both.withColumn("_end", F.max("hi").over(before)).filter("_host is not null and key <= _end").select("_host")
+    return named.join(inside.withColumn("in_block", F.lit(True)), "_host", "left").withColumn(
         "in_block", F.coalesce("in_block", F.lit(False))
-    )
+    ).drop("_host")

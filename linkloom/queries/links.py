@@ -32,6 +32,23 @@ def private_blocks_join(spark, sf):
     return matching.in_blocks(df, nets).select(*KEY, "url", "in_block")
 
 
+# Hosts of both families made of the events' numbers, and nested, repeated and foreign blocks.
+_ADDRESSES = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('http://', user_id % 256, '.', event_id % 256, '.', user_id % 7, '.9/x')
+  WHEN 1 THEN concat('http://[2001:db8:', CAST(user_id % 10 AS STRING), '::', CAST(event_id % 10 AS STRING), ']:80/x')
+  WHEN 2 THEN concat('http://host', user_id, '.example.com/x') ELSE concat('http://[fe80::', CAST(event_id % 10 AS STRING), ']/x') END AS url FROM {events}"""
+_BLOCKS = ["10.0.0.0/8", "10.20.0.0/16", "64.0.0.0/3", "77.1.1.9", "2001:db8:2::/47", "2001:db8:7::3/128", "fe80::8/125", "fe80::/126", "10.0.0.0/8", "no block", "1.2.3.4/40"]
+
+
+@query("address_blocks", f"""WITH a AS ({_ADDRESSES.format(events='events').replace('AS STRING', 'AS VARCHAR')}),
+h AS (SELECT event_id, url, event_id % 4 AS kind, user_id % 256 AS o1, event_id % 256 AS o2, user_id % 7 AS o3, user_id % 10 AS g, event_id % 10 AS e FROM a JOIN events USING (event_id))
+SELECT event_id, url, CASE kind WHEN 0 THEN o1 = 10 OR (o1 BETWEEN 64 AND 95) OR (o1 = 77 AND o2 = 1 AND o3 = 1) WHEN 1 THEN g IN (2, 3) OR (g = 7 AND e = 3)
+  WHEN 2 THEN false ELSE e >= 8 OR e <= 3 END AS in_block FROM h""")
+def address_blocks(spark, sf):
+    urls_ = spark.sql(_ADDRESSES, events=table(spark, sf, "events"))
+    nets = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in _BLOCKS])).alias("cidr"))
+    return matching.in_blocks(urls_, nets).select("event_id", "url", "in_block")
+
+
 @query("vod_hosts", f"""{ctes('catalog')}
 SELECT source_rank, line_no, url FROM catalog WHERE NOT (lower({q.netloc('url')}) LIKE '%jd.com%'
   OR lower(concat({q.netloc('url')}, {q.path('url')})) LIKE '%example.com:8080/live/3/%')""")

@@ -147,6 +147,21 @@ def classify_by_table(spark, sf):
     return matching.classify_by_table(table(spark, sf, "names"), rule_table, "none").select("seq", "category")
 
 
+# Keywords of one to some forty letters in whole documents: single letters, short words, and passages of the benchmark.
+_KEYWORDS = """SELECT CAST(item_id AS BIGINT) * 4 + n AS cat_rank, concat('k', item_id % 50, '-', n) AS category, CASE n WHEN 0 THEN substring(text, 1, 40) WHEN 1 THEN substring(text, 3, 2)
+  WHEN 2 THEN upper(substring(text, 5, 7)) ELSE '' END AS keyword FROM {benchmark} CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(n)"""
+
+
+@query("classify_texts", f"""WITH r AS ({_KEYWORDS.format(benchmark='benchmark')}),
+m AS (SELECT doc_id, arg_min(category, cat_rank) AS category FROM documents JOIN r ON length(keyword) > 0 AND contains(lower(text), lower(keyword)) GROUP BY 1)
+SELECT doc_id, coalesce(category, 'none') AS category FROM documents LEFT JOIN m USING (doc_id)""")
+def classify_texts(spark, sf):
+    """The table form on long texts."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rule_table = spark.sql(_KEYWORDS, benchmark=table(spark, sf, "benchmark"))
+    return matching.classify_by_table(docs, rule_table, "none", "text").select("doc_id", "category")
+
+
 _ALIASES = "SELECT * FROM (VALUES {rows}) AS v(alias, canonical, ord)".format(
     rows=", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(rules.ALIASES))
 )
