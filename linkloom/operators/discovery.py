@@ -73,7 +73,7 @@ def rank_by_domain_score(
 ) -> DataFrame:
     """The ``limit`` best links by domain score, with their position."""
     scored = df.withColumn("score", urls.domain_score(F.col(url), allow, deny))
-    return first_rows(scored, [F.desc("score"), F.asc(url)], limit, "position")
+    return first_rows(scored, [-F.col("score"), F.col(url)], limit, "position")
 
 
 def expand_mirrors(df: DataFrame, url: str = "url") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom import rules
-from linkloom.scale import first_rows, rank_by, rank_within, top_per_key
+from linkloom.scale import first_per_key, first_rows, rank_by, rank_within, top_per_key
 
 GROUP = ("category", "norm_name")
 
@@ -88,7 +88,7 @@ def with_channel_stats(top: DataFrame, stats: DataFrame, keys: Sequence[str] = G
 
 
 def global_cap(df: DataFrame, order: Sequence[Column], limit: int, name: str = "line_no") -> DataFrame:
-    """The first ``limit`` rows in output order, numbered; 0 keeps and numbers all rows."""
+    """The first ``limit`` rows in output order (ascending expressions), numbered; 0 keeps and numbers all rows."""
     return rank_by(df, order, name) if limit <= 0 else first_rows(df, order, limit, name)
 
 
@@ -147,8 +147,8 @@ def proportional_quota(
 
 
 def enforce_quota(df: DataFrame, quota: DataFrame, order: Sequence[Column], categories: Sequence[str] = tuple(rules.CATEGORY_ORDER)) -> DataFrame:
-    """Keep each category's first ``quota`` rows in output order; unlisted categories share the last one's quota."""
+    """Keep each category's first ``quota`` rows in output order (ascending expressions); unlisted categories share the last one's
+    quota."""
     listed = df.withColumn("_listed", listed_category(F.col("category"), categories))
-    ranked = rank_within(listed, ["_listed"], order, "_n")
     quotas = quota.select(F.col("category").alias("_listed"), "quota")
-    return ranked.join(quotas, "_listed").filter("_n <= quota").drop("_n", "quota", "_listed")
+    return first_per_key(listed, ["_listed"], order, quotas, "quota", "_n").drop("_n", "_listed")

@@ -301,7 +301,7 @@ SELECT r.category, seq, quality FROM r JOIN qt ON r.listed = qt.category WHERE n
 def enforced_quota(spark, sf):
     df = channels(spark, sf)
     quota = ranking.proportional_quota(df, 500, ORDER, ["STANDARD"])
-    return ranking.enforce_quota(df, quota, [F.desc("quality"), F.asc("seq")], ORDER).select("category", "seq", "quality")
+    return ranking.enforce_quota(df, quota, [-F.col("quality"), F.col("seq")], ORDER).select("category", "seq", "quality")
 
 
 @query("failed_rows", f"{ctes('catalog')} SELECT concat(name, ',', url) AS line FROM catalog WHERE quality < 50")

@@ -196,9 +196,62 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     return joined.withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *[f"_k_{k}" for k in keys])
 
 
+#: One row in so many takes part in finding a cutoff.
+_SUBSET = 16
+#: Up to so many selected rows are brought together in one task.
+_TOGETHER = 1 << 20
+
+
+def _near(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """The rows that can be among the first ``limit``, and some more, with their ``_key``.
+
+    The last of the first ``limit`` rows of a random subset is a safe cutoff: at least so many rows of the whole come no later.
+    """
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    subset = keyed.filter(F.rand(7) < 1 / _SUBSET).select("_key").orderBy("_key").limit(limit)
+    # No cutoff if the subset has too few rows.
+    cutoff = subset.agg(F.when(F.count("*") == limit, F.max("_key"))).scalar()
+    return keyed.filter(F.coalesce(F.col("_key") <= cutoff, F.lit(True)))
+
+
 def first_rows(df: DataFrame, order: Sequence[Column], limit: int, name: str) -> DataFrame:
-    """The first ``limit`` rows of a total order, with their 1-based position: a distributed sort, whatever the limit."""
-    return rank_by(df, order, name, limit)
+    """The first ``limit`` rows of a total order, with their 1-based position; the table is not sorted.
+
+    ``order`` are ascending expressions. Rows beyond a cutoff are dropped where they lie, and of the others each task hands on
+    ``limit`` at most. A very large limit is taken from a sort of what the cutoff leaves.
+    """
+    near = _near(df, order, limit)
+    if limit > _TOGETHER:
+        return rank_by(near, [F.col("_key")], name, limit).drop("_key")
+    first = near.orderBy("_key").limit(limit)
+    return first.withColumn(name, F.row_number().over(Window.orderBy("_key")).cast("bigint")).drop("_key")
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], quotas: DataFrame, quota: str, name: str) -> DataFrame:
+    """Of each key the first rows of an order (ascending expressions), as many as its ``quota`` in ``quotas`` (a row per key), with
+    their position; keys without a quota have none.
+
+    Quotas up to ``_EARLY`` are ranked with early dropping; beyond, rows that come after the last of their key's first rows in a
+    random subset are dropped where they lie, and the rest is sorted.
+    """
+    most = quotas.agg(F.max(quota)).first()[0] or 0
+    limits = quotas.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col(quota).alias("_quota"))
+
+    def same(df):
+        return reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_q_{k}")) for k in keys])
+
+    def within(ranked):
+        return ranked.join(limits, same(ranked)).filter(F.col(name) <= F.col("_quota")).drop("_quota", *[f"_q_{k}" for k in keys])
+
+    if most <= _EARLY:
+        return within(top_per_key(df, keys, order, max(most, 1), name))
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    subset = rank_within(keyed.filter(F.rand(7) < 1 / _SUBSET).select(*keys, "_key"), keys, [F.col("_key")], "_n")
+    at = subset.join(limits, same(subset)).filter(F.col("_n") == F.col("_quota"))
+    cuts = at.select(*[F.col(f"_q_{k}").alias(f"_c_{k}") for k in keys], F.col("_key").alias("_cut"))
+    near = keyed.join(cuts, reduce(lambda a, b: a & b, [keyed[k].eqNullSafe(F.col(f"_c_{k}")) for k in keys]), "left")
+    near = near.filter("_cut is null or _key <= _cut").drop("_cut", *[f"_c_{k}" for k in keys])
+    return within(rank_within(near, keys, [F.col("_key")], name)).drop("_key")
 
 
 #: Up to this k Spark drops losers before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).

@@ -60,7 +60,7 @@ def test_quota(spark):
 
 def test_enforced_quota_sums_to_limit(channels):
     quota = ranking.proportional_quota(channels, 60)
-    kept = ranking.enforce_quota(channels, quota, [F.desc("quality"), F.asc("seq")])
+    kept = ranking.enforce_quota(channels, quota, [-F.col("quality"), F.col("seq")])
     want = {r.category: r.quota for r in quota.collect()}
     got = {r.category: r["count"] for r in kept.groupBy("category").count().collect()}
     assert got == {c: min(n, {"央视频道": 80, "其他频道": 40}[c]) for c, n in want.items()}

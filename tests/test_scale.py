@@ -53,7 +53,7 @@ def test_rank_by_is_dense_and_total(df, rows):
 
 
 def test_first_rows(df, rows):
-    got = scale.first_rows(df, [F.desc("o")], 5, "pos").orderBy("pos").collect()
+    got = scale.first_rows(df, [-F.col("o")], 5, "pos").orderBy("pos").collect()
     assert [r.o for r in got] == sorted((r[1] for r in rows), reverse=True)[:5]
     assert [r.pos for r in got] == [1, 2, 3, 4, 5]
 
@@ -76,3 +76,50 @@ def test_large_limits_are_cut_in_salted_parts(spark):
     hot = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
     out = scale.top_per_key(hot, ["k"], [F.desc("o")], 1500, "rn")
     assert {(r.k, r.n, r.low) for r in out.groupBy("k").agg(F.count("*").alias("n"), F.min("o").alias("low")).collect()} == {(0, 1500, 2000), (1, 1500, 2001)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1000, 5000])
+def test_first_rows_needs_no_sort_of_the_table(spark, limit):
+    df = spark.range(0, 3000, 1, 8).select(((F.col("id") * 7919) % 3001).alias("o"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("k"))
+    out = scale.first_rows(df, [F.col("k"), -F.col("o")], limit, "pos")
+    got = [tuple(r) for r in out.select("pos", "k", "o").orderBy("pos").collect()]
+    rows = sorted(((r.k is not None, r.k or 0, -r.o, r.k, r.o) for r in df.collect()))[:limit]
+    assert got == [(i + 1, k, o) for i, (_, _, _, k, o) in enumerate(rows)]
+    if limit < 3000:  # else Spark knows that nothing is cut
+        assert "rangepartitioning" not in _plan(out) and "TakeOrderedAndProject" in _plan(out)
+
+
+def test_first_rows_drops_losers_before_they_move(spark):
+    df = spark.range(0, 200_000, 1, 8).select(((F.col("id") * 7919) % 200_003).alias("o"))
+    assert 50 <= scale._near(df, [F.col("o")], 50).count() < 50 * 16 * 2
+    assert [r.pos for r in scale.first_rows(df, [F.col("o")], 50, "pos").orderBy("o").collect()] == list(range(1, 51))
+
+
+def test_first_rows_beyond_what_one_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(scale, "_TOGETHER", 10)
+    df = spark.range(500).select((F.lit(500) - F.col("id")).alias("o"))
+    assert [(r.pos, r.o) for r in scale.first_rows(df, [F.col("o")], 40, "pos").orderBy("pos").collect()] == [(i, i) for i in range(1, 41)]
+
+
+@pytest.mark.parametrize("early", [1000, 1])
+def test_first_per_key(spark, monkeypatch, early):
+    monkeypatch.setattr(scale, "_EARLY", early)
+    # One key holds a third of the rows, one is NULL, one has no quota, one has fewer rows than its quota.
+    df = spark.range(0, 3000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).when(F.col("id") < 9, "few").when(F.col("id") % 2 == 0, "none").otherwise("k").alias("k"),
+        ((F.col("id") * 7919) % 3001).alias("o"),
+    )
+    quotas = spark.createDataFrame([("hot", 50), (None, 3), ("few", 100), ("k", 0)], "k string, q long")
+    got = sorted((str(r.k), r.n, r.o) for r in scale.first_per_key(df, ["k"], [F.col("o")], quotas, "q", "n").collect())
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.k, []).append(r.o)
+    limits = {"hot": 50, None: 3, "few": 100, "k": 0}
+    want = sorted((str(k), i + 1, o) for k, q in limits.items() for i, o in enumerate(sorted(by[k])[:q]))
+    assert got == want
+    empty = quotas.filter("false")
+    assert scale.first_per_key(df, ["k"], [F.col("o")], empty, "q", "n").count() == 0
