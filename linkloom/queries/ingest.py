@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from linkloom.operators import filters, runs
+from linkloom.operators import filters, publish, runs
 from linkloom.queries import sql as q
 from linkloom.queries.carriers import ctes, table
 from linkloom.queries.registry import query
+from linkloom.scale import shared_dir
 from linkloom.sources import catalogs, playlists, rulesets
 
 
@@ -196,3 +200,78 @@ def feed_yield(spark, sf):
     # Pages stand for feeds without entries.
     empty = table(spark, sf, "pages").select((F.lit(-1) - F.col("page_id")).alias("doc"))
     return runs.feed_yield(lines.select("doc").unionByName(empty), entries, "doc")
+
+
+# Catalog files of several kinds of line break inside physical lines, read whole and in splits.
+_BREAKS = ["\x0b", "\x0c", "\x85", "\u2028", "\u2029", "\x1c"]
+_SQL_BREAKS = ", ".join(f"chr({ord(b)})" for b in _BREAKS)
+
+
+def _broken_lines(spark, sf):
+    breaks = F.array(*[F.lit(b) for b in _BREAKS])
+    between = F.element_at(breaks, (F.col("doc_id") % len(_BREAKS) + 1).cast("int"))
+    tail = F.concat_ws("", F.lit("tail"), F.col("doc_id").cast("string"), F.lit(",http://h/"), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select(F.concat(
+        F.lit("doc"), F.col("doc_id").cast("string"), F.lit(","), F.regexp_replace("text", "[\\r\\n]+", " "), between, F.lit("  "), between, F.lit(" "), tail,
+    ).alias("value"))
+
+
+_BROKEN = f"""f AS (SELECT doc_id, ([{_SQL_BREAKS}])[CAST(doc_id % {len(_BREAKS)} + 1 AS BIGINT)] AS b, regexp_replace(text, '[\r\n]+', ' ', 'g') AS t FROM documents),
+p AS (SELECT concat('doc', doc_id, ',', t, b, '  ', b, ' tail', doc_id, ',http://h/', doc_id) AS value FROM f),
+e AS (SELECT {q.strip('raw')} AS line FROM (SELECT unnest({q.split_lines('value')}) AS raw FROM p)),
+n AS (SELECT CASE WHEN contains(line, ',') THEN {q.strip("split_part(line, ',', 1)")} END AS name, CASE WHEN contains(line, ',') THEN {q.strip(q.after_comma('line'))} END AS url FROM e WHERE line <> '')"""
+
+
+@query("large_catalog", f"WITH {_BROKEN} SELECT name, url, count(*) AS n, true AS agree FROM n GROUP BY ALL")
+def large_catalog(spark, sf):
+    """Both readers on the same files: the same entries, in the same order."""
+    folder = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    _broken_lines(spark, sf).write.text(folder)
+    whole, split = catalogs.read_catalog(spark, folder), catalogs.read_large_catalog(spark, folder)
+    keys = ["source_id", "place"]
+    at = Window.partitionBy("source_id").orderBy("line_no")  # a file written by one task
+    a = whole.select("source_id", F.row_number().over(at).alias("place"), "name", "url")
+    b = split.select("source_id", F.row_number().over(at).alias("place"), F.struct("name", "url").alias("other"))
+    both = a.join(b, keys, "full_outer").withColumn("agree", F.struct("name", "url").eqNullSafe(F.col("other")))
+    return both.groupBy("name", "url").agg(F.count("*").alias("n"), F.every("agree").alias("agree"))
+
+
+@query("load_rules", """WITH o AS (SELECT p_type AS category, row_number() OVER (ORDER BY p_type) - 1 AS cat_rank FROM (SELECT DISTINCT p_type FROM part)),
+k AS (SELECT p_type AS category, p_brand AS keyword, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) - 1 AS ord FROM (SELECT DISTINCT p_type, p_brand FROM part)),
+w AS (SELECT n_name AS value, row_number() OVER (ORDER BY n_name) - 1 AS ord FROM nation)
+SELECT 'rule' AS kind, category, CAST(cat_rank AS INTEGER) AS cat_rank, CAST(ord AS INTEGER) AS ord, keyword AS value FROM k JOIN o USING (category)
+UNION ALL SELECT 'blacklist', NULL, NULL, CAST(ord AS INTEGER), value FROM w
+UNION ALL SELECT 'order', category, CAST(cat_rank AS INTEGER), NULL, category FROM o UNION ALL SELECT 'threshold', NULL, NULL, 7, '0.25'""")
+def load_rules(spark, sf):
+    """A rule file written from the parts' types and brands and the nations' names, loaded as tables."""
+    part = table(spark, sf, "part")
+    words = part.groupBy(F.col("p_type").alias("key")).agg(F.sort_array(F.collect_set("p_brand")).alias("value"))
+    by_type = words.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("rules"))
+    order = part.agg(F.sort_array(F.collect_set("p_type")).alias("order"))
+    black = table(spark, sf, "nation").agg(F.sort_array(F.collect_set("n_name")).alias("blacklist"))
+    # One row each, joined on nothing but their being one.
+    one = [df.withColumn("_one", F.lit(1)) for df in (by_type, order, black)]
+    doc = one[0].join(one[1], "_one").join(one[2], "_one").select(F.to_json(F.struct(
+        F.struct("order", "rules").alias("categories"), F.struct("blacklist").alias("filter"),
+        F.struct(F.lit(7).alias("cache_ttl_hours"), F.lit(0.25).alias("min_speed_mbps")).alias("quality"),
+    )).alias("value"))
+    folder = f"{shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    doc.write.text(folder)
+    got = rulesets.load_rules(spark, folder)
+    none = F.lit(None)
+    return (
+        got.rules.select(F.lit("rule").alias("kind"), "category", "cat_rank", "ord", F.col("keyword").alias("value"))
+        .union(got.keywords.select("kind", none.cast("string"), none.cast("int"), "ord", "value"))
+        .union(got.category_order.select(F.lit("order"), "category", "cat_rank", none.cast("int"), F.col("category")))
+        .union(got.thresholds.select(F.lit("threshold"), none.cast("string"), none.cast("int"), F.col("cache_ttl_hours").cast("int"), F.col("min_speed_mbps").cast("string")))
+    )
+
+
+@query("append_run_stats", f"{ctes('runs')} SELECT run_date, total, valid FROM runs ORDER BY run_date DESC LIMIT 20")
+def append_run_stats(spark, sf):
+    """The history of the runs, appended in three lots, and its newest rows."""
+    days = table(spark, sf, "runs")
+    folder = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    for lot in range(3):
+        publish.append_run_stats(days.filter(F.dayofyear("run_date") % 3 == lot), folder)
+    return publish.read_last_runs(spark, folder, 20, "run_date")

@@ -126,16 +126,22 @@ def test_read_catalog_files(spark, tmp_path):
     assert [(r.name, r.url) for r in got] == [("A", "http://h/a,b"), ("B", "http://h/b"), (None, None), ("D", "x")]
 
 
-def test_large_files_keep_their_line_numbers(spark, tmp_path):
+def test_large_files_keep_their_order(spark, tmp_path):
+    breaks = ["\n", "\r\n", "\x0b", "\x0c", "\x85", "\u2028", "\u2029"]
     for name, n in (("a", 5000), ("b", 3000), ("c", 10)):
-        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i},http://h/{i}\n" if i % 7 else "\n" for i in range(n)), encoding="utf8")
+        text = "".join((f"{name}{i},http://h/{i}" if i % 7 else "") + breaks[i % len(breaks)] for i in range(n))
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
     try:
         rows = catalogs.read_large_catalog(spark, str(tmp_path)).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    got = sorted((r.source_id[-5], r.line_no, r.name) for r in rows)
-    assert got == sorted((x, i, f"{x}{i}") for x, n in (("a", 5000), ("b", 3000), ("c", 10)) for i in range(n) if i % 7)
+    got = [(r.source_id[-5], r.name) for r in sorted(rows, key=lambda r: (r.source_id, r.line_no))]
+    assert got == [(x, f"{x}{i}") for x, n in (("a", 5000), ("b", 3000), ("c", 10)) for i in range(n) if i % 7]
+    assert len({(r.source_id, r.line_no) for r in rows}) == len(rows)
+    whole = catalogs.read_catalog(spark, str(tmp_path)).collect()
+    assert [(r.source_id, r.name, r.url) for r in sorted(whole, key=lambda r: (r.source_id, r.line_no))] == [
+        (r.source_id, r.name, r.url) for r in sorted(rows, key=lambda r: (r.source_id, r.line_no))]
 
 
 def test_grouped_catalog(spark):
