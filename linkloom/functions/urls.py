@@ -324,18 +324,12 @@ def is_playlist_legacy(url: Column) -> Column:
 
 def mirrors(url: Column) -> Column:
     """Ordered mirror candidates of a code-hosting URL, the URL itself first."""
-    raw = r"^https://raw\.githubusercontent\.com/([^/]+)/([^/]+)/([^/]+)/(.+)"
-    page = r"^https://github\.com/([^/]+)/([^/]+)/(?:raw|blob)/([^/]+)/(.+)"
+    raw, page, origin = rules.HOSTED_RAW, rules.HOSTED_PAGE, rules.HOSTED_ORIGIN
+    targets = [t.replace("{origin}", origin) for t in rules.MIRRORS]
 
     def rewrite(pattern, target):
         return F.regexp_replace(url, pattern + "[\\s\\S]*$", target)
 
-    origin = "https://raw.githubusercontent.com/$1/$2/$3/$4"
-    targets = [
-        "https://testingcf.jsdelivr.net/gh/$1/$2@$3/$4",
-        "https://mirror.ghproxy.com/" + origin,
-        "https://gh-proxy.com/" + origin,
-    ]
     return (
         F.when(url.rlike(raw), F.array(url, *[rewrite(raw, t) for t in targets]))
         .when(url.rlike(page), F.array(url, *[rewrite(page, t) for t in [origin] + targets]))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom import rules
@@ -76,6 +77,48 @@ def run_record(
     )
 
 
+class RunCounters:
+    """Counts what a run writes while it is written: each table is handed through once, and nothing is read again.
+
+    ``categories`` are those that the catalog can have.
+    """
+
+    def __init__(self, categories: Sequence[str]):
+        self.categories = list(dict.fromkeys(categories))
+        self.parts = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("judged", "channels", "catalog")}
+
+    def judged(self, df: DataFrame, filtered: Column | None = None) -> DataFrame:
+        """Candidates with ``alive``; ``filtered`` tells those taken out for their speed."""
+        out = F.count_if(F.coalesce(filtered, F.lit(False)) if filtered is not None else F.lit(False))
+        return df.observe(self.parts["judged"], F.count("*").alias("total"), F.count_if("alive").alias("alive"), out.alias("filtered"))
+
+    def channels(self, df: DataFrame) -> DataFrame:
+        """The links valid in the end, with ``overseas``."""
+        return df.observe(self.parts["channels"], F.count("*").alias("valid"), F.count_if("overseas").alias("overseas"), F.count_if(~F.col("overseas")).alias("cn"))
+
+    def catalog(self, df: DataFrame) -> DataFrame:
+        """The written rows, with ``category``."""
+        each = [F.count_if(F.col("category") == c).alias(f"c{i}") for i, c in enumerate(self.categories)]
+        return df.observe(self.parts["catalog"], F.count("*").alias("written"), *each)
+
+    def record(self, spark: SparkSession, run_id: str, run_ts: Column, duration_s: float = 0.0) -> DataFrame:
+        """The history row, as of ``run_record``; the three tables must have been written."""
+        judged, channels, catalog = (self.parts[n].get for n in ("judged", "channels", "catalog"))
+        by_category = {c: catalog[f"c{i}"] for i, c in enumerate(self.categories) if catalog[f"c{i}"]}
+        if sum(by_category.values()) != catalog["written"]:
+            raise ValueError("the catalog has categories that were not announced")
+        total, valid = judged["total"], channels["valid"]
+        schema = (
+            "total bigint, valid bigint, failed bigint, filtered bigint, written bigint, success_rate double, duration_s double, "
+            "by_category map<string,bigint>, by_overseas struct<cn:bigint,overseas:bigint>"
+        )
+        row = (
+            total, valid, total - judged["alive"], judged["filtered"], catalog["written"], valid * 100.0 / total if total else 0.0,
+            float(duration_s), by_category, (channels["cn"], channels["overseas"]),
+        )
+        return spark.createDataFrame([row], schema).select(F.lit(run_id).alias("run_id"), run_ts.alias("run_ts"), "*")
+
+
 def catalog_summary(catalog: DataFrame, group: str = "category") -> DataFrame:
     """Channel lines and groups of a catalog."""
     per_group = catalog.groupBy(group).agg(F.count("*").alias("n"))

@@ -118,7 +118,8 @@ def curate(
     ``probes`` holds the newest evidence per ``fp`` (see ``evidence.latest_probe``), with ``speed``;
     ``second_probes`` has ``fp`` and ``status`` of the direct check. Links validated within the time to live are published
     again whatever the evidence; only links that pass all gates of this run are stamped in the cache, after the last
-    gate. The recorded duration is that of judging and naming the links (with ``share``; else of planning).
+    gate. With ``share`` the numbers of the run are counted while its tables are written, and its duration is that of all of
+    this; else they are computed when asked for, and the duration is that of planning.
     """
     began = time.monotonic()
     raw = admission.union_sources(sources)
@@ -148,13 +149,17 @@ def curate(
         judged = evidence.evaluate_second_probe(judged).withColumn("passed", F.col("passed") & F.col("direct_ok"))
         judged = judged.drop("status", "direct_ok").withColumnRenamed("_first", "status")
     judged = judged.withColumns({"quality": quality, "seq": admission.seq()})
-    judged = materialize(judged) if opts.share else judged
+    counters = runs.RunCounters([*opts.category_order, *opts.category_rules, *rules.CATEGORY_ORDER])
+    judged = materialize(counters.judged(judged, slow)) if opts.share else judged
     failed = judged.filter("NOT alive")
     channels = name_channels(judged.filter("passed OR recent"), opts)
-    channels = materialize(channels) if opts.share else channels
+    channels = materialize(counters.channels(channels)) if opts.share else channels
     catalog = publishable(channels, opts)
-    catalog = materialize(catalog) if opts.share else catalog
-    stats = runs.run_record(judged, channels, catalog, run_id, now, slow, time.monotonic() - began)
+    if opts.share:
+        catalog = materialize(counters.catalog(catalog))
+        stats = counters.record(raw.sparkSession, run_id, now, time.monotonic() - began)
+    else:
+        stats = runs.run_record(judged, channels, catalog, run_id, now, slow, time.monotonic() - began)
     old = cache if cache is not None else accepted.select("fp", now.alias("validated_at")).limit(0)
     proved = channels.filter("passed")
     return Result(catalog, failed, channels, stats, publish.updated_cache(proved, old, now, opts.ttl_hours))

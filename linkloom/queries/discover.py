@@ -11,13 +11,7 @@ from linkloom.queries import sql as q
 from linkloom.queries.carriers import ctes, table
 from linkloom.queries.registry import query
 
-_PATTERNS = [
-    r"https?://[^\s<>\"'']+\.(?:m3u|m3u8|txt)(?:\?[^\s<>\"'']*)?",
-    r"https?://[^\s<>\"'']+(?:/live|/stream|/tv|/playlist|/iptv|/m3u|/channels?|/feed)(?:[^\s<>\"'']*)?",
-    r"https?://[^\s<>\"'']+:\d{4,5}(?:/[^\s<>\"'']*)?",
-    r"https?://[^\s<>\"'']+\.(?:php|xml)(?:\?[^\s<>\"'']*)?",
-    r"https?://[^\s<>\"'']+(?:\.cos\.[^\s<>\"'']+|\.oss\.[^\s<>\"'']+|\.s3[^\s<>\"'']+)(?:/[^\s<>\"'']*)?",
-]
+_PATTERNS = [p.replace("'", "''") for p in rules.URL_PATTERNS]
 _FOUND = " UNION ALL ".join(
     f"SELECT doc_id, unnest(regexp_extract_all(content, '(?i){p}')) AS raw FROM docs" for p in _PATTERNS
 )
@@ -36,8 +30,7 @@ def page_links(spark, sf):
 
 
 _LEGACY = " UNION ".join(
-    f"SELECT doc_id, unnest(regexp_extract_all(content, '(?i)https?://[^\\s<>\"'']+{p}[^\\s<>\"'']*')) AS link FROM docs"
-    for p in (r"\.(?:m3u|m3u8|txt|php\?|\?type=m3u)", "/live", "/stream", "/tv", r":\d{4,5}")
+    "SELECT doc_id, unnest(regexp_extract_all(content, '(?i){}')) AS link FROM docs".format(p.replace("'", "''")) for p in rules.LEGACY_URL_PATTERNS
 )
 
 
@@ -117,15 +110,19 @@ def mirror_first_success(spark, sf):
     return discovery.first_success(tried, table(spark, sf, "fetched"))
 
 
-@query("discover_run", f"""{ctes('docs')}, all_docs AS (SELECT * FROM docs), good AS (SELECT * FROM docs WHERE status = 200 AND content NOT LIKE '<html>%'),
+DISCOVERED = f"""good AS (SELECT * FROM docs WHERE status = 200 AND content NOT LIKE '<html>%'),
 {LINKS}, {LINES}, seeds AS (SELECT url, doc_id AS seed_rank, split_part({q.netloc('url')}, ':', 1) AS domain FROM docs),
 sd AS (SELECT s.seed_rank, s.domain, g.doc_id FROM seeds s JOIN good g ON s.url = g.url),
 direct AS (SELECT seed_rank, domain, link FROM sd JOIN line_urls USING (doc_id)),
 subs AS (SELECT seed_rank, domain, link FROM sd JOIN links USING (doc_id) WHERE link NOT IN (SELECT link FROM direct)
   AND doc_id IN (SELECT doc_id FROM line_urls)),
 below AS (SELECT s.seed_rank, s.domain, u.link FROM subs s JOIN good d ON d.url = s.link JOIN alone u ON u.doc_id = d.doc_id WHERE {q.domain_score('u.link')} > 0),
-merged AS (SELECT link, arg_max(domain, seed_rank) AS domain FROM (SELECT * FROM direct UNION ALL SELECT * FROM below) GROUP BY link)
-SELECT link AS url, domain, CASE WHEN regexp_matches({q.stem('link')}, '^[0-9]+$') OR length({q.stem('link')}) <= 3 THEN domain ELSE concat({q.stem('link')}, ' (', domain, ')') END AS name FROM merged""")
+merged AS (SELECT link, arg_max(domain, seed_rank) AS domain FROM (SELECT * FROM direct UNION ALL SELECT * FROM below) GROUP BY link)"""
+_STEM = q.stem('link')
+DISCOVERED_NAME = f"CASE WHEN regexp_matches({_STEM}, '^[0-9]+$') OR length({_STEM}) <= 3 THEN domain ELSE concat({_STEM}, ' (', domain, ')') END"
+
+
+@query("discover_run", f"{ctes('docs')}, {DISCOVERED} SELECT link AS url, domain, {DISCOVERED_NAME} AS name FROM merged")
 def discover_run(spark, sf):
     docs = table(spark, sf, "docs")
     return discover(docs.select("url", F.col("doc_id").alias("seed_rank")), docs)

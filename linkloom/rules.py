@@ -106,6 +106,16 @@ LEGACY_URL_PATTERNS = [
     r"https?://[^\s<>\"']+:\d{4,5}[^\s<>\"']*",
 ]
 
+# Files on code hosting, and where else they may be fetched.
+HOSTED_RAW = r"^https://raw\.githubusercontent\.com/([^/]+)/([^/]+)/([^/]+)/(.+)"
+HOSTED_PAGE = r"^https://github\.com/([^/]+)/([^/]+)/(?:raw|blob)/([^/]+)/(.+)"
+HOSTED_ORIGIN = "https://raw.githubusercontent.com/$1/$2/$3/$4"
+MIRRORS = [
+    "https://testingcf.jsdelivr.net/gh/$1/$2@$3/$4",
+    "https://mirror.ghproxy.com/{origin}",
+    "https://gh-proxy.com/{origin}",
+]
+
 ANTIBOT_MARKS = [
     "<!doctype", "<html", '{"code"', "<script", "cloudfront", "accessdenied", "rate limit",
 ]
