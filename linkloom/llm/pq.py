@@ -86,7 +86,8 @@ def _centres(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.
 
 def fit(sample: np.ndarray, n_lists: int, cosine: float, miss: float = 1e-3, seed: int = 0) -> Index:
     """Fit on unit vectors. The least margin of the probes comes from partners of the sample's vectors at exactly the
-    threshold cosine, in random directions; all but ``miss`` of them must be within it. ``widened`` adds real neighbours."""
+    threshold cosine, in random directions; all but ``miss`` of these pairs must be found by either end. ``widened`` adds real
+    neighbours."""
     rng = np.random.default_rng(seed)
     centres = _centres(sample, n_lists, 8, rng)
     near = _squared(sample, centres).argmin(1)
@@ -99,9 +100,10 @@ def fit(sample: np.ndarray, n_lists: int, cosine: float, miss: float = 1e-3, see
     side -= (side * q).sum(1, keepdims=True) * q
     side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
     partner = cosine * q + np.sqrt(1 - cosine**2) * side
-    d = _squared(q, centres)
-    home = _squared(partner, centres).argmin(1)
-    beyond = d[np.arange(len(q)), home] - d.min(1)
+    at = np.arange(len(q))
+    d, e = _squared(q, centres), _squared(partner, centres)
+    # Either end may find the other, as in ``widened``.
+    beyond = np.minimum(d[at, e.argmin(1)] - d.min(1), e[at, d.argmin(1)] - e.min(1))
     return Index(centres, books, float(np.quantile(beyond, 1 - miss)) + 1e-6)
 
 
