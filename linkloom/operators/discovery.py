@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom import rules
 from linkloom.functions import urls
-from linkloom.functions.text import after_comma, has_comma, let, lines, strip
+from linkloom.functions.text import after_comma, any_of, has_comma, let, lines, strip
 from linkloom.operators.filters import filter_antibot
 from linkloom.scale import first_rows, materialize, top_per_key
 
@@ -35,19 +35,24 @@ def found_links(
     return F.filter(F.array_distinct(F.transform(found, urls.clean_link)), urls.is_playlist)
 
 
-def found_line_urls(content: Column, pairs: bool = True) -> Column:
-    """Array of the distinct links on lines of their own (playlist-like) or, with ``pairs``, after a name and a comma (any)."""
+def line_links(content: Column) -> Column:
+    """Array of the links on lines: (``link``, ``alone``), the line being the link (playlist-like) or the link following a name and a
+    comma (any). One pass over the text."""
 
     def links(line):
         alone = let(F.when(line.rlike("^https?://"), line), lambda u: F.when(urls.is_playlist(u), u))
-        if not pairs:
-            return F.array(alone)
-        pair = F.when(has_comma(line), strip(after_comma(line)))
-        return F.array(let(pair, lambda u: F.when(u.startswith("http"), u)), alone)
+        pair = let(F.when(has_comma(line), strip(after_comma(line))), lambda u: F.when(u.startswith("http"), u))
+        return F.array(F.struct(pair.alias("link"), F.lit(False).alias("alone")), F.struct(alone.alias("link"), F.lit(True).alias("alone")))
 
     candidates = F.transform(F.filter(lines(content), lambda x: F.contains(x, F.lit("http"))), strip)
     kept = F.filter(candidates, lambda x: ~x.startswith("#"))
-    return F.array_distinct(F.array_compact(F.flatten(F.transform(kept, links))))
+    return F.filter(F.flatten(F.transform(kept, links)), lambda x: x["link"].isNotNull())
+
+
+def found_line_urls(found: Column, pairs: bool = True) -> Column:
+    """The distinct links of ``line_links``: those alone on their line or, with ``pairs``, all."""
+    kept = found if pairs else F.filter(found, lambda x: x["alone"])
+    return F.array_distinct(F.transform(kept, lambda x: x["link"]))
 
 
 def extract_links(
@@ -64,7 +69,7 @@ def extract_links(
 
 def extract_line_urls(docs: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:
     """Links that stand on their own line (playlist-like only) or after a name and a comma (any)."""
-    return docs.select(*keys, F.explode(found_line_urls(F.col("content"))).alias("link"))
+    return docs.select(*keys, F.explode(found_line_urls(line_links(F.col("content")))).alias("link"))
 
 
 def rank_by_domain_score(
@@ -96,6 +101,7 @@ def first_success(candidates: DataFrame, docs: DataFrame, keys: Sequence[str] =
 def expand_frontier(
     seeds: DataFrame, docs: DataFrame, cap: int | None = None, min_score: int = 1,
     allow: Sequence[str] = tuple(rules.ALLOW_DOMAINS), deny: Sequence[str] = tuple(rules.DENY_DOMAINS),
+    suffixes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Links reachable from seed feeds directly or through one sub-playlist: ``link``, ``domain``.
 
@@ -103,28 +109,30 @@ def expand_frontier(
     are followed further, and of a sub-playlist only lines that are playlist-like links themselves count. A link
     found by several seeds keeps the domain of the last one. A sub-playlist counts once however many seeds link to
     it: the winning seed is chosen before its links are followed. ``cap`` limits the sub-playlists of a seed, as
-    live fetching would; stored documents need no limit.
+    live fetching would; stored documents need no limit. With ``suffixes`` only sub-playlists whose link ends in one are opened, as
+    the earlier crawl did (``rules.LEGACY_OPENED``).
     """
     # Texts are read once, where they lie: only the links found in them travel to the joins.
     content = F.col("content")
-    read = docs.select(
-        "url", found_line_urls(content).alias("_lines"), found_line_urls(content, pairs=False).alias("_alone"),
-        found_links(content).alias("_links"),
+    read = materialize(docs.select("url", line_links(content).alias("_found"), found_links(content).alias("_links")))
+    opened = seeds.join(read, "url").filter(F.size("_found") > 0).select(
+        "seed_rank", "domain", found_line_urls(F.col("_found")).alias("_lines"), "_links"
     )
-    read = materialize(read)
-    opened = seeds.join(read, "url").filter(F.size("_lines") > 0).select("seed_rank", "domain", "_lines", "_links")
 
     def rows(df, column):
         return df.select("seed_rank", "domain", F.explode(column).alias("link"))
 
     direct = rows(opened, "_lines")
     subs = rows(opened, "_links").join(direct.select("link").distinct(), "link", "left_anti")
+    if suffixes is not None:
+        subs = subs.filter(F.col("link").rlike(any_of(suffixes) + "$"))
     if cap is not None:
         subs = top_per_key(subs, ["seed_rank"], [F.asc("link")], cap)
     last = F.max_by("domain", "seed_rank").alias("domain"), F.max("seed_rank").alias("seed_rank")
     frontier = subs.groupBy(F.col("link").alias("url")).agg(*last)
     score = urls.domain_score(F.col("link"), allow, deny)
-    below = rows(frontier.join(read, "url"), "_alone").filter(score >= min_score)
+    reached = frontier.join(read.select("url", found_line_urls(F.col("_found"), pairs=False).alias("_alone")), "url")
+    below = rows(reached, "_alone").filter(score >= min_score)
     return merge_discovered(direct.unionByName(below))
 
 

@@ -73,6 +73,12 @@ def frontier_depth1(spark, sf):
     return discovery.expand_frontier(spark.sql(_SEEDS, docs=docs), docs)
 
 
+@query("frontier_legacy", f"{ctes('docs')}, {FRONTIER.replace('FROM subs s JOIN', 'FROM (SELECT * FROM subs WHERE regexp_matches(link, ' + chr(39) + '[.](m3u|m3u8|txt)$' + chr(39) + ')) s JOIN')} SELECT * FROM merged")
+def frontier_legacy(spark, sf):
+    docs = table(spark, sf, "docs")
+    return discovery.expand_frontier(spark.sql(_SEEDS, docs=docs), docs, suffixes=rules.LEGACY_OPENED)
+
+
 _MERGE = "SELECT concat('http://h', l_partkey, '.example.com/') AS link, l_suppkey AS seed, concat('s', l_suppkey) AS domain FROM {lineitem}"
 
 

@@ -116,6 +116,9 @@ MIRRORS = [
     "https://gh-proxy.com/{origin}",
 ]
 
+# Ends of the links that the earlier crawl opened.
+LEGACY_OPENED = [".m3u", ".m3u8", ".txt"]
+
 ANTIBOT_MARKS = [
     "<!doctype", "<html", '{"code"', "<script", "cloudfront", "accessdenied", "rate limit",
 ]

@@ -49,16 +49,20 @@ def materialize(df: DataFrame) -> DataFrame:
 _RANGES = 256
 
 
-def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
-    """Add ``_blk``, growing with the order column, so that a block has about ``block`` rows however sparse the order is.
+def _blocked(df: DataFrame, order: str, block: int) -> tuple[DataFrame, bool]:
+    """Add ``_blk``, growing with the order column, so that a block has about ``block`` rows however sparse the order is; and tell
+    whether there are several.
 
-    Quantiles cut the order into ranges; the rows counted in a range tell into how many equal stretches it is cut.
+    The order column is read once for its quantiles, which cut it into ranges; the rows counted in a range tell into how many equal
+    stretches it is cut. A table of several blocks is written once, as it is read several times from here on; one of a single
+    block needs none of this, with the same results.
     """
     at = F.col(order)
     shares = F.array(*[F.lit(i / _RANGES) for i in range(1, _RANGES)])
     n, bounds = df.agg(F.count(at), F.percentile_approx(at, shares, 10_000)).first()
     if n <= block:
-        return df.withColumn("_blk", F.lit(0).cast("bigint"))
+        return df.withColumn("_blk", F.lit(0).cast("bigint")), False
+    df = materialize(df)
     bounds = sorted(set(bounds))
     ranged = range_of(at, bounds)
     found = df.filter(at.isNotNull()).groupBy(ranged.alias("r")).agg(F.count("*"), F.min(at), F.max(at)).collect()
@@ -72,7 +76,7 @@ def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
         return F.element_at(_longs([values.get(i, 1) for i in range(len(bounds) + 1)]), ranged + 1)
 
     inside = F.try_divide(at - of(low), of(step))
-    return df.withColumn("_blk", of(first) + F.floor(inside))
+    return df.withColumn("_blk", of(first) + F.floor(inside)), True
 
 
 def _longs(values: Sequence[int]) -> Column:
@@ -86,17 +90,17 @@ def range_of(value: Column, bounds: Sequence[int]) -> Column:
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * 16 + F.size(F.filter(fine, lambda b: b <= value)))
 
 
-def _scan(rows: DataFrame, seeds: DataFrame, order: str, keys: Sequence[str], out: dict[str, Column], end: int | None):
-    """Window each block, started by its seed row, and drop the seeds again.
+def _scan(rows: DataFrame, seeds: DataFrame | None, order: str, keys: Sequence[str], out: dict[str, Column], end: int | None):
+    """Window each block, started by its seed row if there are any, and drop the seeds again.
 
     Seeds travel with the rows through the one shuffle the window needs, so nothing is joined.
     """
     w = Window.partitionBy(*keys, "_blk").orderBy(F.col("_seed").desc(), F.col(order))
     if end is not None:
         w = w.rowsBetween(Window.unboundedPreceding, end)
-    both = rows.withColumn("_seed", F.lit(False)).unionByName(
-        seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
-    )
+    both = rows.withColumn("_seed", F.lit(False))
+    if seeds is not None:
+        both = both.unionByName(seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True)
     return both.withColumns({n: c.over(w) for n, c in out.items()}).filter(~F.col("_seed")).drop("_blk", "_seed")
 
 
@@ -104,7 +108,8 @@ def lag_in_order(
     df: DataFrame, order: str, value: Column, name: str, keys: Sequence[str] = (), block: int = BLOCK
 ) -> DataFrame:
     """Add ``name``: ``value`` of the previous row of the same keys, NULL on the first row."""
-    rows = _blocked(df, order, block).withColumn("_val", F.struct(value.alias("v")))
+    rows, several = _blocked(df, order, block)
+    rows = rows.withColumn("_val", F.struct(value.alias("v")))
     across = Window.partitionBy(*keys).orderBy("_blk")
     seeds = (
         rows.groupBy(*keys, "_blk")
@@ -112,7 +117,7 @@ def lag_in_order(
         .withColumn("_val", F.lag("_val").over(across))
         .filter(F.col("_val").isNotNull())
     )
-    out = _scan(rows, seeds, order, keys, {"_lagged": F.lag("_val")}, None)
+    out = _scan(rows, seeds if several else None, order, keys, {"_lagged": F.lag("_val")}, None)
     return out.withColumn(name, F.col("_lagged.v")).drop("_val", "_lagged")
 
 
@@ -124,7 +129,8 @@ def fill_in_order(
 
     The row itself counts unless ``exclusive``.
     """
-    rows = _blocked(df, order, block).withColumn("_val", value)
+    rows, several = _blocked(df, order, block)
+    rows = rows.withColumn("_val", value)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     at = F.when(F.col("_val").isNotNull(), F.col(order))
     seeds = (
@@ -133,7 +139,7 @@ def fill_in_order(
         .withColumn("_val", F.last("_val", ignorenulls=True).over(before))
         .filter(F.col("_val").isNotNull())
     )
-    out = _scan(rows, seeds, order, keys, {name: F.last("_val", ignorenulls=True)}, -1 if exclusive else 0)
+    out = _scan(rows, seeds if several else None, order, keys, {name: F.last("_val", ignorenulls=True)}, -1 if exclusive else 0)
     return out.drop("_val")
 
 
@@ -142,11 +148,12 @@ def running_sums(
 ) -> DataFrame:
     """Add running totals (first row to current row) of BIGINT expressions."""
     inputs = {n: f"_in_{n}" for n in sums}
-    rows = _blocked(df, order, block).withColumns({inputs[n]: c.cast("bigint") for n, c in sums.items()})
+    rows, several = _blocked(df, order, block)
+    rows = rows.withColumns({inputs[n]: c.cast("bigint") for n, c in sums.items()})
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     seeds = rows.groupBy(*keys, "_blk").agg(*[F.sum(i).alias(i) for i in inputs.values()])
     seeds = seeds.select(*keys, "_blk", *[F.sum(i).over(before).alias(i) for i in inputs.values()])
-    out = _scan(rows, seeds, order, keys, {n: F.sum(i) for n, i in inputs.items()}, 0)
+    out = _scan(rows, seeds if several else None, order, keys, {n: F.sum(i) for n, i in inputs.items()}, 0)
     return out.drop(*inputs.values())
 
 
