@@ -20,6 +20,8 @@ SLICES = 4
 #: Rows of a block; blocks of queries and candidates meet pairwise, each pair in one task.
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 16384
+#: Bytes of list scores that a task holds at once: it goes through its queries in groups of so many.
+SCORE_BYTES = 64 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -50,6 +52,12 @@ def _lists(q: np.ndarray, x: np.ndarray, slices: int) -> list[np.ndarray]:
     return [_exact(q[:, c], x[:, c]) for c in np.array_split(np.arange(q.shape[1]), min(slices, q.shape[1]))]
 
 
+def _groups(n_queries: int, n_candidates: int, slices: int) -> list[slice]:
+    """Queries whose lists of scores fit into ``SCORE_BYTES`` together."""
+    step = max(1, SCORE_BYTES // (8 * max(n_candidates, 1) * slices))
+    return [slice(i, i + step) for i in range(0, n_queries, step)]
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, ties to the smaller id; exact also where many tie at the k-th."""
     if len(score) > 4 * k:
@@ -92,17 +100,20 @@ def top_k(
         if a.empty or b.empty:
             return _nothing("query_id", "id", "score", "floor")
         ids, own = b["id"].to_numpy(), a["id"].to_numpy()
-        lists = _lists(_matrix(a["v"]), _matrix(b["v"]), slices)
-        total = sum(lists)
+        q, x = _matrix(a["v"]), _matrix(b["v"])
         out = []
-        for i in range(len(own)):
-            other = np.flatnonzero(ids != own[i])
-            if not len(other):
-                continue
-            seen = np.unique(np.concatenate([other[_best(p[i][other], ids[other], k)] for p in lists]))
-            seen = seen[_best(total[i][seen], ids[seen], k)]
-            floors = [float(p[i].min()) for p in lists]
-            out.append(pd.DataFrame({"query_id": own[i], "id": ids[seen], "score": total[i][seen].astype(np.int64), "floor": [floors] * len(seen)}))
+        for part in _groups(len(own), len(ids), slices):
+            lists = _lists(q[part], x, slices)
+            for i, one in enumerate(own[part]):
+                other = np.flatnonzero(ids != one)
+                if not len(other):
+                    continue
+                # Only the first entries of the lists get their whole scores.
+                seen = np.unique(np.concatenate([other[_best(p[i][other], ids[other], k)] for p in lists]))
+                score = _exact(q[part][i:i + 1], x[seen])[0]
+                best = _best(score, ids[seen], k)
+                floors = [float(p[i].min()) for p in lists]
+                out.append(pd.DataFrame({"query_id": one, "id": ids[seen[best]], "score": score[best].astype(np.int64), "floor": [floors] * len(best)}))
         return pd.concat(out) if out else _nothing("query_id", "id", "score", "floor")
 
     groups = left.groupBy(pair).cogroup(right.groupBy(pair))
@@ -121,23 +132,24 @@ def top_k(
             return _nothing("query_id", "id", "score")
         ids, own = b["id"].to_numpy(), a["id"].to_numpy()
         q, x = _matrix(a["v"]), _matrix(b["v"])
-        lists = _lists(q, x, slices)
         out = []
-        for i, (cut, low) in enumerate(zip(a["cutoff"], a["floors"])):
-            enough = ids != own[i]
-            if not pd.isna(cut):
-                low = np.asarray(low, float)
-                share = (float(cut) - low.sum()) / len(low)  # what each list must give above its least score
-                above = np.zeros(len(ids), bool)
-                for p, m in zip(lists, low):
-                    above |= p[i] >= m + share
-                enough &= above
-            at = np.flatnonzero(enough)
-            if not len(at):
-                continue
-            score = _exact(q[i:i + 1], x[at])[0]
-            best = _best(score, ids[at], k)
-            out.append(pd.DataFrame({"query_id": own[i], "id": ids[at][best], "score": score[best].astype(np.int64)}))
+        for part in _groups(len(own), len(ids), slices):
+            lists = _lists(q[part], x, slices)
+            for i, (one, cut, low) in enumerate(zip(own[part], a["cutoff"].iloc[part], a["floors"].iloc[part])):
+                enough = ids != one
+                if not pd.isna(cut):
+                    low = np.asarray(low, float)
+                    share = (float(cut) - low.sum()) / len(low)  # what some list must give above its least score
+                    above = np.zeros(len(ids), bool)
+                    for p, m in zip(lists, low):
+                        above |= p[i] >= m + share
+                    enough &= above
+                at = np.flatnonzero(enough)
+                if not len(at):
+                    continue
+                score = _exact(q[part][i:i + 1], x[at])[0]
+                best = _best(score, ids[at], k)
+                out.append(pd.DataFrame({"query_id": one, "id": ids[at][best], "score": score[best].astype(np.int64)}))
         return pd.concat(out) if out else _nothing("query_id", "id", "score")
 
     asked = queries.join(known, "id").withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))))

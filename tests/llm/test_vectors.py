@@ -139,3 +139,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 260)] + [(300, 300), (None, 4), (2, 1), (1, 2)]
     out = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert out == {**{i: 0 for i in range(101)}, **{i: 200 for i in range(200, 260)}}
+
+
+def test_scores_held_at_once_are_bounded():
+    for n_q, n_x, slices in ((2048, 16384, 4), (5, 0, 4), (1, 10**9, 1), (0, 10, 2)):
+        parts = topk._groups(n_q, n_x, slices)
+        assert [i for p in parts for i in range(*p.indices(n_q))] == list(range(n_q))
+        assert all(len(range(*p.indices(n_q))) == 1 or len(range(*p.indices(n_q))) * n_x * slices * 8 <= topk.SCORE_BYTES for p in parts)
