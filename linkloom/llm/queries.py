@@ -94,12 +94,14 @@ def op2(spark, sf):
 def quoted_mail(conversations):
     """Messages as mail programs send them: each turn below a quotation of the turn before, with what that one quotes.
 
-    Ids are conv_id * 2^20 + turn. One turn of each number is quoted, should a conversation hold several.
+    Ids are conv_id * 2^20 + turn; turns that are NULL or do not fit have the id NULL and are quoted by none. One turn of each
+    number is quoted, should a conversation hold several.
     """
-    ids = conversations.filter("turn between 0 and 1048575").select(
-        F.col("conv_id"), F.col("turn"), (F.col("conv_id") * (1 << 20) + F.col("turn")).alias("message_id"), F.coalesce("text", F.lit("")).alias("text")
+    ids = conversations.select(
+        F.col("conv_id"), F.col("turn"), F.when(F.col("turn").between(0, (1 << 20) - 1), F.col("conv_id") * (1 << 20) + F.col("turn")).alias("message_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    before = ids.groupBy("conv_id", "turn").agg(F.min("text").alias("said")).withColumns({"_conv": F.col("conv_id"), "_turn": F.col("turn") + 1}).drop("conv_id", "turn")
+    before = ids.filter("message_id is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("said")).withColumns({"_conv": F.col("conv_id"), "_turn": F.col("turn") + 1}).drop("conv_id", "turn")
     second = before.select("_conv", (F.col("_turn") + 1).alias("_turn"), F.col("said").alias("said2"))
 
     def marked(c, marks):

@@ -17,7 +17,7 @@ from linkloom.llm.common import map_rows, saved
 from linkloom.scale import rank_in_order
 
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
-_INTRODUCES = re.compile(r".{0,200}\b(?:wrote|writes|said|escribió|schrieb|a écrit)\s*:\s*$", re.IGNORECASE)
+_INTRODUCES = re.compile(r".*\b(?:wrote|writes|said|escribió|schrieb|a écrit)\s*:\s*$", re.IGNORECASE)
 
 
 def levels(text: str | None) -> list[tuple[int, str]]:

@@ -40,3 +40,19 @@ def test_repeats_long_chains_and_empty_tables(spark):
     depth = {r[0]: r[4] for r in out}
     assert all(depth[i] == i for i in range(40)) and depth[51] == 1
     assert link(spark, rows[:0]) == []
+
+
+def test_turns_without_an_id_are_kept(spark):
+    from linkloom.llm.queries import quoted_mail
+
+    rows = [(1, 0, "first"), (1, 1, "second"), (1, None, "no turn"), (1, -1, "before"), (1, 1 << 20, "too large"), (None, 1, "no conversation")]
+    mail = quoted_mail(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string"))
+    out = quotes.link(mail).collect()
+    assert sorted(r["own"] for r in out) == sorted(x for _, _, x in rows)
+    assert sorted(r["message_id"] for r in out if r["message_id"] is not None) == [1 << 20, (1 << 20) + 1]
+    assert [r["parent_id"] for r in out if r["own"] == "second"] == [1 << 20]
+
+
+def test_lines_that_introduce_a_quotation_have_any_length():
+    long = "On Monday " + "somebody " * 100 + "wrote:"
+    assert quotes.passages(f"{long}\n> one\nbye") == [(1, "one"), (0, "bye")]
