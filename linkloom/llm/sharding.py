@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import fraction_hash, saved
+from linkloom.scale import _longs, range_of
 
 #: Rows of one subdivided range at most, about: they are ordered in one task.
 RANGE_ROWS = 200_000
@@ -23,18 +24,6 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
-def _longs(values: list[int]) -> Column:
-    return F.expr("array(" + ", ".join(f"cast('{v}' as bigint)" for v in values) + ")")
-
-
-def _place(splitters: list[int]) -> Column:
-    """How many splitters are at most the key: a search over every 32nd, then over the 32 from there."""
-    coarse = _longs([splitters[i] for i in range(0, len(splitters), 32)])
-    block = F.size(F.filter(coarse, lambda s: s <= F.col("k1")))
-    fine = F.slice(_longs(splitters), F.greatest((block - 1) * 32 + 1, F.lit(1)), F.lit(32))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * 32 + F.size(F.filter(fine, lambda s: s <= F.col("k1"))))
-
-
 def _splitters(rows: DataFrame, n_ranges: int, total: int) -> list[int]:
     """Quantile boundaries of a size-weighted sample of about ``SAMPLE_PER_RANGE * n_ranges`` keys.
 
@@ -69,7 +58,7 @@ def place(
     n, total = thin.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_ranges = int(min(MOST_RANGES, max(8 * n_shards, n // RANGE_ROWS)))
     splitters = _splitters(thin, n_ranges, max(total, 1)) if n else []
-    ranged = thin.withColumn("range", _place(splitters) if splitters else F.lit(0))
+    ranged = thin.withColumn("range", range_of(F.col("k1"), splitters) if splitters else F.lit(0))
 
     # One row per range, at most 2 * MOST_RANGES + 1 of them.
     filled = {r["range"]: r for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
@@ -119,8 +108,7 @@ def place(
 
 
 def write_shards(rows: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id") -> None:
-    """Write whole rows (ids must be unique) as one Parquet folder per shard; ``slot`` is kept as a column."""
-    where = placed.select(id_col, F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows.join(where, id_col).repartition("_shard", F.expr("_slot div 100000")).sortWithinPartitions("_shard", "_slot").write.partitionBy(
-        "_shard"
-    ).parquet(folder)
+    """Write whole rows (ids must be unique; one may be NULL) as one Parquet folder per shard; ``slot`` is kept as a column."""
+    where = placed.select(F.col(id_col).alias("_placed"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    joined = rows.join(where, F.col(id_col).eqNullSafe(F.col("_placed"))).drop("_placed")
+    joined.repartition("_shard", F.expr("_slot div 100000")).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(folder)
