@@ -190,17 +190,21 @@ def rank_by(df: DataFrame, order: Sequence[Column], name: str, limit: int | None
     return numbered if limit is None else numbered.filter(F.col(name) <= limit)
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, block: int = BLOCK) -> DataFrame:
     """Add ``name``: 1-based position of each row among those of its keys.
 
-    The whole table is sorted by keys and order, so that a hot key is spread over many sorted partitions; a key's
-    positions are then counted from its first row.
+    Keys of up to ``block`` rows are ranked in a window each. Only the rows of hotter keys are sorted by keys and order, so that
+    each of these is spread over many sorted partitions; its positions are then counted from its first row.
     """
-    ranked = rank_by(df, [*[F.col(k) for k in keys], *order], "_at")
+    hot = materialize(df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).drop("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    if hot.isEmpty():
+        return df.withColumn(name, place)
+    ranked = rank_by(df.join(hot, same, "left_semi"), [*[F.col(k) for k in keys], *order], "_at")
     first = ranked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_at").alias("_first"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    joined = ranked.join(first, reduce(lambda a, b: a & b, same))
-    return joined.withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *[f"_k_{k}" for k in keys])
+    counted = ranked.join(first, same).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *[f"_k_{k}" for k in keys])
+    return df.join(hot, same, "left_anti").withColumn(name, place).unionByName(counted)
 
 
 #: One row in so many takes part in finding a cutoff.

@@ -123,3 +123,17 @@ def test_first_per_key(spark, monkeypatch, early):
     assert got == want
     empty = quotas.filter("false")
     assert scale.first_per_key(df, ["k"], [F.col("o")], empty, "q", "n").count() == 0
+
+
+@pytest.mark.parametrize("block", [10_000, 100])
+def test_rank_within_hot_and_other_keys(spark, block):
+    df = spark.range(0, 2000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 90).cast("string")).alias("k"),
+        ((F.col("id") * 7919) % 2003).alias("o"),
+    )
+    got = sorted((str(r.k), r.n, r.o) for r in scale.rank_within(df, ["k"], [F.desc("o")], "n", block).collect())
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.k, []).append(r.o)
+    assert got == sorted((str(k), i + 1, o) for k, v in by.items() for i, o in enumerate(sorted(v, reverse=True)))
+    assert scale.rank_within(df.filter("false"), ["k"], [F.desc("o")], "n", block).count() == 0
