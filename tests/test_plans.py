@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls
-from linkloom.operators import admission
+from linkloom.operators import admission, runs
 from linkloom.plans.curate import PUBLISHED, Options, curate, name_channels, options_from_rules
 from linkloom.plans.watch import watch
 from linkloom.sources.catalogs import explode_lines, read_catalog, read_docs
@@ -18,6 +19,10 @@ def probes_of(spark, rows):
     return df.select(urls.fingerprint(F.col("url")).alias("fp"), "status", "bytes", "content_length", "speed", F.lit("").alias("content_type"), head.alias("head"))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def lines_of(spark, lines):
     return spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
 
@@ -44,6 +49,8 @@ def test_curate_end_to_end(spark):
     assert (stats.total, stats.valid, stats.failed, stats.filtered, stats.written) == (12, 9, 1, 1, 8)
     assert stats.by_category == {"港澳台频": 1, "央视频道": 5, "卫视频道": 2}
     assert tuple(stats.by_overseas) == (8, 1) and abs(stats.success_rate - 75.0) < 1e-9
+    # Counted while written: no aggregate, exchange or subquery over the tables of the run.
+    assert not any(x in plan_of(result.stats) for x in ("Aggregate", "Exchange", "Subquery"))
     assert result.cache.count() == 9
     capped = curate([lines], probes_of(spark, rows), now(), opts=Options(output_limit=3, share=False))
     assert [r.line_no for r in capped.catalog.orderBy("line_no").collect()] == [1, 2, 3]
@@ -141,3 +148,21 @@ def test_watch(spark):
     assert kept["http://h/c"] == ("kept", "ec") and set(kept) == {f"http://h/{x}" for x in "abcd"}
     again = watch(feeds, w.state, scan)
     assert tuple(again.summary.first()) == (0, "NO_CHANGES")
+
+
+def test_run_record_is_the_same_either_way(spark):
+    lines = lines_of(spark, ["CCTV-2,http://a/2", "CCTV1综合,http://a/1", "dead,http://a/dead", "slow,http://a/slow", "BBC,http://a/bbc"])
+    rows = [(f"http://a/{x}", 200, 900, 600_000, 1.0) for x in ("2", "1", "bbc")] + [("http://a/dead", 404, 900, 0, 1.0), ("http://a/slow", 200, 900, 0, 0.0)]
+    both = [curate([lines], probes_of(spark, rows), now(), opts=Options(share=share)).stats.drop("duration_s").first() for share in (True, False)]
+    assert both[0] == both[1] and both[0].valid == 3
+    none = curate([lines], probes_of(spark, rows).filter("false"), now()).stats.first()
+    assert (none.total, none.valid, none.written, none.by_category, none.success_rate) == (5, 0, 0, {}, 0.0)
+
+
+def test_counters_refuse_unannounced_categories(spark):
+    counters = runs.RunCounters(["x"])
+    df = spark.createDataFrame([("x", True, False), ("y", True, False)], "category string, alive boolean, overseas boolean")
+    for part in (counters.judged(df), counters.channels(df), counters.catalog(df)):
+        part.collect()
+    with pytest.raises(ValueError):
+        counters.record(spark, "r", now())
