@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import map_rows, saved
+from linkloom.llm.common import map_rows, map_texts, saved
 from linkloom.llm.graph import components
 
 BANDS = 26
@@ -144,7 +144,7 @@ def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("others") / BLOCK).cast("int").alias("other_blocks")
     )
     texts = _restricted(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = saved(map_rows(texts, "id bigint, s binary", _shingling(width)).filter(F.length("s") > 0), "minhash")
+    sets = saved(map_texts(texts, "id bigint, s binary", _shingling(width)).filter(F.length("s") > 0), "minhash")
     rows = saved(members.join(size, "family").join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep"), "minhash")
 
     def dealt(rows, own, blocks, other, other_blocks, salt):
@@ -195,6 +195,7 @@ def _shingling(width: int):
     def shingle(batches):
         for b in batches:
             yield {"id": b["id"], "s": [shingles(t, width).tobytes() for t in b["text"]]}
+        _hashes.clear()  # a worker may serve other tasks next
 
     return shingle
 
@@ -203,7 +204,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
     """Pairs (u, v) that link on their full sets; only the texts that occur in pairs are shingled again."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = _restricted(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), ids, "id", "left_semi")
-    sets = saved(map_rows(texts, "id bigint, s binary", _shingling(width)).filter(F.length("s") > 0), "minhash")
+    sets = saved(map_texts(texts, "id bigint, s binary", _shingling(width)).filter(F.length("s") > 0), "minhash")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"
     )
@@ -217,7 +218,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
                     out["v"].append(j)
             yield out
 
-    return saved(map_rows(both.select("a", "b", "sa", "sb"), "u bigint, v bigint", verify), "minhash")
+    return saved(map_texts(both.select("a", "b", "sa", "sb"), "u bigint, v bigint", verify, most_bytes=4 << 20), "minhash")
 
 
 def near_duplicates(
@@ -246,9 +247,10 @@ def near_duplicates(
                 out["h2"].append((whole >> 64) - 2**63)
                 out["sig"].append(signature(sets, n_hashes).tobytes() if len(sets) else None)
             yield out
+        _hashes.clear()
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = saved(map_rows(texts, "id bigint, n bigint, h1 bigint, h2 bigint, sig binary", sign), "minhash")
+    signed = saved(map_texts(texts, "id bigint, n bigint, h1 bigint, h2 bigint, sig binary", sign), "minhash")
     live = signed.filter("n > 0 and id is not null")
     # Equal sets have equal signatures, so any of them stands for all.
     equal = live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))

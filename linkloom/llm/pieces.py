@@ -20,7 +20,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import map_rows
+from linkloom.llm.common import map_texts
 
 SPACE = "\u2581"
 REPLACEMENT = "\ufffd"
@@ -64,7 +64,7 @@ def load(path: str) -> Vocabulary:
 class Coder:
     """Encodes and decodes with one vocabulary; its caches are bounded."""
 
-    CACHED = 250_000
+    CACHED = 100_000
     LONGEST_CACHED = 64
 
     def __init__(self, vocabulary: Vocabulary):
@@ -167,6 +167,12 @@ class Coder:
             ids = [i for k in ids for i in ((k,) if k >= 0 else [self.v.byte_ids[b] for b in chr(-1 - k).encode("utf-8", "replace")])]
         return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        """Empty the caches, as a worker may serve other tasks next."""
+        self.fits.clear()
+        self.packed.clear()
+        self.older.clear()
+
     def encode(self, text: str | None) -> bytes:
         """All ids of a text, begin and end included, as little-endian 32-bit integers. NULL counts as empty."""
         out = [struct.pack("<I", self.v.begin)]
@@ -230,9 +236,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         for b in batches:
             packed = [c.encode(t) for t in b["text"]]
             yield {"id": b["id"], "ids": packed, "n_tokens": [len(p) // 4 for p in packed]}
+        c.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_rows(rows, f"id {kind}, ids binary, n_tokens bigint", work).withColumnRenamed("id", id_col)
+    return map_texts(rows, f"id {kind}, ids binary, n_tokens bigint", work).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -262,6 +269,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
                 "id": b["id"], "ids": packed, "n_tokens": [len(p) // 4 for p in packed],
                 "decoded": [c.decode(p) for p in packed],
             }
+        c.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_rows(rows, f"id {kind}, ids binary, n_tokens bigint, decoded string", work).withColumnRenamed("id", id_col)
+    return map_texts(rows, f"id {kind}, ids binary, n_tokens bigint, decoded string", work).withColumnRenamed("id", id_col)

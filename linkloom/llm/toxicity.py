@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import held_out, labelled_sample, map_rows, saved
+from linkloom.llm.common import held_out, keep_rows, labelled_sample, map_rows, saved
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 LOOK_ALIKES = dict(zip(
@@ -302,16 +302,17 @@ def score(docs: DataFrame, lexicon: Lexicon, cut: float = 0.5, id_col: str = "do
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, cut: float = 0.5) -> DataFrame:
-    """The documents that score below ``cut``, with all their columns; one pass over the texts."""
-    lexicon = train(docs, labels, max_rows)
+    """The documents that score below ``cut``, with all their columns; one pass over the texts.
 
-    @F.pandas_udf("boolean")
-    def clean(text):
-        import pandas as pd
+    NULL and empty texts have the lowest score. Rows that repeat an id or a text are judged alike; an empty table stays empty.
+    Without toxic or without clean labels all documents stay.
+    """
+    lexicon = train(docs, labels, max_rows)
 
-        return pd.Series(lexicon.scores(np.array([lexicon.density(t) for t in text], dtype=float)) < cut)
+    def clean(texts):
+        return lexicon.scores(np.array([lexicon.density(t) for t in texts], dtype=float)) < cut
 
-    return docs.filter(clean("text"))
+    return keep_rows(docs, "text", clean)
 
 
 def scored_with_split(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
