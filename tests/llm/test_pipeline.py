@@ -54,3 +54,36 @@ def test_labelled_clean_documents_stay(spark, results):
     labels = table(spark, SF, "labels")
     clean = labels.filter("quality = 1 and toxic = 0").join(table(spark, SF, "documents"), "doc_id")
     assert results[1].join(clean.select("doc_id"), "doc_id", "left_semi").count() >= 0.95 * clean.count()
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def edge_documents(spark):
+    rows = [(i, f"plain words of document {i} that {i * 7} others hold " * 4, "en", f"s{i % 3}", 9) for i in range(40)]
+    rows += [(None, "a row without an id, but with words of its own", None, None, None), (100, None, None, None, None), (101, "", "", "", 0)]
+    rows += [(102, " \n", "x", "s1", 2), (103, "long " * 300_000, "en", "s1", 9), rows[3], rows[3], (104, rows[5][1], "en", "s2", 9)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_bear_nulls_repeats_and_long_texts(spark, place):
+    docs = edge_documents(spark)
+    name, stage = corpus_pipeline.STAGES[place]
+    out = stage(spark, docs, SF).collect()
+    ids_in, ids_out = [r["doc_id"] for r in docs.collect()], [r["doc_id"] for r in out]
+    assert set(ids_out) <= set(ids_in)
+    if name == "toxicity":
+        assert {None, 100, 101, 102, 103} <= set(ids_out)
+    if name == "near copies":
+        assert {None, 100, 101, 102, 103} <= set(ids_out) and ids_out.count(3) == 1 and 5 in ids_out and 104 not in ids_out
+    if name == "encoding":
+        assert sorted(map(str, ids_out)) == sorted(map(str, ids_in)) and {r["n_tokens"] for r in out if r["doc_id"] in (100, 101)} == {2}
+    if name != "encoding":
+        assert stage(spark, docs, SF).columns == docs.columns
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_bear_empty_tables(spark, place):
+    docs = edge_documents(spark).limit(0)
+    assert corpus_pipeline.STAGES[place][1](spark, docs, SF).count() == 0
