@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkloom import rules
 from linkloom.operators import evidence
 from linkloom.plans.curate import Options, curate
 from linkloom.plans.discover import discover
@@ -79,6 +80,12 @@ def _whole_run(spark, sf):
     return curate([files[0].unionByName(files[1]), found], probes, now(), cache, second, _ALL)
 
 
+# Known direct hosts and carrier addresses pass the second probe whatever its status.
+_SERVER = "lower(regexp_extract(url, '^(?:.*?://)?([^?/]*)', 1))"
+_KEYS = q.words(rules.DIRECT_KEYS)[1:-1]
+_THROUGH = f"""(regexp_matches({_SERVER}, '^({_KEYS})$|[.]({_KEYS})|^\\[({q.words(rules.DIRECT_IPV6_PREFIXES)[1:-1]})')
+  OR {" OR ".join(f"contains(url, '{m}')" for m in rules.CARRIER_IPV6_MARKS)})"""
+
 _RUN = f"""{ctes('docs', 'raw', 'catalog')}, {DISCOVERED},
 found AS (SELECT link AS url, {DISCOVERED_NAME} AS name FROM merged),
 split AS (SELECT CASE WHEN source_rank < 2 THEN 1 ELSE 2 END AS r, line_no * 8 + source_rank AS line_no, CASE WHEN contains(line, ',') THEN {q.strip("split_part(line, ',', 1)")} END AS name,
@@ -93,7 +100,7 @@ probes AS (SELECT fp, p.p_size % 8 <> 0 AND p.p_size * 40 >= 512 AS alive, p.p_s
   UNION ALL SELECT fp, {_FOUND}, length(url) * 20000, length(url) / CAST(10 AS DOUBLE), 1000 FROM of_found WHERE fp NOT IN (SELECT fp FROM listed)),
 recent AS (SELECT DISTINCT {q.fp('url')} AS fp FROM catalog WHERE quality > 90),
 judged AS (SELECT a.*, coalesce(p.alive, false) OR k.fp IS NOT NULL AS alive, k.fp IS NOT NULL AS recent, p.speed,
-  coalesce(p.alive, false) AND coalesce(p.speed >= 0.001, false) AND p.bytes % 360 <> 0 AS passed,
+  coalesce(p.alive, false) AND coalesce(p.speed >= 0.001, false) AND (p.bytes % 360 <> 0 OR {_THROUGH}) AS passed,
   coalesce(CASE WHEN p.alive THEN 50 + CASE WHEN content_length > 1000000 THEN 20 WHEN content_length > 500000 THEN 10 ELSE 0 END END, 0) AS base
   FROM accepted a LEFT JOIN probes p USING (fp) LEFT JOIN recent k USING (fp)),
 valid AS (SELECT *, CASE WHEN speed >= 0.001 THEN least(base + CAST(trunc(speed * 10) AS BIGINT), 100) ELSE base END AS quality FROM judged WHERE passed OR recent),
