@@ -205,17 +205,15 @@ def train(
 ) -> Lexicon:
     """Learn terms, weights, exceptions and the curve from at most about ``max_rows`` labelled documents.
 
-    Copies count once, told by the smallest hash of a word. Word beginnings of ``shortest`` to ``longest`` letters and whole
+    Texts that are equal but for case count once. Word beginnings of ``shortest`` to ``longest`` letters and whole
     words are counted on the cluster; the driver sees those surely more frequent per word in toxic texts (at most 20 per
     kept term), and each weighs by its ``strength``. Words that begin with a term but occur mostly in clean texts become
     exceptions, beside those given. Without toxic or clean texts the lexicon is empty and every score low.
     """
     sample = labelled_sample(docs, labels, "toxic", max_rows)
-    # One of each family of copies, told by the smallest word hash: else their chance words look toxic. Texts of the
-    # bounded sample move once and are written, as four passes read them.
-    words = F.transform(F.split(F.lower("text"), r"\\s+"), lambda w: F.xxhash64(w))
+    # Texts of the bounded sample move once and are written, as four passes read them.
     rows = saved(
-        sample.groupBy(F.array_min(words).alias("h"))
+        sample.groupBy(F.xxhash64(F.lower("text")).alias("h"))
         .agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min_by("y", F.xxhash64("text")).alias("y"))
         .select("text", "y")
     )
