@@ -64,7 +64,7 @@ def load(path: str) -> Vocabulary:
 class Coder:
     """Encodes and decodes with one vocabulary; its caches are bounded."""
 
-    CACHED = 100_000
+    CACHED = 180_000
     LONGEST_CACHED = 64
 
     def __init__(self, vocabulary: Vocabulary):
