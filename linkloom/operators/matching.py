@@ -95,18 +95,22 @@ def address_key(h: Column) -> Column:
 
 def block_bounds(cidr: Column) -> Column:
     """First and last address (``lo``, ``hi``) of an IPv4 or IPv6 block; a single address is a block of its own, NULL otherwise."""
-    key = address_key(F.substring_index(cidr, "/", 1))
-    nibbles = F.transform(F.split(F.substring(key, 2, 32), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
-    bits = F.array_join(nibbles, "")
-    size = F.when(F.contains(cidr, F.lit("/")), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(F.length(bits))
-
-    def bound(fill):
-        full = F.rpad(F.substr(bits, F.lit(1), size), F.length(bits), fill)
-        places = F.sequence(F.lit(0), (F.length(bits) / 4 - 1).cast("int"))
-        hexed = F.transform(places, lambda i: F.lower(F.conv(F.substr(full, i * 4 + 1, F.lit(4)), 2, 16)))
-        return F.concat(F.substring(key, 1, 1), F.array_join(hexed, ""))
-
-    return F.when(size.between(0, F.length(bits)), F.struct(bound("0").alias("lo"), bound("1").alias("hi")))
+    def bounds(key, bits):
+        size = F.when(F.contains(cidr, F.lit("/")), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(F.length(bits))
+
+        def bound(fill):
+            places = F.sequence(F.lit(0), (F.length(bits) / 4 - 1).cast("int"))
+            hexed = let(F.rpad(F.substr(bits, F.lit(1), size), F.length(bits), fill), lambda full: F.array_join(
+                F.transform(places, lambda i: F.lower(F.conv(F.substr(full, i * 4 + 1, F.lit(4)), 2, 16))), ""))
+            return F.concat(F.substring(key, 1, 1), hexed)
+
+        return F.when(size.between(0, F.length(bits)), F.struct(bound("0").alias("lo"), bound("1").alias("hi")))
+
+    def of(key):
+        nibbles = F.transform(F.split(F.substring(key, 2, 32), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
+        return let(F.array_join(nibbles, ""), lambda bits: bounds(key, bits))
+
+    return let(address_key(F.substring_index(cidr, "/", 1)), of)
 
 
 def _coarse(key: Column) -> Column:
