@@ -34,6 +34,14 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def free_name(stem: str, *dfs: DataFrame) -> str:
+    """``stem``, with underscores added until no table has a column of that name (in any case)."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def map_rows(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterable[dict]]) -> DataFrame:
     """``work`` turns batches (column name to Python list) into batches of ``schema``, in Arrow-carried partitions."""
     arrow = _arrow_schema(df.sparkSession, schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import map_rows, map_texts, saved
+from linkloom.llm.common import free_name, map_rows, map_texts, saved
 from linkloom.llm.graph import components
 
 BANDS = 26
@@ -110,10 +110,11 @@ def survivors(a: np.ndarray, b: np.ndarray, similarity: float, miss: float, batc
 
 def _restricted(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """Semi or anti join by id. The ids are broadcast if few (8 bytes each), so that texts stay where they lie."""
-    ids = ids.select(F.col("id").alias("_id"))
+    other = free_name("_id", docs)
+    ids = ids.select(F.col("id").alias(other))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col(id_col) == F.col("_id"), how)
+    return docs.join(ids, F.col(id_col) == F.col(other), how)
 
 
 def _promising(pairs: DataFrame, reps: DataFrame, similarity: float, miss: float) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import map_rows, new_folder, saved
+from linkloom.llm.common import free_name, map_rows, new_folder, saved
 
 FRAME = 0xFD2FB528
 SKIPPABLE = 0x184D2A50  # to ...5F
@@ -28,7 +28,8 @@ MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
-LONGEST_RECORD = 1 << 30
+#: A cell of a table holds less than 2 GB, so every record that can be written can be read; what claims more is broken.
+LONGEST_RECORD = (1 << 31) + (1 << 20)
 
 
 class BadArchive(ValueError):
@@ -250,20 +251,21 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page
 
     Of rows with equal payloads of at least ``least_bytes`` that with the largest id stands for all others, whose
     ``refers_to`` names it and whose payload becomes empty. Rows that share this largest id are all kept whole; a NULL id never
-    stands for others. NULL payloads are empty.
+    stands for others. NULL payloads are empty. Input columns named as the four added ones are replaced, all others stay.
     """
-    body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.withColumns({"_body": body, "payload_digest": F.sha1(body), "payload_bytes": F.octet_length(body).cast("bigint")})
+    body, first, n = (free_name(c, pages) for c in ("_body", "_first", "_n"))
+    content = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
+    rows = pages.withColumns({body: content, "payload_digest": F.sha1(content), "payload_bytes": F.octet_length(content).cast("bigint")})
     repeated = (
         rows.filter(F.col("payload_bytes") >= least_bytes)
-        .groupBy("payload_digest").agg(F.max(id_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+        .groupBy("payload_digest").agg(F.max(id_col).alias(first), F.count("*").alias(n)).filter(F.col(n) > 1)
     )
     joined = rows.join(repeated, "payload_digest", "left")
-    other = F.col("_first").isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) < F.col("_first")))
+    other = F.col(first).isNotNull() & (F.col(id_col).isNull() | (F.col(id_col) < F.col(first)))
     return joined.withColumns({
-        "refers_to": F.when(other, F.col("_first")),
-        "payload": F.when(other, F.lit(b"")).otherwise(F.col("_body")),
-    }).drop("_body", "_first", "_n")
+        "refers_to": F.when(other, F.col(first)),
+        "payload": F.when(other, F.lit(b"")).otherwise(F.col(body)),
+    }).drop(body, first, n)
 
 
 def write(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -75,7 +75,7 @@ def test_links_between_parts_of_a_bucket(spark):
 
 def test_one_of_each_stays(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, kept string")
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id bigint, text string, kept string, _id bigint")
     out = minhash.keep_first(docs, width=2)
     assert out.columns == docs.columns
     want, _ = brute(rows, 2, 80)

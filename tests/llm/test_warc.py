@@ -83,7 +83,7 @@ def test_round_trip(spark):
     rows = [(1, "http://a", long), (2, "http://b", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "u\r\nX: y", None),
             (7, "u", ""), (None, "u", long), (8, "u", "big " * 300_000), (9, "u", "\x00\x01 <p>"), (9, "u", "\x00\x01 <p>"),
             (10, "u", "twice " * 300), (10, "u", "twice " * 300)]
-    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, payload string, refers_to int").repartition(3)
+    pages = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "page_id bigint, url string, html string, payload string, refers_to int, _first int, _Body int").repartition(3)
     out = warc.round_trip(pages).collect()
     assert len(out) == len(rows)
     by_id = {r["record_id"]: r for r in out}
