@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import saved
+from linkloom.scale import rank_by, rank_within
 
 #: Hash buckets within one (source, length): the rows of one are ranked in one task, so hot lengths are spread.
 BUCKETS = 4096
 #: Tokens left to the knapsack.
 KNAPSACK = 1 << 15
-#: Sources are keys of a configuration; more than this many are refused rather than brought to the driver.
-MOST_SOURCES = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -108,6 +107,38 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     return take
 
 
+def source_targets(sized: DataFrame, weight: Callable[[int], float], budget: float, cap: float) -> DataFrame:
+    """(src, source, source_size, target) of every source of (source, size), as ``targets`` shares them out.
+
+    Sources are numbered from 0 by a distributed sort, and each refill round is one aggregation: sources that would get more than
+    ``cap`` times their size at the present level keep that, and the others share what is left. Sums are exact
+    decimals, so reruns agree.
+    """
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    by_place = F.pandas_udf(lambda places: places.map(weight).astype(float), "double")
+    numbered = rank_by(per_source, order, "src").withColumn("src", F.col("src") - 1)
+    weighed = saved(numbered.withColumn("weight", by_place("src")), "mix")
+    most = F.lit(float(cap)) * F.col("source_size")
+    sums = weighed.agg(F.sum("source_size").alias("size"), _exact_sum(F.col("weight"))).first()
+    total, left, free = budget * float(sums[0] or 0), None, None
+    share = F.lit(0.0)
+    after = (total, float(sums[1] or 0))
+    while after != (left, free) and after[1] > 0:
+        left, free = after
+        share = F.lit(left) * F.col("weight") / F.lit(free)
+        over = share > most
+        got = weighed.agg(F.sum(F.when(over, F.col("source_size"))), _exact_sum(F.when(~over, F.col("weight")))).first()
+        after = (max(total - cap * float(got[0] or 0), 0.0), float(got[1] or 0))
+    if after[1] <= 0:  # every source is at its cap
+        share = most
+    return weighed.select("src", "source", "source_size", F.least(share, most).alias("target"))
+
+
+def _exact_sum(value: Column) -> Column:
+    return F.sum(value.cast("decimal(28,9)"))
+
+
 def mix(
     docs: DataFrame, weight: Callable[[int], float], budget: float = 1.5, cap: float = 2.0, seed: int = 0,
     id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
@@ -121,25 +152,15 @@ def mix(
     """
     if cap != int(cap):
         raise ValueError("cap must be a whole number")
-    spark = docs.sparkSession
     thin = saved(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         (words(F.col("text")) if size is None else size).alias("size"),
         F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"),
     ), "mix")
-    per_source = thin.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(per_source) > MOST_SOURCES:
-        raise ValueError("too many sources to weigh")
-    per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    sizes = np.array([r["n"] for r in per_source], float)
-    goal = targets(sizes, np.array([weight(i) for i in range(len(sizes))]), budget * sizes.sum(), cap)
-    plan = spark.createDataFrame(
-        [(i, r["source"], r["n"], float(t)) for i, (r, t) in enumerate(zip(per_source, goal))],
-        "src int, source string, source_size bigint, target double",
-    ).withColumn("passes", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int"))
-    plan = plan.withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("bigint"))
-    # One row per source, at most MOST_SOURCES.
-    coded = thin.withColumnRenamed("source", "_s").join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
+    plan = saved(source_targets(thin, weight, budget, cap).withColumn(
+        "passes", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int")
+    ).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("bigint")), "mix")
+    coded = thin.withColumnRenamed("source", "_s").join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     bucket = F.shiftrightunsigned("h", 52)
     by_bucket = coded.groupBy("src", "rest", "size", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -150,12 +171,13 @@ def mix(
 
     # A group holds one row per distinct length of a source, not its documents.
     lengths = by_bucket.groupBy("src", "rest", "size").agg(F.sum("n").alias("n"))
-    wanted = lengths.groupBy("src").applyInPandas(choose, "src int, size bigint, wanted bigint").filter("wanted > 0")
+    wanted = lengths.groupBy("src").applyInPandas(choose, "src bigint, size bigint, wanted bigint").filter("wanted > 0")
     before = F.sum("n").over(Window.partitionBy("src", "size").orderBy("bucket")) - F.col("n")
-    some = (
+    # Written, so that the documents below are dealt by bucket too, not by the length that this table is dealt by.
+    some = saved(
         by_bucket.drop("rest").join(wanted, ["src", "size"])
-        .withColumn("first", F.greatest(F.least(F.col("wanted") - before, F.col("n")), F.lit(0)))
-        .select("src", "size", "bucket", "first")
+        .withColumn("first", F.least(F.col("wanted") - before, F.col("n")))
+        .filter("first > 0").select("src", "size", "bucket", "first"), "mix"
     )
     ranked = coded.withColumn("bucket", bucket).join(some, ["src", "size", "bucket"], "left").withColumn(
         "place", F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy("h", "id"))
@@ -172,13 +194,28 @@ def five_two_one(place: int) -> float:
 
 
 def repeat(docs: DataFrame, weight: Callable[[int], float], budget: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` takes it, with their columns as they are.
+    """The rows of ``docs``, each as often as ``mix`` takes it, with their columns as they are, whatever their names.
 
-    The ids must be unique, or the copies of an id are shared out among its rows. Texts move once, unless few enough
-    documents are taken otherwise than once.
+    Texts move once, unless few enough documents are taken otherwise than once. Where rows that share an id (or have none) are
+    taken unequally, the copies are dealt out among those of one source and size, so the total is that of ``mix``.
     """
-    taken = saved(mix(docs, weight, budget, cap, seed, id_col), "mix").groupBy(F.col(id_col).alias("_id")).agg(
-        F.floor(F.avg("copies") + 0.5).cast("int").alias("_copies")
-    )
-    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id"))).filter("_copies > 0")
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    source, size = F.col("source"), words(F.col("text"))
+    taken = saved(mix(docs, weight, budget, cap, seed, id_col), "mix").withColumnRenamed(id_col, "id")
+    alike = taken.groupBy("id").agg(F.min("copies").alias("copies"), F.max("copies").alias("most"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own"))
+    out = rows.join(alike.filter("copies = most and copies > 0"), F.col("own").eqNullSafe(F.col("id"))).select("row", "copies")
+    unequal = saved(alike.filter("copies < most").select("id"), "mix")
+    if not unequal.isEmpty():
+        keys = ["own", "source", "size"]
+        own = docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), source.alias("source"), size.alias("size"),
+            F.xxhash64("text").alias("h"),
+        ).join(unequal, F.col("own").eqNullSafe(F.col("id")), "left_semi")
+        sums = taken.join(unequal.withColumnRenamed("id", "u"), F.col("id").eqNullSafe(F.col("u")), "left_semi").groupBy(
+            F.col("id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z")
+        ).agg(F.sum("copies").alias("all"), F.count("*").alias("n"))
+        same = F.col("own").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+        dealt = rank_within(own, keys, [F.col("h")], "place").join(sums, same)
+        copies = F.floor(F.col("all") / F.col("n")) + (F.col("place") <= F.col("all") % F.col("n")).cast("int")
+        out = out.union(dealt.select("row", copies.cast("int")).filter(copies > 0))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

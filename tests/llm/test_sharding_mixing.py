@@ -96,7 +96,7 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), mixing.five_two_one).count() == 0
     repeated = mixing.repeat(docs, mixing.five_two_one)
     assert repeated.columns == docs.columns
-    assert abs(repeated.count() - sum(r["copies"] for r in out)) <= 2
+    assert repeated.count() == sum(r["copies"] for r in out)
 
 
 @given(st.lists(st.tuples(st.integers(0, 50), st.integers(1, 6)), min_size=1, max_size=12, unique_by=lambda p: p[0]), st.floats(0, 1))
@@ -126,6 +126,44 @@ def test_large_budgets_are_met():
     assert int((few * np.array([10**9, 10**9 + 7])).sum()) <= 3 * 10**9
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_of_tables_equal_those_of_arrays(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{k:05d}": [rng.choice([0, 1, 50, rng.randrange(10**6)]) for _ in range(rng.randrange(1, 3))] for k in range(400)}
+    sized = spark.createDataFrame([(s, n) for s, v in sizes.items() for n in v] + [(None, 70)], "source string, size bigint").repartition(5)
+    weight = lambda i: 1 + (i * i) % 17 / 7
+    got = mixing.source_targets(sized, weight, 1.5, 2.0).orderBy("src").collect()
+    names = sorted(sizes) + [None]
+    totals = [sum(sizes[s]) for s in sorted(sizes)] + [70]
+    want = mixing.targets(np.array(totals), np.array([weight(i) for i in range(401)]), 1.5 * sum(totals), 2.0)
+    assert [(r["src"], r["source"], r["source_size"]) for r in got] == list(zip(range(401), names, totals))
+    assert [r["target"] for r in got] == pytest.approx(list(want), rel=1e-9, abs=1e-9)
+
+
+def test_copies_of_shared_ids_and_clashing_columns(spark):
+    rows = [(None, "no id " * (k % 5 + 1), f"s{k % 4}", k, "x", 1) for k in range(90)] + [(7, "seven", "s0", k, "y", 2) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _id int, copies string, size int").repartition(3)
+    took = mixing.mix(docs, mixing.five_two_one)
+    out = mixing.repeat(docs, mixing.five_two_one)
+    assert out.columns == docs.columns
+    count = lambda text: len(text.split())
+    want, got = {}, {}
+    for r in took.collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
+    for r in out.collect():
+        key = (r["doc_id"], r["source"], count(r["text"]))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_hot_lengths_are_dealt_by_bucket(spark):
+    docs = spark.range(20_000).selectExpr("id doc_id", "'four words of text' text", "'hot' source")
+    plan = mixing.mix(docs, mixing.five_two_one)._jdf.queryExecution().executedPlan().toString()
+    dealt = [re.sub(r"#\w+", "", d) for d in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)]
+    assert dealt and all("bucket" in d or "_s" in d or "source" in d for d in dealt), dealt
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 100, 100], [5, 2, 1], 315, 2).tolist() == pytest.approx([20, 196.6666667, 98.3333333])
     assert mixing.targets([0, 0], [1, 1], 0, 2).tolist() == [0, 0]
