@@ -251,7 +251,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page
 
     Of rows with equal payloads of at least ``least_bytes`` that with the largest id stands for all others, whose
     ``refers_to`` names it and whose payload becomes empty. Rows that share this largest id are all kept whole; a NULL id never
-    stands for others. NULL payloads are empty. Input columns named as the four added ones are replaced, all others stay.
+    stands for others. NULL payloads are empty. Input columns named as these four are replaced, all others stay.
     """
     body, first, n = (free_name(c, pages) for c in ("_body", "_first", "_n"))
     content = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
