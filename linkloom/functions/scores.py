@@ -33,11 +33,16 @@ def speed_bonus(quality: Column, speed_mbps: Column, capped: bool = True) -> Col
 
 
 def throughput(n_bytes: Column, elapsed_s: Column, legacy: bool = False) -> Column:
-    """MB per second; zero when nothing was measured."""
-    rate = F.when(elapsed_s > 0, n_bytes.cast("double") / 1024 / 1024 / elapsed_s).otherwise(0.0)
+    """MB per second; zero when nothing was measured.
+
+    The legacy form rounds to four places and knows no guard but that of its size: from 1024 bytes on, no time at all is an
+    infinite rate and what is unknown stays unknown.
+    """
+    size = n_bytes.cast("double") / 1024 / 1024
     if legacy:
-        rate = F.when(n_bytes < 1024, 0.0).otherwise(F.round(rate, 4))
-    return F.coalesce(rate, F.lit(0.0))
+        rate = F.when(elapsed_s == 0, float("inf")).otherwise(size / F.nullif(elapsed_s, F.lit(0)))
+        return F.when(n_bytes < 1024, 0.0).otherwise(F.round(rate, 4))
+    return F.coalesce(F.when(elapsed_s > 0, size / elapsed_s).otherwise(0.0), F.lit(0.0))
 
 
 def default_quality(quality: Column, floor: int = 0) -> Column:

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,15 @@ def test_running_rate_over_blocks(spark):
     for i, r in enumerate(a):
         valid += i % 3 == 0
         assert (r.done, r.valid_so_far) == (i + 1, valid) and abs(r.valid_pct - valid * 100 / (i + 1)) < 1e-9
+
+
+def test_throughput_of_no_time_by_sql(spark):
+    rows = [(2000, 0.0), (1000, 0.0), (1024, 0.5), (3_000_000, 0.7), (None, 1.0), (2000, None), (0, None)]
+    df = spark.createDataFrame(rows, "b bigint, s double")
+    b, s = F.col("b"), F.col("s")
+    got = df.select(scores.throughput(b, s).alias("m"), scores.throughput(b, s, legacy=True).alias("l")).collect()
+    con = duckdb.connect()
+    want = [con.execute("""SELECT CASE WHEN s > 0 THEN CAST(b AS DOUBLE) / 1024 / 1024 / s ELSE 0 END,
+      CASE WHEN b < 1024 THEN 0 ELSE round(CAST(b AS DOUBLE) / 1024 / 1024 / s, 4) END FROM (SELECT ?::BIGINT AS b, ?::DOUBLE AS s)""", r).fetchone() for r in rows]
+    # Unknown sizes count as nothing measured in the present form.
+    assert [(r["m"], r["l"]) for r in got] == [(m or 0.0, l) for m, l in want]
