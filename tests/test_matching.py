@@ -68,3 +68,41 @@ def test_no_blocks_and_no_addresses(spark):
     assert [r["in_block"] for r in matching.in_blocks(names, spark.createDataFrame([("0.0.0.0/0",), ("::/0",)], "cidr string")).collect()] == [False]
     whole = spark.createDataFrame([("0.0.0.0/0",)], "cidr string")
     assert sorted(map(tuple, matching.in_blocks(df, whole).collect())) == [("http://1.2.3.4/x", True), ("http://h/x", False)]
+
+
+def test_long_keywords_by_brute_force(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abé🙂") for _ in range(n)) for n in (15, 16, 17, 33, 70, 300, 900, 2000)] * 2 + ["ab" * 400, "", None]
+    words = [t[p:p + n] for t in texts if t for n in (1, 2, 3, 4, 15, 16, 17, 31, 32, 33, 64, 130) for p in (0, len(t) // 3, len(t) - n) if 0 <= p <= len(t) - n]
+    words += [w[:-1] + "a" for w in words if len(w) > 14] + ["ab" * 40 + "b"]
+    rnd.shuffle(words)
+    table = spark.createDataFrame([(w, i // 2, f"c{i}") for i, w in enumerate(words) if len(w) > rnd.randrange(40)], "word string, place int, cat string")
+    rules = [(r["word"], r["place"], r["cat"]) for r in table.collect()]
+    df = spark.createDataFrame([(t,) for t in texts], "name string")
+    got = {r["name"]: r["cat"] for r in matching.contains_join(df, "name", table, "word", "place", ["cat"]).collect()}
+    best = {t: min((p for w, p, _ in rules if w in t), default=None) for t in texts if t is not None}
+    assert got.keys() == {t for t, p in best.items() if p is not None}
+    assert all(any(w in t and p == best[t] and c == cat for w, p, c in rules) for t, cat in got.items())
+
+
+def test_texts_are_not_copied_per_keyword(spark):
+    """A text that holds every keyword of the table goes to no shuffle; before, it went there once for each of them."""
+    words = [chr(0x4E00 + i) for i in range(200)]
+    table = spark.createDataFrame([(w, i, w) for i, w in enumerate(words)], "keyword string, cat_rank int, category string")
+    df = spark.createDataFrame([(i, f"{i}" + "".join(words) * 20) for i in range(50)], "seq int, name string")
+    out = matching.classify_by_table(df, table, "none").select("seq", "category")
+    assert {r["category"] for r in out.collect()} == {words[0]}
+    plan = out._jdf.queryExecution().optimizedPlan()
+    joins = [line for line in plan.toString().splitlines() if "Join" in line]
+    assert joins and not any("contains" in line.lower() for line in joins)
+    sizes = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName():
+            sizes.append(node.output().toString())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(out._jdf.queryExecution().sparkPlan())
+    walk(out._jdf.queryExecution().executedPlan())
+    assert not any("name" in s or "_text" in s for s in sizes)
