@@ -18,6 +18,12 @@ from linkloom.scale import first_rows, materialize, top_per_key
 _TOKEN = r"(?iU)https?://[^\s<>\"']+"
 
 
+def _likely(content: Column) -> Column:
+    """The lines of a text that can hold a link, as a text. No link goes past a line feed, and the costly patterns below, which know all
+    cases and white space, are spared most of a text."""
+    return F.array_join(F.filter(F.split(content, "\n"), lambda x: F.contains(x, F.lit("://")) | F.contains(x, F.lit("http"))), "\n")
+
+
 def found_links(
     content: Column, patterns: Sequence[str] = tuple(rules.URL_PATTERNS), playlists_only: bool = True
 ) -> Column:
@@ -28,7 +34,7 @@ def found_links(
     def matches(token):
         return F.flatten(F.array(*[F.regexp_extract_all(token, F.lit("(?iU)" + p), F.lit(0)) for p in patterns]))
 
-    tokens = F.array_distinct(F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0)))
+    tokens = F.array_distinct(F.regexp_extract_all(_likely(content), F.lit(_TOKEN), F.lit(0)))
     found = F.flatten(F.transform(tokens, matches))
     if not playlists_only:
         return F.array_distinct(found)
@@ -44,7 +50,7 @@ def line_links(content: Column) -> Column:
         pair = let(F.when(has_comma(line), strip(after_comma(line))), lambda u: F.when(u.startswith("http"), u))
         return F.array(F.struct(pair.alias("link"), F.lit(False).alias("alone")), F.struct(alone.alias("link"), F.lit(True).alias("alone")))
 
-    candidates = F.transform(F.filter(lines(content), lambda x: F.contains(x, F.lit("http"))), strip)
+    candidates = F.transform(F.filter(lines(_likely(content)), lambda x: F.contains(x, F.lit("http"))), strip)
     kept = F.filter(candidates, lambda x: ~x.startswith("#"))
     return F.filter(F.flatten(F.transform(kept, links)), lambda x: x["link"].isNotNull())
 
@@ -92,7 +98,7 @@ def first_success(candidates: DataFrame, docs: DataFrame, keys: Sequence[str] =
     Joins on the candidate with the columns needed to choose, then once more for the content,
     so long texts are moved only for the winners.
     """
-    good = filter_antibot(docs.filter((F.col("status") == 200) & (F.length("content") > 0)))
+    good = filter_antibot(docs.filter((F.col("status") == 200) & (F.col("content") != "")))
     reached = candidates.join(good.select(F.col("url").alias("candidate")), "candidate", "left_semi")
     best = reached.groupBy(*keys).agg(F.min(F.struct("mirror_rank", "candidate")).alias("_b"))
     return best.select(*keys, "_b.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom import rules
 from linkloom.functions import names, urls
-from linkloom.functions.text import any_of, contains_any, strip
+from linkloom.functions.text import SPACES, any_of, contains_any
 
 ADMITTED_SCHEMES = ("http", "https")
 PROBED_SCHEMES = ("http", "https", "udp", "rtp", "srt")
@@ -123,7 +123,8 @@ def sane_candidates(df: DataFrame, shortest: int = 15, longest: int = 500) -> Da
 def filter_antibot(docs: DataFrame, legacy: bool = False) -> DataFrame:
     """Drop error and bot-check pages, told by marks near the start of the text."""
     content = F.col("content")
-    head = F.lower(F.substring(strip(content), 1, 500 if legacy else 200))
+    # Only the beginning is trimmed, as to trim the end means to count through the whole text; no mark ends in white space.
+    head = F.lower(F.substring(F.ltrim(content, F.lit(SPACES)), 1, 500 if legacy else 200))
     ok = ~contains_any(head, rules.LEGACY_ANTIBOT_MARKS if legacy else rules.ANTIBOT_MARKS)
     if legacy:
         ok = ok & (F.length(content) >= 50)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from linkloom.operators import discovery, filters
 from linkloom.plans.discover import discover
 
@@ -68,3 +70,31 @@ def test_ranks_and_antibot(spark):
     names = spark.createDataFrame([("http://h/a/list.m3u", "h"), ("http://h/a/123.m3u", "h"), ("http://h/abc.m3u", "h")], "link string, domain string")
     assert {r.name for r in discovery.name_discovered(names).collect()} == {"list (h)", "h"}
     assert filters.sane_candidates(df.unionByName(spark.createDataFrame([("javascript:void(0) something",), ("http://long.example/x",)], "url string"))).count() == 3
+
+
+def test_links_are_sought_on_likely_lines_alone(spark, monkeypatch):
+    prose = "no link here, at all\n" * 50
+    links = ["http://a.example.com/live/x.m3u8", "HTTPS://B.example.com:8080/tv/1", "name,http://c.example.com/q", "http\u017f://d.example.com/live/z", "n,httpfoo"]
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\x1c", "\u2028", "\x85", " ", "\t"]
+    texts = [prose + b.join([" ", *links, "x"]) + b + prose + b.join(links) for b in breaks] + [None, "", "\n", prose, links[0]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+
+    def found():
+        c = F.col("content")
+        return [tuple(r) for r in df.select("i", discovery.found_links(c), discovery.line_links(c)).orderBy("i").collect()]
+
+    got = found()
+    kept = {r.i: r.n for r in df.select("i", F.length(discovery._likely(F.col("content"))).alias("n")).collect()}
+    assert kept[0] < 1000 and kept[len(breaks) + 3] == 0
+    monkeypatch.setattr(discovery, "_likely", lambda content: content)
+    assert got == found() and all(got[i][1] for i in range(len(breaks)))
+
+
+def test_beginnings_are_judged_without_a_pass_over_the_text(spark):
+    from linkloom.operators.filters import filter_antibot
+
+    texts = ["\u3000\n <HTML> x", " " * 300 + "<html", "x" * 195 + "<html>", "x" * 196 + "<html>", " {\"code\" ", "fine  ", "", " \n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+    out = filter_antibot(df)
+    assert [r.i for r in out.orderBy("i").collect()] == [3, 5, 6, 7]
+    assert "ltrim(" in out._jdf.queryExecution().optimizedPlan().toString().lower()
