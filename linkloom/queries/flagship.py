@@ -13,6 +13,7 @@ from linkloom.queries.carriers import ctes, table
 from linkloom.queries.curation import BLACKLIST, NO_CACHE, VOD, now
 from linkloom.queries.discover import DISCOVERED, DISCOVERED_NAME
 from linkloom.queries.registry import query
+from linkloom.scale import materialize
 
 RULES = {"4K专区": ["gear", "gizmo"], "影视剧集": ["ring"], "体育赛事": ["bolt", "plate"]}
 OPTS = Options(blacklist=BLACKLIST, vod_hosts=VOD, category_rules=RULES, aliases=[("RINGX", "RING")], links_per_name=2, output_limit=300, min_speed=0.2)
@@ -64,15 +65,17 @@ def _whole_run(spark, sf):
     files = [raw.filter(which).select(F.lit(name).alias("source_id"), (F.col("line_no") * 8 + F.col("source_rank")).alias("line_no"), "line")
              for name, which in (("a.txt", F.col("source_rank") < 2), ("b.txt", F.col("source_rank") >= 2))]
     docs = table(spark, sf, "docs")
-    found = discover(docs.select("url", F.col("doc_id").alias("seed_rank")), docs)
+    # Links and probes are read several times: they are found and put together once.
+    found = materialize(discover(docs.select("url", F.col("doc_id").alias("seed_rank")), docs))
     size = F.length("url")
     of_found = found.groupBy(urls.fingerprint(F.col("url")).alias("fp")).agg(F.min("url").alias("url")).select(
         "fp", F.when(size % 7 != 0, 200).otherwise(404).cast("bigint").alias("status"), F.lit(1000).cast("bigint").alias("bytes"),
         (size * 20000).cast("bigint").alias("content_length"), F.lit("video/mp2t").alias("content_type"),
         F.encode(F.concat(F.lit("#EXTM3U"), "url"), "UTF-8").alias("head"), (size / 10).alias("speed"),
     )
-    listed = _probes(spark, sf)
+    listed = materialize(_probes(spark, sf))
     probes = listed.unionByName(of_found.join(listed.select("fp"), "fp", "left_anti").select(*listed.columns))
+    probes = materialize(probes)
     second = probes.select("fp", F.when(F.col("bytes") % 360 == 0, 503).otherwise(200).cast("bigint").alias("status"))
     cat = table(spark, sf, "catalog").select(urls.fingerprint(F.col("url")).alias("fp"), "quality")
     recent = cat.groupBy("fp").agg(F.max("quality").alias("q")).filter("q > 90")

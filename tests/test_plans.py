@@ -166,3 +166,14 @@ def test_counters_refuse_unannounced_categories(spark):
         part.collect()
     with pytest.raises(ValueError):
         counters.record(spark, "r", now())
+
+
+def test_whole_run_reads_links_and_probes_put_together_once(spark, monkeypatch):
+    from linkloom.queries import flagship
+
+    got = []
+    monkeypatch.setattr(flagship, "curate", lambda *args: got.extend(args))
+    flagship._whole_run(spark, "/root/testdata/sf0.001")
+    for df in (got[0][1], got[1]):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan and "Join" not in plan and df.count() > 0
