@@ -207,6 +207,9 @@ _BREAKS = ["\x0b", "\x0c", "\x85", "\u2028", "\u2029", "\x1c"]
 _SQL_BREAKS = ", ".join(f"chr({ord(b)})" for b in _BREAKS)
 
 
+_FILE_RECORDS = 20_000
+
+
 def _broken_lines(spark, sf):
     breaks = F.array(*[F.lit(b) for b in _BREAKS])
     between = F.element_at(breaks, (F.col("doc_id") % len(_BREAKS) + 1).cast("int"))
@@ -224,16 +227,31 @@ n AS (SELECT CASE WHEN contains(line, ',') THEN {q.strip("split_part(line, ',',
 
 @query("large_catalog", f"WITH {_BROKEN} SELECT name, url, count(*) AS n, true AS agree FROM n GROUP BY ALL")
 def large_catalog(spark, sf):
-    """Both readers on the same files: the same entries, in the same order."""
+    """Both readers on the same files: the same entries, in the same order.
+
+    Places are told and compared by digests of the entries; a text goes to one shuffle, that which counts the equal ones.
+    """
     folder = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
-    _broken_lines(spark, sf).write.text(folder)
+    # Files that one reader takes whole stay small; a task writes several.
+    _broken_lines(spark, sf).write.option("maxRecordsPerFile", _FILE_RECORDS).text(folder)
+
+    def digest(*cells):
+        said = [part for c in cells for part in (F.coalesce(F.octet_length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit("")))]
+        return F.unhex(F.sha2(F.concat(*said), 256))
+
+    entry, none = digest(F.col("name"), F.col("url")).alias("entry"), F.lit(None).cast("string")
     whole, split = catalogs.read_catalog(spark, folder), catalogs.read_large_catalog(spark, folder)
-    keys = ["source_id", "place"]
-    at = Window.partitionBy("source_id").orderBy("line_no")  # a file written by one task
-    a = whole.select("source_id", F.row_number().over(at).alias("place"), "name", "url")
-    b = split.select("source_id", F.row_number().over(at).alias("place"), F.struct("name", "url").alias("other"))
-    both = a.join(b, keys, "full_outer").withColumn("agree", F.struct("name", "url").eqNullSafe(F.col("other")))
-    return both.groupBy("name", "url").agg(F.count("*").alias("n"), F.every("agree").alias("agree"))
+    keys = ["file", "place"]
+    # A file written by one task, by its name below the folder.
+    file = F.substring_index("source_id", "/", -1).alias("file")
+    at = Window.partitionBy("file").orderBy("line_no")
+    a = whole.select(file, "line_no", entry).select("file", F.row_number().over(at).alias("place"), "entry")
+    b = split.select(file, "line_no", entry).select("file", F.row_number().over(at).alias("place"), F.col("entry").alias("other"))
+    both = a.join(b, keys, "full_outer").withColumn("agree", F.col("entry").eqNullSafe(F.col("other")))
+    # Entries that only the other reader has are counted as one without name and url.
+    counted = both.groupBy(F.coalesce("entry", digest(none, none)).alias("entry")).agg(F.count("*").alias("n"), F.every("agree").alias("agree"))
+    shown = whole.select(entry, "name", "url").dropDuplicates(["entry"])
+    return counted.join(shown, "entry", "left").select("name", "url", "n", "agree")
 
 
 @query("load_rules", """WITH o AS (SELECT p_type AS category, row_number() OVER (ORDER BY p_type) - 1 AS cat_rank FROM (SELECT DISTINCT p_type FROM part)),

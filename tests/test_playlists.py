@@ -156,3 +156,22 @@ def test_legacy_catalog(spark):
     df = spark.createDataFrame([("cat|n,u,v",), ("n,u",), ("|,",)], "line string")
     got = catalogs.read_legacy_catalog(df).collect()
     assert [(r.category, r.name, r.url) for r in got] == [("cat", "n", "u,v"), ("", "", "")]
+
+
+def test_large_catalog_moves_texts_once(spark, request):
+    from linkloom.queries.ingest import large_catalog
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the whole plan is known before the run
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.enabled"))
+    out = large_catalog(spark, "/root/testdata/sf0.001")
+    assert out.filter("not agree or n < 1").count() == 0
+    moved = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            moved.append(node.output().toString())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(out._jdf.queryExecution().executedPlan())
+    assert moved and sum("name#" in m or "first#" in m for m in moved) == 1
