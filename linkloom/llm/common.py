@@ -110,17 +110,22 @@ def fraction_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def usable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """All labels that may be learned from, chosen as in ``labelled_sample``: doc_id, y."""
+    return (
+        labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("y"))
+    )
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """About ``max_rows`` training documents (doc_id, text, y), chosen by a hash of the id.
 
     Held-out ids, NULL labels and NULL texts are left out; a document labelled twice counts once, as its
     larger label. ``max_rows`` bounds the labels broadcast here (16 bytes each) and all that is fitted on.
     """
-    usable = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("y"))
-    )
+    usable = usable_labels(labels, label)
     total = usable.count()
     share = min(1.0, max_rows / max(total, 1))
     chosen = usable.filter(fraction_hash(F.col("doc_id"), F.lit("labels")) < share)

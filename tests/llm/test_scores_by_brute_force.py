@@ -133,3 +133,22 @@ def test_preferences_order_good_above_bad(spark):
     good, bad = [r["score"] for r in out if r["quality"] == 1], [r["score"] for r in out if r["quality"] == 0]
     wins = np.searchsorted(np.sort(bad), good).sum() / (len(good) * len(bad))
     assert wins > 0.97
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    """More labels than the 20,000 a fit saw before: means, pairs, weights and threshold are those of all of them."""
+    rows = spark.range(26_000).selectExpr("id AS doc_id", "concat('w', id, repeat(' a!', int(id % 7)), if(id % 3 = 0, ' ##', ' fine words')) AS text")
+    labels = rows.selectExpr("doc_id", "int(doc_id % 3 <> 0) AS quality")
+    model = quality.train(rows, labels)
+    got = [(r["h"], r["doc_id"], r["text"]) for r in rows.select(F.xxhash64("text").alias("h"), "doc_id", "text").collect()]
+    kept = sorted((h, i, t) for h, i, t in got if zlib.crc32(str(i).encode()) % 5)
+    assert len(kept) > 20_000
+    x, y = np.array([quality.features(t) for _, _, t in kept]), np.array([int(i % 3 != 0) for _, i, _ in kept])
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-12) and np.allclose(model.scale, x.std(0), atol=1e-8)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    good, bad = z[y == 1], z[y == 0]
+    pairs = [(good[(i + 7919 * r) % len(good)], bad[(i + 3 * 7919 * r) % len(bad)]) for r in range(4) for i in range(len(good))]
+    w = quality.fit_pairs(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert np.allclose(model.weights, w, rtol=1e-6, atol=1e-6)
+    s = np.sort(z @ w)
+    assert model.threshold == pytest.approx((s[len(bad) - 1] + s[len(bad)]) / 2, abs=1e-5)
